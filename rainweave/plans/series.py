@@ -58,10 +58,10 @@ def station_series_summary(spark, folder):
 
 @query(
     "w6_gap_fill",
-    views.with_views("obs") + _FILLED_SQL + "select gid, variable, bucket, round(value, 6) as value from filled",
+    views.with_views("obs") + _FILLED_SQL + "select gid, variable, bucket, round(value, 9) as value from filled",
 )
 def w6_gap_fill(spark, folder):
-    return filled_observations(spark, folder).select("gid", "variable", "bucket", rounded(F.col("value")).alias("value"))
+    return filled_observations(spark, folder).select("gid", "variable", "bucket", rounded(F.col("value"), 9).alias("value"))
 
 
 @query(

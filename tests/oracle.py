@@ -76,7 +76,7 @@ def main(folder: str, names: list[str]) -> int:
     from rainweave.session import build_session
 
     spark = build_session(
-        "local[8]", **{"spark.sql.shuffle.partitions": 8, "spark.ui.enabled": "false", "spark.driver.memory": "12g"}
+        "local[8]", **{"spark.sql.shuffle.partitions": 8, "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "12g"}
     )
     spark.sparkContext.setLogLevel("ERROR")
     con, fns, sqls, bad = connect(folder), entry.queries(), entry.oracle_sql(), 0
