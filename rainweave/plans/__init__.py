@@ -1,4 +1,4 @@
 """Registered queries and their SQL twins."""
 
-from rainweave.plans import radar, scores, series, stations  # noqa: F401  (each registers its queries)
+from rainweave.plans import links, radar, sampling, scores, series, spatial, stations  # noqa: F401  (each registers its queries)
 from rainweave.plans.registry import QUERIES, SQL  # noqa: F401

@@ -221,15 +221,19 @@ def a9_normalised_radar(spark, folder):
 @query(
     "j9_station_cell_lookup",
     views.with_views("stations", "radar_cell") + """
-select s.gid, r.time_sgt, r.row, r.col, r.value from stations s join radar_cell r
+select s.gid, r.row, r.col, count(*) as frames, round(avg(r.value), 9) as mean_value, max(r.value) as max_value
+from stations s join radar_cell r
 on r.row = floor((1.5e0 - latitude) / 0.039e0) and r.col = floor((longitude - 103.6e0) / 0.0625e0)
-where time_sgt < timestamp '2024-01-01 12:00:00'""",
+group by s.gid, r.row, r.col""",
 )
 def j9_station_cell_lookup(spark, folder):
-    """Radar value in the cell of every station, for the first half day."""
+    """Radar values in the cell of every station, over all frames."""
     placed = views.stations(spark, folder).select(
-        "gid", cell_index(F.col("latitude"), 1.5, 0.039, downward=True).alias("row"),
-        cell_index(F.col("longitude"), 103.6, 0.0625).alias("col"),
+        "gid", cell_index(F.col("latitude"), 1.5, 0.039, downward=True).cast("int").alias("row"),
+        cell_index(F.col("longitude"), 103.6, 0.0625).cast("int").alias("col"),
     )
-    cells = views.radar_cells(spark, folder).where(F.col("time_sgt") < F.expr("timestamp_ntz'2024-01-01 12:00:00'"))
-    return cells.join(placed, ["row", "col"]).select("gid", "time_sgt", "row", "col", "value")
+    # values of a cell are the same for all its stations, so frames are reduced before the join
+    cells = views.radar_cells(spark, folder).groupBy("row", "col").agg(
+        F.count(F.lit(1)).alias("frames"), rounded(F.avg("value"), 9).alias("mean_value"), F.max("value").alias("max_value")
+    )
+    return placed.join(cells, ["row", "col"])

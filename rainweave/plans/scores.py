@@ -9,6 +9,7 @@ from rainweave.operators.partitioned import row_position
 from rainweave.operators.traininglog import analyse_training, summarise_training
 from rainweave.plans.common import rounded
 from rainweave.plans.registry import query
+from rainweave.plans.sampling import ROLE_SQL, station_roles
 from rainweave.sources import views
 
 _ERRORS_SQL = """,
@@ -229,20 +230,17 @@ def m4_spearman(spark, folder):
 
 @query(
     "m5_test_rmse",
-    views.with_views("predictions") + """,
-t as (select timestep, sqrt(avg((true_value - pred_value) ** 2)) as rmse from predictions
-      where station_id % 10 = 0 group by timestep)
-select count(*) as times, round(avg(rmse), 6) as rmse from t""",
+    views.with_views("predictions", "stations") + ROLE_SQL + """,
+t as (select statistical_role as role, timestep, sqrt(avg((true_value - pred_value) ** 2)) as rmse
+      from predictions join roles on roles.gid = station_id group by all)
+select role, count(*) as times, round(avg(rmse), 6) as rmse from t group by role""",
 )
 def m5_test_rmse(spark, folder):
-    """Mean over timesteps of the RMSE over the test stations, both types pooled."""
-    roles = views.table(spark, folder, "supplier").select(
-        F.col("s_suppkey").alias("station_id"),
-        F.when(F.col("s_suppkey") % 10 == 0, "test").otherwise("train").alias("role"),
-    )
-    test = views.predictions(spark, folder).join(roles, "station_id").where(F.col("role") == "test")
-    scored = metrics.average_rmse(test, ["timestep"], "true_value", "pred_value")
-    return scored.select("times", rounded(F.col("rmse_valid")).alias("rmse"))
+    """Mean over timesteps of the RMSE over the stations of a role, both types pooled."""
+    roles = station_roles(spark, folder).select(F.col("gid").alias("station_id"), F.col("statistical_role").alias("role"))
+    rows = views.predictions(spark, folder).join(roles, "station_id")
+    scored = metrics.average_rmse(rows, ["timestep"], "true_value", "pred_value", ["role"])
+    return scored.select("role", "times", rounded(F.col("rmse_valid")).alias("rmse"))
 
 
 _BATCH_SQL = """,

@@ -29,10 +29,11 @@ CLASS_SQL = ",\nclasses as (select gid, case when least(" + ", ".join(
 @query(
     "s1_parse_station_rows",
     views.with_views("obs") + """
-select gid, variable, date_trunc('minute', time_sgt) as time_sgt, value from obs where gid % 7 <> 0""",
+select gid, variable, case when gid % 7 <> 0 then date_trunc('minute', time_sgt) end as time_sgt, value, gid % 7 = 0 as quarantined
+from obs""",
 )
 def s1_parse_station_rows(spark, folder):
-    """Station rows as text in the file format, parsed strictly; wrong seconds go to quarantine."""
+    """Station rows as text in the file format, parsed; rows with wrong seconds are marked."""
     seconds = F.when(F.col("gid") % 7 == 0, ":30+08:00").otherwise(":00+08:00")
     text = views.observations(spark, folder).select(
         F.col("gid").alias("station_id"), "variable", "value",
@@ -42,7 +43,7 @@ def s1_parse_station_rows(spark, folder):
         F.col("station_id").alias("gid"), "variable",
         parse_station_time(F.col("timestamp"), strict=False).alias("time_sgt"), "value",
     )
-    return parsed.where(F.col("time_sgt").isNotNull())
+    return parsed.withColumn("quarantined", F.col("time_sgt").isNull())
 
 
 @query(
