@@ -255,21 +255,23 @@ def attend_neighbours(features: DataFrame, edges: DataFrame, dims: Sequence[str]
 
 def masked_examples(features: DataFrame, edges: DataFrame, roles: DataFrame, dims: Sequence[str], time: str = "time_sgt",
                     node: str = "node", target: str = "rain", fill: str = "zero", seed: int = 123,
-                    scope: str = "target") -> DataFrame:
-    """Leave-one-station-out examples: one per (time, training station), as rows per neighbour.
+                    scope: str = "target", centres: Sequence[str] = ("train",), by: Sequence[str] = ()) -> DataFrame:
+    """Leave-one-station-out examples: one per (time, station with a centre role), as rows per neighbour.
 
     Each example has the rows of the neighbours of its station and of the station itself.
     Stations outside training are 0 in all features; the station's own ``target`` feature
     (``scope='row'``: all its features) is 0 or standard normal noise; ``y`` is its true value.
     Only the neighbourhood is emitted, since other stations do not reach the station in one layer.
+    ``by`` names columns of ``roles``, such as a fold, that repeat the examples.
     """
-    role_of = roles.select(F.col(node), (F.col("role") == "train").alias("_train"))
-    known = features.join(role_of, node)
-    centres = known.where("_train").select(F.col(time), F.col(node).alias("example"), F.col(target).alias("y"))
+    by = list(by)
+    marked = roles.select(*by, node, (F.col("role") == "train").alias("_train"), F.col("role").isin(list(centres)).alias("_centre"))
+    known = features.join(marked, node)
+    chosen = known.where("_centre").select(*by, F.col(time), F.col(node).alias("example"), F.col(target).alias("y"))
     reach = edges.select(F.col("dst").alias("example"), F.col("src").alias(node), "dist").unionByName(
-        roles.select(F.col(node).alias("example"), F.col(node), F.lit(0.0).alias("dist"))
+        roles.select(F.col(node).alias("example"), F.col(node), F.lit(0.0).alias("dist")).distinct()
     )
-    rows = centres.join(reach, "example").join(known, [time, node])
+    rows = chosen.join(reach, "example").join(known, [*by, time, node])
     own = F.col(node) == F.col("example")
     blank = F.lit(0.0) if fill == "zero" else F.randn(seed)
     masked = []
@@ -278,7 +280,7 @@ def masked_examples(features: DataFrame, edges: DataFrame, roles: DataFrame, dim
         if d == target or scope == "row":
             value = F.when(own, blank).otherwise(value)
         masked.append(value.alias(d))
-    return rows.select(time, "example", node, "dist", *masked, "y")
+    return rows.select(*by, time, "example", node, "dist", *masked, "y")
 
 
 def visible_inputs(features: DataFrame, roles: DataFrame, dims: Sequence[str], visible: Sequence[str] = ("train",),

@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rainweave.session import checkpointed
+
 
-def example_table(examples: DataFrame, target: str = "rain", time: str = "time_sgt") -> DataFrame:
+def example_table(examples: DataFrame, target: str = "rain", keys: Sequence[str] = ("time_sgt", "example")) -> DataFrame:
     """One row per example: count, mean and inverse-distance mean of the neighbours' target feature."""
     neighbour = F.col("node") != F.col("example")
     weight = F.when(neighbour & (F.col("dist") > 0), F.lit(1.0) / F.col("dist"))
-    return examples.groupBy(time, "example").agg(
+    return examples.groupBy(*keys).agg(
         F.max("y").alias("y"),
         F.count_if(neighbour).cast("double").alias("neighbours"),
         F.coalesce(F.avg(F.when(neighbour, F.col(target))), F.lit(0.0)).alias("mean_rain"),
@@ -25,3 +30,17 @@ def fit_baseline(train: DataFrame, test: DataFrame) -> DataFrame:
     inputs = VectorAssembler(inputCols=["neighbours", "mean_rain", "near_rain"], outputCol="inputs")
     model = LinearRegression(featuresCol="inputs", labelCol="y", regParam=0.1).fit(inputs.transform(train))
     return model.transform(inputs.transform(test)).drop("inputs")
+
+
+def fit_folds(examples: DataFrame, n_folds: int) -> DataFrame:
+    """Fit on the training examples of each fold and predict its validation examples.
+
+    ``examples`` has fold and role. The table is written once to the checkpoint folder, since
+    every fit reads it several times.
+    """
+    table = checkpointed(examples)
+    parts = []
+    for fold in range(n_folds):
+        rows = table.where(F.col("fold") == fold)
+        parts.append(fit_baseline(rows.where(F.col("role") == "train"), rows.where(F.col("role") == "validation")))
+    return reduce(DataFrame.unionByName, parts)

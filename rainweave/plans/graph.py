@@ -262,22 +262,15 @@ def g11_visible_inputs(spark, folder):
 
 @query("g12_baseline_learner")
 def g12_baseline_learner(spark, folder):
-    """Linear regression on masked examples, trained and scored per fold; fitted, so no SQL twin."""
-    features, edges = daily_features(spark, folder), station_knn(spark, folder)
-    folds, scores = station_folds(spark, folder), None
-    for fold in range(5):
-        roles = folds.where(F.col("fold") == fold).select(F.col("gid").alias("node"), F.col("ml_role").alias("role"))
-        train = learner.example_table(graph.masked_examples(features, edges, roles, DIMS))
-        # validation stations as examples, seen from the training stations
-        asked = roles.withColumn("role", F.when(F.col("role") == "validation", "train").otherwise(F.col("role")))
-        held_out = roles.where(F.col("role") == "validation").select(F.col("node").alias("example"))
-        test = learner.example_table(
-            graph.masked_examples(features, edges, asked, DIMS).join(held_out, "example", "left_semi")
-        )
-        scored = metrics.average_rmse(learner.fit_baseline(train, test), ["time_sgt"], "y", "prediction")
-        row = scored.withColumn("fold", F.lit(fold))
-        scores = row if scores is None else scores.unionByName(row)
-    return scores
+    """Linear regression on masked examples, scored at validation stations per fold; fitted, so no SQL twin."""
+    folds = station_folds(spark, folder).select("fold", F.col("gid").alias("node"), F.col("ml_role").alias("role"))
+    examples = graph.masked_examples(
+        daily_features(spark, folder), station_knn(spark, folder), folds, DIMS, centres=("train", "validation"), by=["fold"]
+    )
+    table = learner.example_table(examples, keys=["fold", "time_sgt", "example"])
+    roles = folds.withColumnRenamed("node", "example")
+    predicted = learner.fit_folds(table.join(roles, ["fold", "example"]), 5)
+    return metrics.average_rmse(predicted, ["time_sgt"], "y", "prediction", ["fold"])
 
 
 @query("f12_activations", views.with_views("obs") + """,

@@ -17,6 +17,7 @@ from rainweave.functions.geo import midpoint
 from rainweave.functions.rain import clamp_negative
 from rainweave.operators import links as ops
 from rainweave.operators import reshape
+from rainweave.operators.partitioned import decay_horizon
 from rainweave.operators.wetlookup import antenna_from_observed, lookup_table
 from rainweave.plans.common import rounded
 from rainweave.plans.registry import query
@@ -190,6 +191,23 @@ def w5_wet_antenna(spark, folder):
     return _wetted(spark, folder).select("link_id", "t", rounded(F.col("waa"), 9).alias("waa"))
 
 
+@query("x1_blockwise_function", views.with_views("cml") + recursion_sql(5) + "select link_id, t, round(waa, 9) + 0e0 as waa from rec")
+def x1_blockwise_function(spark, folder):
+    """A plain 1-D Python function over each series in blocks: the wet-antenna recursion as a loop."""
+    based = ops.baseline_constant(wet_series(spark, folder), ["link_id"], "t", "trsl", "wet", 5)
+
+    def recursion(pdf):
+        level, levels = 0.0, []
+        for t, loss, wet in zip(pdf["t"], pdf["trsl"] - pdf["baseline"], pdf["wet"]):
+            rising = level + (2.2 - level) * 3 / 15 if wet else 2.2
+            level = 0.0 if t == 0 else min(loss, 2.2, rising)
+            levels.append(level)
+        return pdf[["link_id", "t"]].assign(waa=levels)
+
+    df = ops.apply_in_blocks(based, ["link_id"], "t", recursion, "link_id long, t long, waa double", 4096, decay_horizon(0.8))
+    return df.withColumn("waa", rounded(F.col("waa"), 9))
+
+
 @query(
     "p8_clamped_attenuation",
     views.with_views("cml") + recursion_sql(5) + """

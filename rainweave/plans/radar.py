@@ -8,6 +8,7 @@ from rainweave.functions.geo import cell_index
 from rainweave.functions.rain import mask_no_rain
 from rainweave.functions.time import bucket_start
 from rainweave.operators import matching
+from rainweave.operators.temporal import numbered_times
 from rainweave.plans.common import rain, rounded
 from rainweave.plans.registry import query
 from rainweave.sources import radar, views
@@ -237,3 +238,21 @@ def j9_station_cell_lookup(spark, folder):
         F.count(F.lit(1)).alias("frames"), rounded(F.avg("value"), 9).alias("mean_value"), F.max("value").alias("max_value")
     )
     return placed.join(cells, ["row", "col"])
+
+
+@query(
+    "p4_crop_report",
+    _FILES_SQL + ",\nobs as (" + views.SQL["obs"] + ")" + _GAUGE_SQL + """,
+w as (select time_sgt, row_number() over (order by time_sgt) - 1 as weather_idx from g)
+select time_sgt as timestamp, weather_idx, path as input_path, true as success,
+       '/cropped/' || strftime(time_sgt, '%Y%m%d') || '/cropped_' || split_part(path, '/', 4) as output_path
+from cat join w using (time_sgt)""",
+)
+def p4_crop_report(spark, folder):
+    """Matched radar files cropped to the study box, with source, target and success per file."""
+    weather = numbered_times(_gauge_times(spark, folder), "time_sgt", "weather_idx")
+    frames = views.radar_frames(spark, folder).withColumn(
+        "transform", radar.north_up_transform(F.col("bounds"), F.size("data"), F.size(F.col("data")[0]))
+    )
+    matched = matching.fuse_on_time([s5_radar_catalogue(spark, folder), weather, frames])
+    return radar.crop_report(radar.crop_frames(matched), "/cropped")

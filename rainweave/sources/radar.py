@@ -106,6 +106,19 @@ def crop_frames(frames: DataFrame, box: dict[str, float] | None = None) -> DataF
     )
 
 
+def crop_report(cropped: DataFrame, folder: str, path: str = "path", time: str = "time_sgt") -> DataFrame:
+    """Result rows of a crop: where each frame came from, where it goes, and whether it worked.
+
+    Targets keep one folder per date; a failed frame has no target.
+    """
+    name = F.element_at(F.split(F.col(path), "/"), -1)
+    target = F.concat_ws("/", F.lit(folder), F.date_format(time, "yyyyMMdd"), F.concat(F.lit("cropped_"), name))
+    return cropped.select(
+        F.col(time).alias("timestamp"), "weather_idx", F.col(path).alias("input_path"),
+        F.when(F.col("success"), target).alias("output_path"), "success",
+    )
+
+
 def zoom_window(bounds: Column, height: Column, width: Column, zoom: dict[str, float]) -> tuple[Column, ...]:
     """Half-open (row0, row1, col0, col1) from rounded fractions of the frame (half to even)."""
     span_x, span_y = bounds["right"] - bounds["left"], bounds["top"] - bounds["bottom"]
