@@ -131,53 +131,65 @@ def nearest_neighbours(sources: DataFrame, targets: DataFrame, k: int, source_id
     asked = sources.select(*by, *source_id, F.col(x).cast("double").alias("_sx"), F.col(y).cast("double").alias("_sy")).where(
         F.col("_sx").isNotNull() & F.col("_sy").isNotNull()
     )
-    front = asked.withColumns({"_level": F.lit(0), "_i": F.lit(0).cast("long"), "_j": F.lit(0).cast("long")})
-    if depth == 0:
-        front = front.withColumn("_leaf", F.lit(True))
+    line = Window.partitionBy(*by, *source_id)
+    zero = F.lit(0.0)
+
+    def pruned(front: DataFrame) -> DataFrame:
+        known = F.sum("_points").over(line.orderBy("_far").rangeBetween(Window.unboundedPreceding, 0))
+        kept = (
+            front.withColumn("_known", known)
+            .withColumn("_bound", F.min(F.when(F.col("_known") >= need, F.col("_far"))).over(line))
+            .where(F.col("_bound").isNull() | (F.col("_near") <= F.col("_bound")))
+            .drop("_known", "_bound")
+        )
+        return kept if max_distance is None else kept.where(F.col("_near") <= max_distance)
+
+    def edges(prefix: str) -> tuple[Column, Column]:
+        """Distances to the nearest and to the farthest edge of a square's contents."""
+        x0, x1, y0, y1 = (F.col(prefix + c) for c in ("_x0", "_x1", "_y0", "_y1"))
+        sx, sy = F.col("_sx"), F.col("_sy")
+        near_x, near_y = F.greatest(x0 - sx, sx - x1, zero), F.greatest(y0 - sy, sy - y1, zero)
+        far_x, far_y = F.greatest(F.abs(x0 - sx), F.abs(sx - x1)), F.greatest(F.abs(y0 - sy), F.abs(sy - y1))
+        return F.sqrt(near_x * near_x + near_y * near_y), F.sqrt(far_x * far_x + far_y * far_y)
+
+    state = [*by, *source_id, "_sx", "_sy", "_level", "_i", "_j", "_leaf", "_near", "_far", "_points"]
+    if by:
+        start = 0
+        roots = squares(0).select(*by, "_leaf")
+        front = asked.join(roots, by).withColumns(
+            {"_level": F.lit(0), "_i": F.lit(0).cast("long"), "_j": F.lit(0).cast("long"), "_near": zero,
+             "_far": F.lit(None).cast("double"), "_points": F.lit(None).cast("long")}
+        )
     else:
-        root = squares(0).select(*by, "_leaf", *([] if by else ["_i"]))
-        front = front.join(root, by if by else ["_i"])
-    measures = {"_near": F.lit(0.0), "_far": F.lit(None).cast("double"), "_points": F.lit(None).cast("long")}
-    front = front.withColumns(measures)
+        # without groups the root is one square for all; its sixteen parts are keyed right away
+        start, depth = 1, max(depth, 1)
+        parts = F.sequence(F.lit(0).cast("long"), F.lit(3).cast("long"))
+        opened = asked.withColumn("_i", F.explode(parts)).withColumn("_j", F.explode(parts)).join(squares(1), ["_i", "_j"])
+        near, far = edges("")
+        front = pruned(opened.withColumns({"_level": F.lit(1), "_near": near, "_far": far}).select(*state))
     # an impossible square number for finished rows, spread so that they share no partition
     nowhere = -1 - F.pmod(F.xxhash64(*by, *source_id), F.lit(1 << 20))
-    line = Window.partitionBy(*by, *source_id)
-    for level in range(depth):
+    for level in range(start, depth):
         children = squares(level + 1).select(
             *by, F.floor(F.col("_i") / 4).alias("_pi"), F.floor(F.col("_j") / 4).alias("_pj"),
             *[F.col(c).alias("_c" + c) for c in ("_i", "_j", "_points", "_x0", "_x1", "_y0", "_y1", "_leaf")],
         )
-        zero = F.lit(0.0)
-        near_x = F.greatest(F.col("_c_x0") - F.col("_sx"), F.col("_sx") - F.col("_c_x1"), zero)
-        near_y = F.greatest(F.col("_c_y0") - F.col("_sy"), F.col("_sy") - F.col("_c_y1"), zero)
-        far_x = F.greatest(F.abs(F.col("_c_x0") - F.col("_sx")), F.abs(F.col("_sx") - F.col("_c_x1")))
-        far_y = F.greatest(F.abs(F.col("_c_y0") - F.col("_sy")), F.abs(F.col("_sy") - F.col("_c_y1")))
-        near, far = F.sqrt(near_x * near_x + near_y * near_y), F.sqrt(far_x * far_x + far_y * far_y)
-        opened = F.col("_c_i").isNotNull()
-        front = (
+        near, far = edges("_c")
+        is_child = F.col("_c_i").isNotNull()
+        front = pruned(
             front.withColumn("_pi", F.when(F.col("_leaf"), nowhere).otherwise(F.col("_i")))
-            .withColumn("_pj", F.col("_j"))
-            .drop("_j")
+            .withColumnRenamed("_j", "_pj")
             .join(children, [*by, "_pi", "_pj"], "left")
             .select(
                 *by, *source_id, "_sx", "_sy",
-                F.when(opened, F.lit(level + 1)).otherwise(F.col("_level")).alias("_level"),
+                F.when(is_child, F.lit(level + 1)).otherwise(F.col("_level")).alias("_level"),
                 F.coalesce("_c_i", "_i").alias("_i"), F.coalesce("_c_j", "_pj").alias("_j"),
                 F.coalesce("_c_leaf", "_leaf").alias("_leaf"),
-                F.when(opened, near).otherwise(F.col("_near")).alias("_near"),
-                F.when(opened, far).otherwise(F.col("_far")).alias("_far"),
+                F.when(is_child, near).otherwise(F.col("_near")).alias("_near"),
+                F.when(is_child, far).otherwise(F.col("_far")).alias("_far"),
                 F.coalesce("_c_points", "_points").alias("_points"),
             )
         )
-        known = F.sum("_points").over(line.orderBy("_far").rangeBetween(Window.unboundedPreceding, 0))
-        front = (
-            front.withColumn("_known", known)
-            .withColumn("_bound", F.min(F.when(F.col("_known") >= need, F.col("_far"))).over(line))
-            .where(F.col("_bound").isNull() | (F.col("_near") <= F.col("_bound")))
-            .drop("_known", "_bound")
-        )
-        if max_distance is not None:
-            front = front.where(F.col("_near") <= max_distance)
     levelled = placed(sites.withColumn("_level", F.explode(F.sequence(F.lit(0), F.lit(depth)))), F.col("_level"))
     distance = straight_distance(F.col("_sx"), F.col("_sy"), F.col("_x"), F.col("_y"))
     pairs = (
