@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rainweave.operators.partitioned import exact_quantiles
+from rainweave.session import checkpointed
 
 
 def with_errors(predictions: DataFrame) -> DataFrame:
@@ -45,13 +46,15 @@ def across_folds(errors: DataFrame, station: str = "station_id") -> DataFrame:
 
 
 def flag_high(errors: DataFrame, value: str, percentile: float = 0.75, out: str = "is_high") -> DataFrame:
+    errors = checkpointed(errors)  # a table per station, read for the limit and for the flags
     limit = exact_quantiles(errors, [], value, {"q": percentile})
     return errors.withColumn(out, F.col(value) >= limit.scalar())
 
 
 def error_tertiles(errors: DataFrame, value: str, out: str = "error_class") -> DataFrame:
     """Low / Medium / High, cut at the quantiles .33 and .67, upper edge included."""
-    cuts = exact_quantiles(errors, [], value, {"low": 0.33, "high": 0.67})
+    errors = checkpointed(errors)
+    cuts = checkpointed(exact_quantiles(errors, [], value, {"low": 0.33, "high": 0.67}))
     v = F.col(value)
     return errors.withColumn(
         out,
@@ -85,6 +88,8 @@ def describe(df: DataFrame, value: str, keys: Sequence[str] = ()) -> DataFrame:
         F.min(value).alias("min"), F.max(value).alias("max"),
     )
     quartiles = exact_quantiles(df, keys, value, {"q25": 0.25, "q50": 0.5, "q75": 0.75})
+    if not keys:
+        quartiles = checkpointed(quartiles)  # one row
     if keys:
         return plain.join(quartiles, list(keys), "left")
     return plain.select(

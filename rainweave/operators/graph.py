@@ -77,6 +77,7 @@ def induced_subgraph(nodes: DataFrame, edges: DataFrame, keep: Column, coarse: C
 
 def split_graphs(nodes: DataFrame, edges: DataFrame, coarse: Column) -> dict[str, tuple[DataFrame, DataFrame]]:
     """Train graph (train), validation graph (train and validation), full graph."""
+    nodes, edges = checkpointed(nodes), checkpointed(edges)
     train, seen = F.col("train_mask"), F.col("train_mask") | F.col("validation_mask")
     return {
         "train": induced_subgraph(nodes, edges, train, coarse),
@@ -223,6 +224,16 @@ def aggregate_neighbours(features: DataFrame, edges: DataFrame, dims: Sequence[s
     return joined.select(time, node, *[activation(o, act).alias(d) for o, d in zip(outputs, dims)])
 
 
+def run_layers(features: DataFrame, edges: DataFrame, dims: Sequence[str], layers: Sequence[Mapping[str, Mapping]],
+               **options) -> DataFrame:
+    """Layers in a row. Features are written between layers: each layer reads its input twice,
+    so a deep network would otherwise double its plan with every layer."""
+    edges = checkpointed(edges)
+    for relations in layers:
+        features = aggregate_neighbours(checkpointed(features), edges, dims, relations, **options)
+    return features
+
+
 def readout(features: DataFrame, dims: Sequence[str], weights: Sequence[float], bias: float = 0.0,
             time: str = "time_sgt", node: str = "node", act: str = "relu") -> DataFrame:
     value = linear([F.col(d) for d in dims], [weights], [bias])[0]

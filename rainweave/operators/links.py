@@ -18,8 +18,10 @@ from pyspark.sql import functions as F
 from rainweave.functions.attenuation import link_polarisation, rain_rate, with_power_law
 from rainweave.functions.rain import clamp_negative
 from rainweave.operators.partitioned import carry_last, decay_horizon, next_row, row_position, with_halo
+from rainweave.session import checkpointed
 
 CHUNK = 4096
+RUNS_PER_BLOCK = 2048
 
 
 def _chunk(position: str) -> Column:
@@ -103,11 +105,13 @@ def baseline_constant(df: DataFrame, keys: Sequence[str], position: str, value:
         raise ValueError("wet_null must be 'wet' or 'null'")
     is_wet = F.coalesce(F.col(wet), F.lit(True))
     raw = ~is_wet | (F.col(position) < n)
+    if n > 1:
+        df = checkpointed(df)  # read three times below
     # a struct keeps a NULL level apart from "no new level here"
     rows = df.withColumn("_level", F.when(raw, F.struct(F.col(value).alias("v"))))
     if n > 1:
         rows = rows.withColumn("_order", F.col(position) * 2 + 1).withColumn("_row", F.lit(True))
-        starts = _run_levels(df, keys, position, value, is_wet, n).select(
+        starts = checkpointed(_run_levels(df, keys, position, value, is_wet, n)).select(
             *keys, F.col(position), (F.col(position) * 2).alias("_order"), F.struct(F.col("level").alias("v")).alias("_level")
         )
         rows = rows.unionByName(starts, allowMissingColumns=True)
@@ -134,38 +138,46 @@ def _run_levels(df: DataFrame, keys: Sequence[str], position: str, value: str, i
     starts_here = F.col("_wet") & (F.col(position) >= n) & (~previous_wet | (F.col(position) == n))
     lags = {f"_v{j}": F.lag("_v", j).over(line) for j in range(1, n + 1)}
     holds = {f"_h{j}": F.lag("_wet", j).over(line) & (F.col(position) - j >= n) for j in range(1, n + 1)}
+    # going back from a run, every stretch of held rows belongs to the next run further back
+    back, own, refs = F.lit(0), F.lit(0.0), []
+    for j in range(1, n + 1):
+        hold, raw = F.col(f"_h{j}"), F.col(f"_v{j}")
+        begins = hold if j == 1 else hold & ~F.col(f"_h{j - 1}")
+        back = back + begins.cast("int")
+        own = own + F.when(hold, F.lit(0.0)).otherwise(raw)
+        refs.append(F.when(hold, back))
+    # a run that crosses row n keeps the last raw row
+    crossing = F.col("_crossing")
     runs = (
-        spread.withColumns({"_start": starts_here, "_continued": previous_wet, **lags, **holds})
+        spread.withColumns({"_start": starts_here, "_crossing": previous_wet, **lags, **holds})
         .where("core and _start")
-        .select(*keys, position, "_continued", *lags, *holds)
+        .select(
+            *keys, position, F.col("_v1").alias("_guess"),
+            F.when(crossing, F.col("_v1") * n).otherwise(own).alias("_own"),
+            F.when(crossing, F.array().cast("array<int>")).otherwise(F.array_compact(F.array(*refs))).alias("_refs"),
+        )
     )
-    numbered = row_position(runs, keys, _chunk(position), [position], "_number")
+    numbered = row_position(checkpointed(runs), keys, _chunk(position), [position], "_number")
     lookback = -(-n // 2) * decay_horizon((n - 1) / n)
+    block = with_halo(numbered, "_number", max(RUNS_PER_BLOCK, lookback), lookback, 0)
+    ordered = block.groupBy(*keys, "chunk").agg(
+        F.sort_array(F.collect_list(F.struct("_number", position, "core", "_own", "_guess", "_refs"))).alias("_runs")
+    )
+
+    def level_of(levels: Column, run: Column) -> Column:
+        # before the look-back any finite level will do; NaN stands for an unknown level
+        held = F.aggregate(
+            run["_refs"], F.lit(0.0), lambda s, b: s + F.coalesce(F.get(levels, F.size(levels) - b), run["_guess"], F.lit(0.0))
+        )
+        return F.coalesce((run["_own"] + held) / F.lit(float(n)), F.lit(float("nan")))
 
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        values = pdf[[f"_v{j}" for j in range(1, n + 1)]].to_numpy(float)
-        held = pdf[[f"_h{j}" for j in range(1, n + 1)]].to_numpy(bool)
-        levels: list[float] = []
-        for v, hold, continued in zip(values, held, pdf["_continued"]):
-            if continued:  # the run crosses row n and keeps the last raw row
-                levels.append(v[0])
-                continue
-            total, back, inside = 0.0, 0, False
-            for j in range(n):
-                if hold[j]:
-                    back += not inside
-                    # before the look-back any finite level will do
-                    total += levels[-back] if back <= len(levels) else v[0]
-                else:
-                    total += v[j]
-                inside = hold[j]
-            levels.append(total / n)
-        return pdf[[*keys, position, "_number"]].assign(level=levels)
-
-    types = dict(df.dtypes)
-    schema = ", ".join(f"`{k}` {types[k]}" for k in [*keys, position]) + ", _number long, level double"
-    solved = apply_in_blocks(numbered, keys, "_number", solve, schema, max(2048, lookback), lookback)
-    return solved.select(*keys, position, F.when(~F.isnan("level"), F.col("level")).alias("level"))
+    levels = F.aggregate(
+        "_runs", F.array().cast("array<double>"), lambda levels, run: F.concat(levels, F.array(level_of(levels, run)))
+    )
+    solved = ordered.select(*keys, F.explode(F.arrays_zip(F.col("_runs").alias("run"), levels.alias("level"))).alias("_r"))
+    return solved.where("_r.run.core").select(
+        *keys, F.col(f"_r.run.{position}").alias(position), F.when(~F.isnan("_r.level"), F.col("_r.level")).alias("level")
+    )
 
 
 def baseline_linear(df: DataFrame, keys: Sequence[str], position: str, value: str, wet: str,
@@ -176,7 +188,7 @@ def baseline_linear(df: DataFrame, keys: Sequence[str], position: str, value: st
     as wet and blanks its run with both anchors (the next run sets its left anchor again);
     with ``ignore_null`` it continues the state before it instead.
     """
-    flags = df
+    df = checkpointed(df)
     if ignore_null:
         known = F.when(F.col(position) == 0, F.lit(False)).otherwise(F.col(wet))
         flags = carry_last(df, keys, _chunk(position), position, known, "_state")
@@ -194,13 +206,8 @@ def baseline_linear(df: DataFrame, keys: Sequence[str], position: str, value: st
         )
     marked = anchors.join(tainted, [*keys, position], "left").withColumn("_taint", F.coalesce("_taint", F.lit(False)))
     linked = next_row(
-        marked, keys, _chunk(position), position, F.struct(F.col(position).alias("at"), F.col("_v").alias("v")), "_next"
-    )
-    # what the segment before says about an anchor: blank when it was tainted
-    linked = linked.withColumn("_order", -F.col(position))
-    linked = next_row(
-        linked, keys, -F.floor(F.col(position) / CHUNK), "_order",
-        F.struct((F.col("_taint") & F.col("_next").isNotNull()).alias("blank")), "_before",
+        marked, keys, _chunk(position), position,
+        F.struct(F.col(position).alias("at"), F.col("_v").alias("v"), F.col("_taint").alias("taint")), "_next", "_before",
     )
     gap = F.col("_next.at") - F.col(position)
     rows = linked.withColumn(
@@ -210,8 +217,9 @@ def baseline_linear(df: DataFrame, keys: Sequence[str], position: str, value: st
     is_anchor = F.col("_at") == F.col(position)
     own_segment = F.coalesce(gap > 1, F.lit(False))
     level = (
+        # what the segment before says about an anchor holds unless a run follows it
         F.when(own_segment & F.col("_taint"), F.lit(None).cast("double"))
-        .when(is_anchor & ~own_segment & F.coalesce(F.col("_before.blank"), F.lit(False)), F.lit(None).cast("double"))
+        .when(is_anchor & ~own_segment & F.coalesce(F.col("_before.taint"), F.lit(False)), F.lit(None).cast("double"))
         # a line with an unknown end is unknown as a whole, also on its known anchor
         .when(is_anchor & ~own_segment, F.col("_v"))
         .otherwise(line)

@@ -82,22 +82,22 @@ def carry_last(
 
 
 def next_row(
-    df: DataFrame, keys: Sequence[str], chunk: Column, order: str, payload: Column, out: str
+    df: DataFrame, keys: Sequence[str], chunk: Column, order: str, payload: Column, out: str, previous: str | None = None
 ) -> DataFrame:
-    """``payload`` of the following row of the same key, NULL on the last row."""
+    """``payload`` of the following row of the same key, NULL on the last row.
+
+    With ``previous`` also the payload of the row before, under that name.
+    """
     part = [*keys, "_chunk"]
     marked = df.withColumn("_chunk", chunk).withColumn("_payload", payload)
-    follow = (
-        marked.groupBy(*part)
-        .agg(F.min_by("_payload", order).alias("_head"))
-        .select(*part, F.lead("_head").over(_over(keys).orderBy("_chunk")).alias("_follow"))
-    )
-    return (
-        marked.withColumn("_lead", F.lead("_payload").over(Window.partitionBy(*part).orderBy(order)))
-        .join(follow, part)
-        .withColumn(out, F.coalesce("_lead", "_follow"))
-        .drop("_chunk", "_payload", "_lead", "_follow")
-    )
+    line, chunks = Window.partitionBy(*part).orderBy(order), _over(keys).orderBy("_chunk")
+    ends = marked.groupBy(*part).agg(F.min_by("_payload", order).alias("_head"), F.max_by("_payload", order).alias("_tail"))
+    around = ends.select(*part, F.lead("_head").over(chunks).alias("_follow"), F.lag("_tail").over(chunks).alias("_lead_in"))
+    joined = marked.withColumns({"_lead": F.lead("_payload").over(line), "_lag": F.lag("_payload").over(line)}).join(around, part)
+    joined = joined.withColumn(out, F.coalesce("_lead", "_follow"))
+    if previous is not None:
+        joined = joined.withColumn(previous, F.coalesce("_lag", "_lead_in"))
+    return joined.drop("_chunk", "_payload", "_lead", "_lag", "_follow", "_lead_in")
 
 
 def with_halo(

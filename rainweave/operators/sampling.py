@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rainweave.operators.partitioned import row_position
+from rainweave.session import checkpointed
 
 
 def hash_order(seed: Column | int, gid: Column) -> Column:
@@ -33,6 +34,7 @@ def share_size(n: Column, percent: float, minimum: int) -> Column:
 
 def spatial_clusters(stations: DataFrame, k: int = 8, seed: int = 123, tries: int = 10) -> DataFrame:
     """K-means on (longitude, latitude), best of several starts, labels ordered by centroid."""
+    stations = checkpointed(stations)  # every iteration of every start reads it
     vectors = VectorAssembler(inputCols=["longitude", "latitude"], outputCol="_v").transform(stations)
     fits = [KMeans(k=k, seed=seed + i, featuresCol="_v", predictionCol="_label").fit(vectors) for i in range(tries)]
     best = min(fits, key=lambda m: m.summary.trainingCost)
@@ -133,8 +135,11 @@ def role_shares(split: DataFrame, role: str, keys: Sequence[str] = ()) -> DataFr
     return counts.withColumn("percent", F.col("stations") * 100.0 / totals.scalar())
 
 
-def split_report(split: DataFrame, role: str, gid: str = "gid") -> DataFrame:
-    """Role, its size, and its station ids in order, one numbered row each."""
+def split_report(split: DataFrame, role: str, coarse: Column, gid: str = "gid") -> DataFrame:
+    """Role, its size, and its station ids in order, one numbered row each.
+
+    ``coarse`` must be non-decreasing in the id: a quotient for numbers, leading letters for text.
+    """
     sizes = split.groupBy(role).agg(F.count(F.lit(1)).alias("stations"))
-    listed = row_position(split.select(role, gid), [role], F.floor(F.col(gid) / 4096), [gid], "position")
+    listed = row_position(split.select(role, gid, coarse.alias("_c")), [role], F.col("_c"), [gid], "position")
     return listed.join(sizes, role).select(role, "stations", "position", gid)

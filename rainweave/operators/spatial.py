@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rainweave.functions.geo import KM_PER_DEGREE, segment_distance, straight_distance
+from rainweave.session import checkpointed
 
 # a leaf of the search tree holds at most this many distinct coordinates
 LEAF_SITES = 32
@@ -103,7 +104,8 @@ def nearest_neighbours(sources: DataFrame, targets: DataFrame, k: int, source_id
         .groupBy(*by, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
         .agg(F.sort_array(F.collect_list(F.struct(target_id, *payload))).alias("_members"))
     )
-    box = sites.agg(F.min("_x"), F.max("_x"), F.min("_y"), F.max("_y")).first()
+    sites = checkpointed(sites)  # read once per level below
+    n_sites, *box = sites.agg(F.count(F.lit(1)), F.min("_x"), F.max("_x"), F.min("_y"), F.max("_y")).first()
     low_x, high_x, low_y, high_y = [v if v is not None else 0.0 for v in box]
     side = max(high_x - low_x, high_y - low_y) or 1.0
 
@@ -114,7 +116,7 @@ def nearest_neighbours(sources: DataFrame, targets: DataFrame, k: int, source_id
         cells = F.pow(F.lit(4.0), level)
         return df.withColumns({"_i": square(F.col("_x"), low_x, cells), "_j": square(F.col("_y"), low_y, cells)})
 
-    depth = _tree_depth(placed, sites, by)
+    depth = _tree_depth(placed, sites, by, n_sites)
 
     def squares(level: int) -> DataFrame:
         return (
@@ -206,16 +208,26 @@ def nearest_neighbours(sources: DataFrame, targets: DataFrame, k: int, source_id
     return pairs.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def _tree_depth(placed, sites: DataFrame, by: Sequence[str]) -> int:
-    """Smallest level at which every square holds few coordinates; one small row per level."""
-    levels = sites.withColumn("_level", F.explode(F.sequence(F.lit(0), F.lit(MAX_DEPTH))))
-    crowd = (
-        placed(levels, F.col("_level"))
-        .groupBy(*by, "_level", "_i", "_j").agg(F.count(F.lit(1)).alias("n"))
-        .groupBy("_level").agg(F.max("n").alias("n"))
-    )
-    fits = [row["_level"] for row in crowd.collect() if row["n"] <= LEAF_SITES]
-    return min(fits, default=MAX_DEPTH)
+def _tree_depth(placed, sites: DataFrame, by: Sequence[str], n_sites: int) -> int:
+    """Smallest level at which every square holds few coordinates.
+
+    Even data needs about log16(n / leaf) levels, so these are measured first; deeper ones only
+    where places are crowded. Each measurement returns one row per level.
+    """
+    first, last = 0, 1 + math.ceil(math.log(max(n_sites, 1) / LEAF_SITES, 16)) if n_sites > LEAF_SITES else 0
+    while first <= MAX_DEPTH:
+        last = min(last, MAX_DEPTH)
+        levels = sites.withColumn("_level", F.explode(F.sequence(F.lit(first), F.lit(last))))
+        crowd = (
+            placed(levels, F.col("_level"))
+            .groupBy(*by, "_level", "_i", "_j").agg(F.count(F.lit(1)).alias("n"))
+            .groupBy("_level").agg(F.max("n").alias("n"))
+        )
+        fits = [row["_level"] for row in crowd.collect() if row["n"] <= LEAF_SITES]
+        if fits or n_sites == 0:
+            return min(fits, default=0)
+        first, last = last + 1, last + 3
+    return MAX_DEPTH
 
 
 def covered_cells(cells: DataFrame, links: DataFrame, reach: float, cell_id: Sequence[str], x: str = "x", y: str = "y") -> DataFrame:

@@ -198,16 +198,14 @@ def _layer_sql(source: str, name: str, mean: bool) -> str:
        + _layer_sql("h1", "h2", False) + "select time_sgt, node, round(greatest(0.7e0 * rain - 0.1e0 * temp + 0.05e0, 0), 9) as estimate from h2")
 def g9_sum_two_layers(spark, folder):
     """Two layers of relation-wise sums and a readout, with given weights."""
-    edges, h = edges_with_types(spark, folder), daily_features(spark, folder)
-    for _ in range(2):
-        h = graph.aggregate_neighbours(h, edges, DIMS, RELATIONS)
+    h = graph.run_layers(daily_features(spark, folder), edges_with_types(spark, folder), DIMS, [RELATIONS, RELATIONS])
     return graph.readout(h, DIMS, [0.7, -0.1], 0.05).withColumn("estimate", rounded(F.col("estimate"), 9))
 
 
 @query("g9_mean_layer", views.with_views("obs", "stations") + _TYPED_SQL + _FEATURE_SQL + _layer_sql("feat", "h1", True)
        + "select time_sgt, node, round(rain, 9) as rain, round(temp, 9) as temp from h1")
 def g9_mean_layer(spark, folder):
-    h = graph.aggregate_neighbours(daily_features(spark, folder), edges_with_types(spark, folder), DIMS, RELATIONS, how="mean")
+    h = graph.run_layers(daily_features(spark, folder), edges_with_types(spark, folder), DIMS, [RELATIONS], how="mean")
     return h.withColumns({d: rounded(F.col(d), 9) for d in DIMS})
 
 

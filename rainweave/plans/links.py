@@ -418,12 +418,12 @@ def a13_masked_link_total(spark, folder):
 @query(
     "a11_link_coordinates",
     views.with_views("cml", "cml_link") + """
-select link_id, round(avg(site_a_latitude), 9) as latitude, round(avg(site_a_longitude), 9) as longitude, count(*) as n
+select link_id, round(avg(site_a_latitude), 6) as latitude, round(avg(site_a_longitude), 6) as longitude, count(*) as n
 from cml join cml_link using (link_id) group by link_id""",
 )
 def a11_link_coordinates(spark, folder):
     return s_table(spark, folder).groupBy("link_id").agg(
-        rounded(F.avg("site_a_latitude"), 9).alias("latitude"), rounded(F.avg("site_a_longitude"), 9).alias("longitude"),
+        rounded(F.avg("site_a_latitude")).alias("latitude"), rounded(F.avg("site_a_longitude")).alias("longitude"),
         F.count(F.lit(1)).alias("n"),
     )
 

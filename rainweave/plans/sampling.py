@@ -110,7 +110,7 @@ def k5_role_shares(spark, folder):
 select ml_role, count(*) over (partition by ml_role) as stations, row_number() over (partition by ml_role order by gid) - 1 as position, gid from roles""",
 )
 def s9_split_report(spark, folder):
-    return sampling.split_report(station_roles(spark, folder), "ml_role")
+    return sampling.split_report(station_roles(spark, folder), "ml_role", F.floor(F.col("gid") / 4096))
 
 
 @query(

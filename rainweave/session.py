@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,19 +32,29 @@ def build_session(master: str | None = None, app: str = "rainweave", **conf) ->
     return builder.getOrCreate()
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the shared folder named in ``spark.checkpoint.dir``.
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder named in ``spark.checkpoint.dir``.
 
     A folder is made here only for a local master without that setting; on a cluster the
-    setting is required, since a machine-local folder is lost with its executor.
+    setting is required, since a machine-local folder is lost with its machine.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-            folder = tempfile.mkdtemp(prefix="rainweave-checkpoint-")
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if folder is None:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
+        folder = tempfile.mkdtemp(prefix="rainweave-checkpoint-")
         context.setCheckpointDir(folder)
-    return df.checkpoint()
+    return folder
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Write the table to the checkpoint folder and go on from there.
+
+    For results that are read several times or in a loop: the lineage is cut, lost executors
+    cost no recomputation, and later reads prune columns. One pass, unlike ``checkpoint()``,
+    which runs the last stage twice.
+    """
+    path = f"{checkpoint_folder(df.sparkSession).rstrip('/')}/rainweave-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -62,6 +62,7 @@ def series(request):
 def short_chunks(monkeypatch):
     # chunk borders must fall inside the small series
     monkeypatch.setattr(ops, "CHUNK", 64)
+    monkeypatch.setattr(ops, "RUNS_PER_BLOCK", 16)
 
 
 def by_link(got, column):

@@ -21,7 +21,7 @@ def test_equals_sql(spark, con, name):
 
 @pytest.mark.parametrize("name", sorted(set(entry.queries()) - set(entry.oracle_sql())))
 def test_runs(spark, name):
-    assert entry.queries()[name](spark, FOLDER).columns
+    assert entry.queries()[name](spark, FOLDER).count() > 0
 
 
 def test_entry(spark):

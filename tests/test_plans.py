@@ -7,7 +7,7 @@ import __spark_entry__ as entry
 FOLDER = "/root/testdata/sf0.001"
 # Python is expected only where a dense solve, a recursion or complex numbers need it
 PYTHON = {
-    "w3_baseline_mean_of_five", "w5_wet_antenna", "p8_clamped_attenuation", "w9_link_rain", "x1_blockwise_function",
+    "x1_blockwise_function",
     "f8_waa_leijnse", "f9_waa_leijnse_observed", "i4_ordinary_kriging", "i5_universal_kriging", "i6_external_drift_kriging",
     "i7_variogram_bins", "i9_kriging_benchmark",
 }
