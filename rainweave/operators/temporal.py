@@ -119,23 +119,21 @@ def assign_to_index(
     inside = F.col(time).between(low, high)
     kept = values.where(inside)
     marks = index.select(time).distinct().where(inside)
-    gaps = next_row(marks, [], F.to_date(F.col(time)), time, F.col(time), "_to").withColumnRenamed(time, "_from")
+    t, mark = F.col(time), F.col("_mark")
+    around = next_row(marks, [], F.to_date(F.col(time)), time, F.col(time), "_after", "_before").withColumnRenamed(time, "_mark")
 
-    def span(t: Column) -> Column:
-        return F.floor(epoch_seconds(t) / F.lit(span_seconds)).cast("long")
+    def span(value: Column) -> Column:
+        return F.floor(epoch_seconds(value) / F.lit(span_seconds)).cast("long")
 
-    end = F.coalesce(F.col("_to"), high)
-    spread = gaps.withColumn("_span", F.explode(F.sequence(span(F.col("_from")), span(end))))
-    t = F.col(time)
     if label == "left":
-        hit = (t >= F.col("_from")) & (F.col("_to").isNull() | (t < F.col("_to")))
-        target = F.col("_from")
+        start, end = mark, F.coalesce("_after", high)
+        hit = (t >= mark) & (F.col("_after").isNull() | (t < F.col("_after")))
     else:
-        # a row exactly on an index time takes that time; later rows take the end of the gap
-        hit = (t >= F.col("_from")) & (F.col("_to").isNull() | (t < F.col("_to")))
-        target = F.when(t == F.col("_from"), F.col("_from")).otherwise(F.col("_to"))
+        start, end = F.coalesce("_before", low), mark
+        hit = (t <= mark) & (F.col("_before").isNull() | (t > F.col("_before")))
+    spread = around.withColumn("_span", F.explode(F.sequence(span(start), span(end))))
     keyed = kept.withColumn("_span", span(t))
     return (
         keyed.join(spread, (keyed["_span"] == spread["_span"]) & hit, "left")
-        .select(*[kept[c] for c in kept.columns], target.alias("target"))
+        .select(*[kept[c] for c in kept.columns], mark.alias("target"))
     )

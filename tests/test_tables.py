@@ -35,6 +35,24 @@ def test_index_label_is_checked(spark):
         temporal.assign_to_index(df, df, "t", "middle")
 
 
+@pytest.mark.parametrize("label", ["left", "right"])
+@pytest.mark.parametrize("seed", range(4))
+def test_index_assignment(spark, label, seed):
+    rng = np.random.default_rng(seed)
+    start = pd.Timestamp("2024-01-01")
+    values = start + pd.to_timedelta(np.sort(rng.choice(400000, 60, replace=False)), unit="s")
+    index = start + pd.to_timedelta(np.sort(np.append(rng.choice(400000, 25, replace=False), (values[5] - start).total_seconds())), unit="s")
+    low, high = max(values.min(), index.min()), min(values.max(), index.max())
+    marks = sorted({m for m in index if low <= m <= high})
+    want = {}
+    for v in values[(values >= low) & (values <= high)]:
+        near = [m for m in marks if (m <= v if label == "left" else m >= v)]
+        want[v] = (max(near) if label == "left" else min(near)) if near else None
+    frame = lambda ts: spark.createDataFrame([(t.to_pydatetime(),) for t in ts], "t timestamp_ntz")
+    got = temporal.assign_to_index(frame(values), frame(index), "t", label).collect()
+    assert {pd.Timestamp(r.t): None if r.target is None else pd.Timestamp(r.target) for r in got} == want
+
+
 def test_rain_class_edges(spark):
     values = [None, 0.0, 0.1, 0.19, 20.0, 19.9]
     got = [r.c for r in spark.createDataFrame([(v,) for v in values], "v double").select(rain.rain_class(F.col("v")).alias("c")).collect()]
