@@ -134,10 +134,12 @@ from (select unnest(generate_series(0, 4)) as a)""",
 )
 def u3_fold_intersections(spark, folder):
     """Test stations of every fold and how many also test in another fold."""
-    tests = station_folds(spark, folder).where(F.col("statistical_role") == "test").select("fold", "gid")
-    often = tests.groupBy("gid").agg(F.countDistinct("fold").alias("folds"))
-    return tests.join(often, "gid").groupBy("fold").agg(
-        F.count(F.lit(1)).alias("test_stations"), F.count_if(F.col("folds") > 1).alias("shared")
+    folds = station_folds(spark, folder)
+    is_test = F.col("statistical_role") == "test"
+    often = folds.where(is_test).groupBy("gid").agg(F.countDistinct("fold").alias("folds"))
+    # a fold without test stations keeps its row
+    return folds.join(often, "gid", "left").groupBy("fold").agg(
+        F.count_if(is_test).alias("test_stations"), F.count_if(is_test & (F.col("folds") > 1)).alias("shared")
     )
 
 
