@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rainweave.llm.text import lettered_words, row_key
+from rainweave.llm.text import lettered_words, row_key, settled
 from rainweave.session import checkpointed
 
 WINDOW = 10
@@ -99,7 +99,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, drop_share: float = 0.5
     ``drop_share`` of the words are hit goes. Clean documents stay as they are."""
     found = scan(docs, benchmark, window, text_column)
     text = F.col(f"row.`{text_column}`")
-    kept = found.where(hit_words() <= drop_share * F.size("words")).select("row", "spans")
+    kept = settled(found, "kept", hit_words() <= drop_share * F.size("words")).where("kept").select("row", "spans")
     return kept.select(*[
         (F.when(F.size("spans") > 0, cleaned_text(text, F.col("spans"))).otherwise(text) if c == text_column else F.col(f"row.`{c}`")).alias(c)
         for c in docs.columns

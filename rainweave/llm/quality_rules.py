@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rainweave.llm.text import spaced_words
+from rainweave.llm.text import settled, spaced_words
 
 WINDOW = 8
 
@@ -119,4 +119,4 @@ def apply_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_column: s
     A NULL text counts as empty: it has no words and fails the word count. Repeated rows are judged
     one by one. Input columns are only inside ``row``, so no name can clash.
     """
-    return measures(docs, text_column).withColumn("failed_rules", verdict(rules)).withColumn("kept", F.size("failed_rules") == 0)
+    return settled(measures(docs, text_column).withColumn("failed_rules", verdict(rules)), "kept", F.size("failed_rules") == 0)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SPACE = r"[\x20\x09-\x0D]"
@@ -34,9 +34,10 @@ def row_key(*columns: Column) -> Column:
     return F.xxhash64(*columns)
 
 
-def free_name(columns: list[str], name: str) -> str:
-    """``name``, with underscores in front until no column is called so."""
-    taken = {c.lower() for c in columns}
-    while name.lower() in taken:
-        name = "_" + name
-    return name
+def settled(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """``df`` with a boolean column that filters use as it is.
+
+    Tied to a row number, it is not replaced by its expressions further down: a filter on it would
+    otherwise repeat all measures of a text within one condition.
+    """
+    return df.withColumn("_row_number", F.monotonically_increasing_id()).withColumn(name, value & (F.col("_row_number") >= 0)).drop("_row_number")
