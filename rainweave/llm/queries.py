@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rainweave.llm import decontamination, mixing, ngram_join, quality_rules, secrets
+from rainweave.llm import chat, compression, decontamination, licenses, mixing, ngram_join, pii, quality_rules, secrets
 from rainweave.llm import sql as twins
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,6 +38,21 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.ngram_components(table(spark, folder, "documents"))
 
 
+@query("op2_contextual_pii")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    found = pii.find_pii(table(spark, folder, "documents"))
+
+    def count(k: int) -> Column:
+        return F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long").alias(f"n_{pii.KINDS[k]}")
+
+    base = pii.span_text("spans")
+    return found.select(
+        "doc_id", *[count(k) for k in range(len(pii.KINDS))],
+        F.sha2(F.array_join(base, ","), 256).alias("base_sha256"),
+        F.array_join(F.concat(base, pii.span_text("found", "context_")), ",").alias("spans"),
+    )
+
+
 @query("op3_secret_scan")
 def op3(spark: SparkSession, folder: str) -> DataFrame:
     found = secrets.scan(table(spark, folder, "documents"))
@@ -55,11 +70,39 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query("op4_quality_classifier")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    return compression.score_quality(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query("op5_language_id")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    return compression.identify_language(table(spark, folder, "documents"))
+
+
+@query("op6_license_scan")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    words = F.transform("places", lambda p: p["word"])
+    return licenses.scan_licenses(table(spark, folder, "documents")).select(
+        "doc_id", "n_words", F.size("places").cast("long").alias("n_base"),
+        F.array_min(words).cast("long").alias("first_word"), F.array_max(words).cast("long").alias("last_word"),
+        F.array_join("base_labels", ",").alias("base_labels"), F.array_join("labels", ",").alias("labels"), "score",
+    )
+
+
 @query("op7_source_mix", twins.MIX)
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(table(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+@query("op8_chat_windows")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    text = r"\### Assistant: </turn> ok"
+    extra = spark.createDataFrame([(-7, 0, "user", text), (-7, 1, "assistant", text)], "conv_id long, turn long, role string, text string")
+    turns = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    return chat.read_back(chat.format_conversations(turns))
+
+
 @query("op9_decontamination", twins.DECONTAMINATION)
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     found = decontamination.scan(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
