@@ -18,7 +18,8 @@ from rainweave.session import checkpointed
 SAMPLE_ROWS = 1500  # labelled rows per class: the bound of the learning sample
 SAMPLE_CHARS = 4000  # of a sampled text; scored texts are always whole
 DICTIONARY_BYTES = 96 << 10
-LEVEL = 3
+LEVEL = 6
+LEAST_MATCH = 4
 FOLDS = 5
 
 
@@ -58,8 +59,8 @@ class Sizer:
         self.compressors = []
         for data in dictionaries:
             held = zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            held.precompute_compress(level=LEVEL)
-            self.compressors.append(zstandard.ZstdCompressor(dict_data=held, write_content_size=False, write_dict_id=False))
+            how = zstandard.ZstdCompressionParameters.from_level(LEVEL, min_match=LEAST_MATCH, write_content_size=False, write_dict_id=False)
+            self.compressors.append(zstandard.ZstdCompressor(dict_data=held, compression_params=how))
 
     def sizes(self, data: bytes) -> list[int]:
         return [len(c.compress(data)) for c in self.compressors]

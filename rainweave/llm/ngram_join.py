@@ -4,12 +4,12 @@ The document by n-gram incidence matrix is multiplied with its transpose in bloc
 the columns that can still decide a pair:
 
 1. Documents with equal sets become one row of the matrix.
-2. Equal minima under a few hash functions give likely links at a cost linear in the documents. They are
-   verified on the whole sets and merged, so a large group of near copies is one component
-   before any pair of its members is looked at. This step only saves work.
+2. Equal minima under a few hash functions suggest groups of near copies. Within a group the product is
+   computed in tiles of whole sets, and a tile returns a spanning forest of its links, so a large group costs
+   no row per pair. This step decides no pair of different groups.
 3. Columns are ordered by rarity. Two sets that link share one of their rarest
    ``n - ceil(t * n) + 1`` columns, so only these entries are dealt to column blocks. Each block
-   counts shared entries of pairs from different components, the counts are summed over the
+   counts shared entries of pairs from different groups, the counts are summed over the
    blocks, and a pair goes where count plus all that lies outside the shorter prefix stays
    below the overlap that the two sizes ask for.
 4. What is left is verified on the whole sets.
@@ -28,11 +28,15 @@ from rainweave.llm.components import components
 from rainweave.llm.words import SPACED, Words, mix, sequence_hashes, text_slices, words_of
 from rainweave.session import checkpointed
 
-KEYS = 4  # minima tried before the exact pass
+KEYS = 12  # minima that suggest groups of near copies
+TILE_ROWS = 512  # sets in a block of a group
+TILE_COLUMNS = 2048  # columns multiplied at a time
 SKETCH_BITS = 16  # size of the count sketch that orders the columns
 FILTER_BITS = 23  # size of the filter that saves reading sets of documents without candidates
-BLOCK_ENTRIES = 500_000
+BLOCK_ENTRIES = 2_000_000
+LEAST_BLOCKS = 6
 PAIR_CHUNK = 500_000
+HEAD = np.dtype([("node", "<i8"), ("n", "<i4"), ("end", "<u2")])  # of a set in a block; ``end`` keeps the leading bits of the order
 
 
 def shingle_sets(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -132,7 +136,10 @@ def _deal(blocks: int):
 
     def run(batches):
         for batch in batches:
-            head = [batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(4)]  # id, n, end, label
+            node, n, end, label = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(4))
+            head = np.zeros(len(node), dtype=HEAD)
+            head["node"], head["n"], head["end"] = node, n, end >> 47
+            merged = label != node
             columns = batch.column(4).to_pylist()
             values = np.frombuffer(b"".join(columns), dtype=np.uint64)
             owner = np.repeat(np.arange(len(columns)), [len(x) // 8 for x in columns])
@@ -140,29 +147,37 @@ def _deal(blocks: int):
             order = np.argsort(block, kind="stable")
             values, owner, block = values[order], owner[order], block[order]
             edges = np.concatenate([np.flatnonzero(np.diff(block, prepend=-1)), [len(block)]])
-            rows = {"block": [], "columns": [], "counts": [], "heads": []}
+            rows = {"block": [], "columns": [], "counts": [], "heads": [], "labels": []}
             for a, b in zip(edges[:-1], edges[1:]):
                 docs, counts = np.unique(owner[a:b], return_counts=True)
                 rows["block"].append(int(block[a]))
                 rows["columns"].append(values[a:b].tobytes())
-                rows["counts"].append(counts.astype(np.int32).tobytes())
-                rows["heads"].append(np.stack([h[docs] for h in head]).tobytes())
+                rows["counts"].append(np.minimum(counts, 2**31 - 1).astype(np.int32).tobytes())
+                rows["heads"].append(head[docs].tobytes())
+                inside = docs[merged[docs]]
+                rows["labels"].append(np.stack([node[inside], label[inside]], axis=1).tobytes())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(rows["block"], pa.int64()), _binary(rows["columns"]), _binary(rows["counts"]), _binary(rows["heads"])], list(rows)
+                [pa.array(rows["block"], pa.int64()), *[_binary(rows[k]) for k in list(rows)[1:]]], list(rows)
             )
 
     return run
 
 
 def _count_block(percent: int):
-    """Shared entries of pairs from different components within one block of columns."""
+    """Shared entries of pairs from different groups within one block of columns."""
 
     def run(table: pa.Table) -> pa.Table:
         values = np.frombuffer(b"".join(table.column("columns").to_pylist()), dtype=np.uint64)
         counts = np.frombuffer(b"".join(table.column("counts").to_pylist()), dtype=np.int32)
-        heads = np.concatenate([np.frombuffer(x, dtype=np.int64).reshape(4, -1) for x in table.column("heads").to_pylist()], axis=1)
+        heads = np.frombuffer(b"".join(table.column("heads").to_pylist()), dtype=HEAD)
+        known = np.frombuffer(b"".join(table.column("labels").to_pylist()), dtype=np.int64).reshape(-1, 2)
+        known = known[np.argsort(known[:, 0], kind="stable")]
+        labels = heads["node"].astype(np.int64)
+        if len(known):
+            at = np.minimum(np.searchsorted(known[:, 0], labels), len(known) - 1)
+            labels = np.where(known[at, 0] == labels, known[at, 1], labels)
         owner = np.repeat(np.arange(len(counts)), counts)
-        node, n, end, label = heads[:, owner]
+        node, n, end, label = heads["node"][owner], heads["n"][owner].astype(np.int64), heads["end"][owner], labels[owner]
         order = np.lexsort((node, label, values))
         values, node, n, end, label = values[order], node[order], n[order], end[order], label[order]
         fresh = np.ones(len(values), dtype=bool)  # a set met in several rows counts once
@@ -245,15 +260,77 @@ def _overlap(percent: int):
     return run
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Pairs whose whole sets link. Reads the sets of documents in pairs only."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = (
+def _sets_of(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
+    """``id``, ``columns`` of the documents with these ids; other texts are skipped by a filter of fixed size."""
+    return (
         docs.select("id", "text", F.xxhash64("id").alias("place"))
         .mapInArrow(_wanted(size, _filter_of(ids)), "id long, columns binary")
         .join(ids, "id", "left_semi")
     )
-    sets = checkpointed(sets)
+
+
+def _tile(percent: int):
+    """Links within one tile of a group, as a spanning forest: the product of two blocks of rows, by slices of columns."""
+
+    def run(table: pa.Table) -> pa.Table:
+        ids = table.column("id").to_numpy()
+        sets = [np.frombuffer(x, dtype=np.uint64) for x in table.column("columns").to_pylist()]
+        n = np.array([len(x) for x in sets], dtype=np.int64)
+        values, places, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        owner = np.repeat(np.arange(len(sets)), n)
+        often = counts > 1  # a column of one row adds nothing
+        column = np.cumsum(often) - 1
+        keep = often[places]
+        column, owner = column[places[keep]], owner[keep]
+        order = np.argsort(column, kind="stable")
+        column, owner, width = column[order], owner[order], int(often.sum())
+        product = np.zeros((len(sets), len(sets)), dtype=np.float32)
+        for begin in range(0, width, TILE_COLUMNS):
+            a, b = np.searchsorted(column, [begin, begin + TILE_COLUMNS])
+            part = np.zeros((len(sets), min(TILE_COLUMNS, width - begin)), dtype=np.float32)
+            part[owner[a:b], column[a:b] - begin] = 1
+            product += part @ part.T
+        link = product >= _needed(n[:, None], n[None, :], percent)
+        link &= (n > 0)[:, None]
+        label, first = np.arange(len(ids)), []
+        open_rows = np.ones(len(ids), dtype=bool)
+        for i in range(len(ids)):  # breadth first from every row not reached yet
+            if not open_rows[i]:
+                continue
+            reached = np.zeros(len(ids), dtype=bool)
+            edge = np.array([i])
+            reached[i] = True
+            while len(edge):
+                fresh = link[edge].any(axis=0) & ~reached
+                reached |= fresh
+                edge = np.flatnonzero(fresh)
+            label[reached] = i
+            open_rows &= ~reached
+        far = label != np.arange(len(ids))
+        return pa.table({"a": pa.array(ids[label[far]], pa.int64()), "b": pa.array(ids[far], pa.int64())})
+
+    return run
+
+
+def _linked_within(docs: DataFrame, groups: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links that connect all that links within each group of (``node``, ``group``), on whole sets.
+
+    A group is cut into blocks of about ``TILE_ROWS`` sets by hash; every pair of blocks is a tile, a task of
+    bounded size, that returns a forest and not its pairs.
+    """
+    sizes = groups.groupBy("group").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    members = checkpointed(groups.join(sizes, "group").select(F.col("node").alias("id"), "group", F.ceil(F.col("size") / TILE_ROWS).cast("int").alias("cuts")))
+    own = F.pmod(F.xxhash64("id"), F.col("cuts")).cast("int")
+    tiles = members.select("id", "group", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("other"))
+    tiles = tiles.select("id", "group", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    sets = _sets_of(docs, members.select("id").distinct(), size)
+    return checkpointed(sets.join(tiles, "id").groupBy("group", "i", "j").applyInArrow(_tile(percent), "a long, b long").distinct())
+
+
+def _verified(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
+    """Pairs whose whole sets link. Reads the sets of documents in pairs only."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    sets = _sets_of(docs, ids, size)
     left, right = (sets.withColumnsRenamed({"id": k, "columns": f"columns_{k}"}) for k in ("a", "b"))
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "columns_a", "columns_b")
     return checkpointed(both.mapInArrow(_overlap(percent), "a long, b long").distinct())
@@ -277,30 +354,32 @@ def ngram_components(docs: DataFrame, words: int = 5, percent: int = 75, id_colu
         F.min("id").alias("node"), F.first("n").alias("n"), F.first("minima").alias("minima"))
     classes = checkpointed(classes)
 
-    # likely links: each class with the smallest class of the same minimum
-    keyed = classes.select("node", "n", F.posexplode("minima").alias("k", "minimum"))
-    heads = keyed.groupBy("k", "minimum").agg(F.min_by(F.struct("node", "n"), "node").alias("head"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    likely = (
-        keyed.join(heads.select("k", "minimum", F.col("head.node").alias("a"), F.col("head.n").alias("m")), ["k", "minimum"])
-        .where(f"a < node and 100 * least(n, m) >= {percent} * greatest(n, m)")
-        .select("a", F.col("node").alias("b")).distinct()
-    )
-    sure = _verified(docs, checkpointed(likely), words, percent)
-    merged = components(sure)
+    # likely groups: each class with the most central class of its minima; a class whose minima are
+    # shared by many is central
+    keyed = classes.select("node", F.posexplode("minima").alias("k", "minimum"))
+    shared_minima = checkpointed(keyed.groupBy("k", "minimum").agg(F.count(F.lit(1)).alias("size")).where("size > 1"))
+    keyed = keyed.join(shared_minima, ["k", "minimum"])
+    central = checkpointed(keyed.groupBy("node").agg(F.sum("size").alias("weight"))).select("node", F.struct("weight", (-F.col("node")).alias("back")).alias("rank"))
+    scored = keyed.drop("size").join(central, "node")
+    heads = scored.groupBy("k", "minimum").agg(F.max("rank").alias("head"))
+    near = checkpointed(keyed.drop("size").join(heads, ["k", "minimum"]).groupBy("node").agg((-F.max("head").getField("back")).alias("head")))
+    onward = near.select(F.col("node").alias("head"), F.col("head").alias("next"))
+    groups = checkpointed(near.join(onward, "head", "left").select("node", F.coalesce("next", "head").alias("group")))
+    sure = _linked_within(docs, groups, words, percent)
 
     # exact pass over the rarest columns of the classes
     counts = signed.where("sketch is not null").select(F.posexplode("sketch")).groupBy("pos").agg(F.sum("col").alias("count")).toPandas()
     rarity = np.zeros(1 << SKETCH_BITS, dtype=np.uint8)
     rarity[counts["pos"].to_numpy(dtype=np.int64)] = np.floor(4 * np.log2(1 + counts["count"].to_numpy(dtype=np.float64)))
     entries = classes.agg(F.sum(F.expr("n div 4 + 1"))).first()[0] or 0
-    blocks = max(12, int(entries) // BLOCK_ENTRIES)
-    labels = classes.select("node", "n").distinct().join(merged.withColumnRenamed("node", "member"), F.col("node") == F.col("member"), "left").select(
-        F.col("node").alias("id"), F.col("n"), F.coalesce("component", "node").alias("label"))
+    blocks = max(LEAST_BLOCKS, int(entries) // BLOCK_ENTRIES)
+    labels = classes.select("node", "n").distinct().join(groups.withColumnRenamed("node", "member"), F.col("node") == F.col("member"), "left").select(
+        F.col("node").alias("id"), F.col("n"), F.coalesce("group", "node").alias("label"))
     shared = (
         docs.where("id is not null").mapInArrow(_prefixes(words, percent, rarity), "id long, n long, end long, columns binary")
         .join(labels, ["id", "n"])
         .select("id", "n", "end", "label", "columns")
-        .mapInArrow(_deal(blocks), "block long, columns binary, counts binary, heads binary")
+        .mapInArrow(_deal(blocks), "block long, columns binary, counts binary, heads binary, labels binary")
         .groupBy("block").applyInArrow(_count_block(percent), "a long, b long, shared long, least long")
         .groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.min("least").alias("least"))
         .where("shared >= least").select("a", "b")

@@ -60,12 +60,18 @@ def test_equals_brute_force(spark):
 
 
 def test_without_the_merging_step(spark, monkeypatch):
-    """The exact pass finds every component by itself."""
+    """The column blocks find every component by themselves."""
     monkeypatch.setattr(ngram_join, "KEYS", 0)
     monkeypatch.setattr(ngram_join, "PAIR_CHUNK", 50)
     check(spark, corpus(9))
 
 
+def test_groups_of_several_tiles(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "TILE_ROWS", 7)
+    monkeypatch.setattr(ngram_join, "TILE_COLUMNS", 16)
+    check(spark, corpus(4))
+
+
 def test_borders(spark):
     base = [f"a{i}" for i in range(44)]
     rows = [
