@@ -29,9 +29,11 @@ from rainweave.llm.words import SPACED, Words, mix, sequence_hashes, text_slices
 from rainweave.session import checkpointed
 
 KEYS = 12  # minima that suggest groups of near copies
+AGREE = 4  # of these minima lead to the head of a group; one shared passage seldom does that
 TILE_ROWS = 512  # sets in a block of a group
 TILE_COLUMNS = 2048  # columns multiplied at a time
-SKETCH_BITS = 16  # size of the count sketch that orders the columns
+SKETCH_BITS = 20  # size of the count sketch that orders the columns: one byte a bucket in every task
+SKETCH_CHUNK = 1024
 FILTER_BITS = 23  # size of the filter that saves reading sets of documents without candidates
 BLOCK_ENTRIES = 2_000_000
 LEAST_BLOCKS = 6
@@ -74,6 +76,9 @@ def _per_text(values: np.ndarray, begin: np.ndarray) -> list[bytes]:
     return [values[a:b].tobytes() for a, b in zip(begin[:-1], begin[1:])]
 
 
+SIGNATURE = ["id", "n", "same", "minima", "chunk", "sketch"]
+
+
 def _signatures(size: int):
     def run(batches):
         import hashlib
@@ -90,17 +95,26 @@ def _signatures(size: int):
                         minima[full, k] = np.minimum.reduceat(mix(values ^ np.uint64(k * 0x9E3779B97F4A7C15 % 2**64)), begin[:-1][full]).view(np.int64)
                 same = [hashlib.blake2b(x, digest_size=16).digest() for x in _per_text(values, begin)]
                 yield pa.RecordBatch.from_arrays(
-                    [ids, pa.array(n, pa.int64()), _binary(same), pa.array(list(minima), pa.list_(pa.int64())), pa.nulls(len(ids), pa.list_(pa.int64()))],
-                    ["id", "n", "same", "minima", "sketch"],
+                    [ids, pa.array(n, pa.int64()), _binary(same), pa.array(list(minima), pa.list_(pa.int64())), pa.nulls(len(ids), pa.int32()), pa.nulls(len(ids), pa.binary())],
+                    SIGNATURE,
                 )
-        yield pa.RecordBatch.from_arrays(
-            [pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.list_(pa.int64())), pa.array([sketch], pa.list_(pa.int64()))],
-            ["id", "n", "same", "minima", "sketch"],
-        )
+        chunks = np.minimum(sketch, 65535).astype(np.uint16).reshape(-1, SKETCH_CHUNK)
+        none = [pa.nulls(len(chunks), k) for k in (pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays([*none, pa.array(np.arange(len(chunks)), pa.int32()), _binary([c.tobytes() for c in chunks])], SIGNATURE)
 
     return run
 
 
+def _summed(batches):
+    """Sums of the tasks' sketches by chunk, as a stream."""
+    sums: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for chunk, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            sums[chunk] = sums.get(chunk, 0) + np.frombuffer(counts, dtype=np.uint16).astype(np.int64)
+    rarity = [np.minimum(255, np.floor(6 * np.log2(1 + x))).astype(np.uint8).tobytes() for x in sums.values()]
+    yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), _binary(rarity)], ["chunk", "rarity"])
+
+
 def _needed(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
     """Smallest overlap of sets of these sizes that links them."""
     return -(-percent * (n + m) // (100 + percent))
@@ -346,7 +360,7 @@ def ngram_components(docs: DataFrame, words: int = 5, percent: int = 75, id_colu
     A NULL id links with nothing and has a NULL component. Other columns are ignored.
     """
     docs = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
-    signed = checkpointed(docs.mapInArrow(_signatures(words), "id long, n long, same binary, minima array<long>, sketch array<long>"))
+    signed = checkpointed(docs.mapInArrow(_signatures(words), "id long, n long, same binary, minima array<long>, chunk int, sketch binary"))
     rows = signed.where("sketch is null").select("id", "n", "same", "minima")
 
     # equal sets are one class under its smallest id
@@ -354,7 +368,7 @@ def ngram_components(docs: DataFrame, words: int = 5, percent: int = 75, id_colu
         F.min("id").alias("node"), F.first("n").alias("n"), F.first("minima").alias("minima"))
     classes = checkpointed(classes)
 
-    # likely groups: each class with the most central class of its minima; a class whose minima are
+    # likely groups: each class with the most central class that several of its minima lead to; a class whose minima are
     # shared by many is central
     keyed = classes.select("node", F.posexplode("minima").alias("k", "minimum"))
     shared_minima = checkpointed(keyed.groupBy("k", "minimum").agg(F.count(F.lit(1)).alias("size")).where("size > 1"))
@@ -362,15 +376,17 @@ def ngram_components(docs: DataFrame, words: int = 5, percent: int = 75, id_colu
     central = checkpointed(keyed.groupBy("node").agg(F.sum("size").alias("weight"))).select("node", F.struct("weight", (-F.col("node")).alias("back")).alias("rank"))
     scored = keyed.drop("size").join(central, "node")
     heads = scored.groupBy("k", "minimum").agg(F.max("rank").alias("head"))
-    near = checkpointed(keyed.drop("size").join(heads, ["k", "minimum"]).groupBy("node").agg((-F.max("head").getField("back")).alias("head")))
+    agreed = keyed.drop("size").join(heads, ["k", "minimum"]).groupBy("node", "head").agg(F.count(F.lit(1)).alias("times")).where(F.col("times") >= AGREE)
+    near = checkpointed(agreed.groupBy("node").agg((-F.max("head").getField("back")).alias("head")))
     onward = near.select(F.col("node").alias("head"), F.col("head").alias("next"))
     groups = checkpointed(near.join(onward, "head", "left").select("node", F.coalesce("next", "head").alias("group")))
     sure = _linked_within(docs, groups, words, percent)
 
     # exact pass over the rarest columns of the classes
-    counts = signed.where("sketch is not null").select(F.posexplode("sketch")).groupBy("pos").agg(F.sum("col").alias("count")).toPandas()
+    summed = signed.where("sketch is not null").select("chunk", "sketch").repartition("chunk").mapInArrow(_summed, "chunk int, rarity binary")
     rarity = np.zeros(1 << SKETCH_BITS, dtype=np.uint8)
-    rarity[counts["pos"].to_numpy(dtype=np.int64)] = np.floor(4 * np.log2(1 + counts["count"].to_numpy(dtype=np.float64)))
+    for chunk, values in summed.collect():  # as many rows as the sketch has chunks
+        rarity[chunk * SKETCH_CHUNK:(chunk + 1) * SKETCH_CHUNK] = np.frombuffer(values, dtype=np.uint8)
     entries = classes.agg(F.sum(F.expr("n div 4 + 1"))).first()[0] or 0
     blocks = max(LEAST_BLOCKS, int(entries) // BLOCK_ENTRIES)
     labels = classes.select("node", "n").distinct().join(groups.withColumnRenamed("node", "member"), F.col("node") == F.col("member"), "left").select(

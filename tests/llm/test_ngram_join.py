@@ -68,6 +68,7 @@ def test_without_the_merging_step(spark, monkeypatch):
 
 def test_groups_of_several_tiles(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "TILE_ROWS", 7)
+    monkeypatch.setattr(ngram_join, "AGREE", 1)
     monkeypatch.setattr(ngram_join, "TILE_COLUMNS", 16)
     check(spark, corpus(4))
 
