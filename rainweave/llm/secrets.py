@@ -118,8 +118,7 @@ def postings(keyed: DataFrame, vocabulary: list[str], slices: int) -> DataFrame:
     """``slice`` and one array of row keys per trigram of the vocabulary, from the whole texts."""
     low = keyed.select("key", F.pmod("key", F.lit(slices)).alias("slice"), lower_ascii(F.col("text")).alias("low"))
     flags = low.select("key", "slice", *[F.contains("low", F.lit(g)).alias(f"g{i}") for i, g in enumerate(vocabulary)])
-    some = flags.where(reduce(lambda a, b: a | b, [F.col(f"g{i}") for i in range(len(vocabulary))])).distinct()
-    return some.groupBy("slice").agg(*[F.collect_list(F.when(F.col(f"g{i}"), F.col("key"))).alias(f"g{i}") for i in range(len(vocabulary))])
+    return flags.groupBy("slice").agg(*[F.collect_set(F.when(F.col(f"g{i}"), F.col("key"))).alias(f"g{i}") for i in range(len(vocabulary))])
 
 
 def _answer(query: object, place: dict[str, int]) -> Column:
