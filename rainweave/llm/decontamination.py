@@ -91,7 +91,7 @@ def cleaned_text(text: Column, spans: Column) -> Column:
     piece = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"  # a word before lower-casing
     words, gaps = F.regexp_extract_all(text, F.lit(piece), 0), F.split(text, piece, -1)
     kept = F.transform(words, lambda w, i: F.when(F.exists(spans, lambda s: (s["begin"] <= i) & (i < s["end"])), F.lit("")).otherwise(w))
-    return F.array_join(F.transform(gaps, lambda g, i: F.concat(g, F.coalesce(F.get(kept, i), F.lit("")))), "")
+    return F.array_join(F.zip_with(gaps, kept, lambda g, w: F.concat(g, F.coalesce(w, F.lit("")))), "")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, drop_share: float = 0.5, window: int = WINDOW, text_column: str = "text") -> DataFrame:
