@@ -168,35 +168,54 @@ def waa_pastorek(rate: Column, a_max: float = 14.0, zeta: float = 0.55, d: float
     return F.when(rate == 0, F.lit(0.0)).otherwise(wet)
 
 
+# fixed values: double Debye model of pure water (Liebe et al. 1991), by theta = 1 - 300 K / T
+STATIC = (77.66, -103.3)
+HIGH_SHARE = 0.0671  # of the static value, between the two relaxations
+OPTICAL = (3.52, 7.52)
+RELAXATION_GHZ = (20.2, 146.4, 316.0)
+SECOND_RELAXATION = 39.8  # times the first
+
+
+def _series(coefficients, x):
+    return sum(c * x**k for k, c in enumerate(coefficients))
+
+
 def water_permittivity(f_hz, t_kelvin: float):
-    """Complex permittivity of water without salt (Liebe et al. 1991, constants fixed there)."""
+    """Complex permittivity of water without salt: an optical value and two relaxations, positive loss."""
     theta = 1 - 300.0 / t_kelvin
-    static = 77.66 - 103.3 * theta
-    middle = 0.0671 * static
-    optical = 3.52 + 7.52 * theta
-    first = 20.2 + 146.4 * theta + 316 * theta**2
-    second = 39.8 * first
-    ghz = np.asarray(f_hz, float) * 1e-9
-    return optical + (middle - optical) / (1 - 1j * ghz / second) + (static - middle) / (1 - 1j * ghz / first)
+    levels = np.array([1.0, HIGH_SHARE]) * _series(STATIC, theta)
+    steps = -np.diff([*levels, _series(OPTICAL, theta)])
+    corners = _series(RELAXATION_GHZ, theta) * np.array([1.0, SECOND_RELAXATION])
+    ratio = np.asarray(f_hz, float)[..., None] / (corners * 1e9)
+    return _series(OPTICAL, theta) + (steps / (1 - 1j * ratio)).sum(axis=-1)
+
+
+def _layer(index, thickness, wave_number):
+    """Characteristic matrix of a layer at normal incidence, for fields that go as exp(-i w t)."""
+    phase = wave_number * index * thickness
+    turn, flow = np.cos(phase), -1j * np.sin(phase)
+    return turn, flow / index, flow * index, turn
+
+
+def _transmission(layers):
+    """Amplitude that passes a stack of layers with air on both sides."""
+    a, b, c, d = 1.0, 0.0, 0.0, 1.0
+    for p, q, r, s in layers:
+        a, b, c, d = a * p + b * r, a * q + b * s, c * p + d * r, c * q + d * s
+    return 2 / (a + b + c + d)
 
 
 def film_attenuation(rate, f_hz, t_kelvin=293.0, gamma=2.06e-5, delta=0.24, n_cover=complex(1.73, 0.014), cover=0.001):
     """Attenuation in dB of a water film of thickness ``gamma * R**delta`` on an antenna cover.
 
-    Leijnse et al. 2008: wave transmission through air, cover, film, relative to air and cover.
-    The four terms are the products over the two signs of reflection at each boundary.
+    Model of Leijnse et al. (2008), solved with the characteristic matrices of layered media: the
+    transmission of cover and film relative to that of the cover alone.
     """
     rate = np.asarray(rate, float)
-    film = gamma * rate**delta
-    n_water = np.sqrt(water_permittivity(f_hz, t_kelvin))
-    wave = 2j * np.pi * np.asarray(f_hz, float) / 299792458.0
-    total = 0
-    for s in (1, -1):          # sign at the air-water boundary
-        for r in (1, -1):      # sign at the cover-air boundary
-            outer = (1 + s * n_water) * (n_water + s * r * n_cover) * (n_cover + r)
-            total = total + outer * np.exp(-r * wave * (n_cover * cover + s * r * n_water * film))
-    dry = (1 + n_cover) ** 2 * np.exp(-wave * n_cover * cover) - (1 - n_cover) ** 2 * np.exp(wave * n_cover * cover)
-    db = 20 * np.log10(np.abs(total / (2 * n_water * dry)))
+    wave_number = 2 * np.pi * np.asarray(f_hz, float) / 299792458.0
+    dry = _layer(n_cover, cover, wave_number)
+    film = _layer(np.sqrt(water_permittivity(f_hz, t_kelvin)), gamma * rate**delta, wave_number)
+    db = 20 * np.log10(np.abs(_transmission([dry]) / _transmission([dry, film])))
     return np.where(rate == 0, 0.0, db)
 
 

@@ -123,7 +123,7 @@ def edge_checks(edges: DataFrame) -> DataFrame:
     ).withColumn("one_way", one_way).withColumn("is_undirected", F.col("one_way") == 0)
 
 
-def connected_components(nodes: DataFrame, edges: DataFrame, node: str = "node", max_rounds: int = 60) -> DataFrame:
+def connected_components(nodes: DataFrame, edges: DataFrame, node: str = "node") -> DataFrame:
     """Component of every node, named by its smallest node id, directions ignored.
 
     Alternates two rewrites of the edge list (Kiveris et al. 2014): neighbours above a node are
@@ -139,7 +139,7 @@ def connected_components(nodes: DataFrame, edges: DataFrame, node: str = "node",
         return df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
 
     before = fingerprint(links)
-    for _ in range(max_rounds):
+    while True:
         around = links.select("u", "v").union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         smallest = around.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
         large = salted_join(around.where("v > u"), smallest, ["u"]).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
@@ -156,8 +156,6 @@ def connected_components(nodes: DataFrame, edges: DataFrame, node: str = "node",
         if after == before:
             break
         before = after
-    else:
-        raise RuntimeError("components did not settle")
     roots = links.select(F.col("u").alias(node), F.col("v").alias("component"))
     return nodes.select(node).join(roots, node, "left").select(node, F.coalesce("component", node).alias("component"))
 

@@ -7,8 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rainweave.operators.temporal import bucket_first
-
 
 def resample_stream(stream: DataFrame, keys: Sequence[str], time: str, aggregates: Sequence[Column], minutes: int = 15,
                     late: str = "30 minutes") -> DataFrame:
@@ -22,5 +20,9 @@ def resample_stream(stream: DataFrame, keys: Sequence[str], time: str, aggregate
 
 def first_per_bucket_stream(stream: DataFrame, keys: Sequence[str], time: str, value: str, minutes: int = 15,
                             late: str = "30 minutes") -> DataFrame:
-    """First non-NULL value per key and bucket; the same code as for batch tables."""
-    return bucket_first(stream.withWatermark(time, late), keys, time, value, minutes)
+    """First non-NULL value per key and bucket, as ``bucket_first`` for batch tables.
+
+    Groups by the window itself, so that the watermark closes buckets and removes their state.
+    """
+    first = F.min_by(value, F.when(F.col(value).isNotNull(), F.col(time))).alias(value)
+    return resample_stream(stream, keys, time, [first], minutes, late)

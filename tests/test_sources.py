@@ -170,3 +170,18 @@ def test_stream_equals_batch(spark, tmp_path):
     run.stop()
     want = rows.groupBy("gid", F.window("time_sgt", "15 minutes").start.alias("bucket")).agg(F.min_by("value", "time_sgt").alias("value"))
     assert {(r.gid, r.bucket): r.value for r in spark.table("firsts").collect()} == {(r.gid, r.bucket): r.value for r in want.collect()}
+
+
+def test_stream_closes_buckets(spark, tmp_path):
+    """Append mode: closed buckets are written once and leave the state."""
+    for part, hours in ((0, 0), (1, 5)):
+        spark.range(40).select(
+            F.lit(1).alias("gid"), F.timestamp_seconds(1735689600 + hours * 3600 + F.col("id") * 60).alias("time_sgt"), F.col("id").cast("double").alias("value")
+        ).coalesce(1).write.parquet(str(tmp_path / "in" / f"part={part}"))
+    stream = spark.readStream.schema("gid int, time_sgt timestamp, value double").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "part=*"))
+    first = resample.first_per_bucket_stream(stream, ["gid"], "time_sgt", "value")
+    run = first.writeStream.format("memory").queryName("closed").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).start()
+    run.processAllAvailable()
+    state = run.lastProgress["stateOperators"][0]["numRowsTotal"]
+    run.stop()
+    assert spark.table("closed").count() == 3 and state == 3
