@@ -35,6 +35,9 @@ P838_3 = {
                  (-48.2991, 0.791669, 0.116226), (48.5833, 0.791459, 0.116479)), -0.053739, 0.83433),
 }
 
+# Entries of the printed P.838-3 table that are not its regression rounded, (name, frequency): value.
+P838_3_PRINTED = {("alpha_V", 4.0): 1.2476, ("alpha_V", 37.0): 0.8621, ("alpha_V", 66.0): 0.7313}
+
 # Accepted polarisation labels, valid frequency range in GHz, smallest rain rate in mm/h.
 POLARISATIONS = {"V": ("v", "V", "vertical", "Vertical"), "H": ("h", "H", "horizontal", "Horizontal")}
 FREQUENCY_RANGE_GHZ = (1.0, 100.0)
@@ -57,7 +60,7 @@ def _p838_3_table() -> np.ndarray:
             y = np.array([round(v, d) for v, d in zip(k, digits)])
         else:
             y = np.round(y, 4)
-        rows.append(y)
+        rows.append(np.array([P838_3_PRINTED.get((name, at), v) for at, v in zip(f, y)]))
     return np.array(rows)
 
 

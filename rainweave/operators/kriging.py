@@ -57,11 +57,11 @@ def krige(points: DataFrame, targets: DataFrame, target_id: str, value: str, var
 
     ``drift``: None (ordinary), ``"linear"`` (trend in the coordinates), or names of columns
     present on both sides (external drift). A time without gauges, or with zeros only, gives no
-    rows. Every time is one dense solve by definition; targets are split in blocks. More gauges
+    rows. A gauge without drift is left out, a target without drift has a NULL estimate. Every time is one dense solve by definition; targets are split in blocks. More gauges
     at one time than ``max_gauges`` raise an error instead of exhausting a task.
     """
     names = [] if drift is None or drift == "linear" else [drift] if isinstance(drift, str) else list(drift)
-    known = points.where(F.col(value).isNotNull()).select(time, x, y, value, *names)
+    known = points.where(F.col(value).isNotNull()).dropna(subset=names or None, how="any" if names else "all").select(time, x, y, value, *names)
     blocks = targets.groupBy(time).agg(F.ceil(F.count(F.lit(1)) / TARGETS_PER_BLOCK).alias("_n"))
     asked = targets.join(blocks, time).select(
         time, F.pmod(F.xxhash64(target_id), F.col("_n")).alias("_block"), target_id, x, y, *names

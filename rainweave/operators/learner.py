@@ -32,15 +32,15 @@ def fit_baseline(train: DataFrame, test: DataFrame) -> DataFrame:
     return model.transform(inputs.transform(test)).drop("inputs")
 
 
-def fit_folds(examples: DataFrame, n_folds: int) -> DataFrame:
+def fit_folds(examples: DataFrame) -> DataFrame:
     """Fit on the training examples of each fold and predict its validation examples.
 
-    ``examples`` has fold and role. The table is written once to the checkpoint folder, since
+    ``examples`` has fold and role; the folds are those in the data, each one a fit of its own. The table is written once to the checkpoint folder, since
     every fit reads it several times.
     """
     table = checkpointed(examples)
     parts = []
-    for fold in range(n_folds):
+    for (fold,) in table.select("fold").distinct().orderBy("fold").collect():
         rows = table.where(F.col("fold") == fold)
         parts.append(fit_baseline(rows.where(F.col("role") == "train"), rows.where(F.col("role") == "validation")))
     return reduce(DataFrame.unionByName, parts)

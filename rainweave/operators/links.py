@@ -128,7 +128,8 @@ def _run_levels(df: DataFrame, keys: Sequence[str], position: str, value: str, i
     """Level of every wet run at its first row, columns keys, position, level.
 
     Runs closer than n samples depend on the runs before them; the dependence shrinks by at
-    least (n-1)/n per n samples, so blocks of runs with a bounded look-back are exact.
+    least (n-1)/n per n samples, so blocks of runs with a bounded look-back are exact. An unknown
+    level does not shrink: it is carried along the chain of dependent runs, however long.
     """
     spread = with_halo(
         df.select(*keys, position, F.col(value).alias("_v"), is_wet.alias("_wet")), position, CHUNK, n, 0
@@ -157,26 +158,31 @@ def _run_levels(df: DataFrame, keys: Sequence[str], position: str, value: str, i
             F.when(crossing, F.array().cast("array<int>")).otherwise(F.array_compact(F.array(*refs))).alias("_refs"),
         )
     )
+    # a NULL or NaN in the frame makes a level unknown
+    runs = runs.withColumn("_own", F.nanvl("_own", F.lit(None).cast("double")))
     numbered = row_position(checkpointed(runs), keys, _chunk(position), [position], "_number")
+    # a run that depends on an earlier one depends on the run right before it, so unknown lasts until a run stands alone
+    turn = F.when(F.col("_own").isNull(), True).when(F.size("_refs") == 0, False)
+    numbered = carry_last(numbered, keys, F.floor(F.col("_number") / RUNS_PER_BLOCK), "_number", turn, "_unknown")
     lookback = -(-n // 2) * decay_horizon((n - 1) / n)
     block = with_halo(numbered, "_number", max(RUNS_PER_BLOCK, lookback), lookback, 0)
     ordered = block.groupBy(*keys, "chunk").agg(
-        F.sort_array(F.collect_list(F.struct("_number", position, "core", "_own", "_guess", "_refs"))).alias("_runs")
+        F.sort_array(F.collect_list(F.struct("_number", position, "core", "_own", "_guess", "_refs", "_unknown"))).alias("_runs")
     )
 
     def level_of(levels: Column, run: Column) -> Column:
-        # before the look-back any finite level will do; NaN stands for an unknown level
+        # before the look-back any finite level will do, and so it does in a chain that is unknown
         held = F.aggregate(
-            run["_refs"], F.lit(0.0), lambda s, b: s + F.coalesce(F.get(levels, F.size(levels) - b), run["_guess"], F.lit(0.0))
+            run["_refs"], F.lit(0.0), lambda s, b: s + F.coalesce(F.get(levels, F.size(levels) - b), F.nanvl(run["_guess"], F.lit(0.0)), F.lit(0.0))
         )
-        return F.coalesce((run["_own"] + held) / F.lit(float(n)), F.lit(float("nan")))
+        return F.coalesce((run["_own"] + held) / F.lit(float(n)), F.lit(0.0))
 
     levels = F.aggregate(
         "_runs", F.array().cast("array<double>"), lambda levels, run: F.concat(levels, F.array(level_of(levels, run)))
     )
     solved = ordered.select(*keys, F.explode(F.arrays_zip(F.col("_runs").alias("run"), levels.alias("level"))).alias("_r"))
     return solved.where("_r.run.core").select(
-        *keys, F.col(f"_r.run.{position}").alias(position), F.when(~F.isnan("_r.level"), F.col("_r.level")).alias("level")
+        *keys, F.col(f"_r.run.{position}").alias(position), F.when(~F.coalesce("_r.run._unknown", F.lit(False)), F.col("_r.level")).alias("level")
     )
 
 

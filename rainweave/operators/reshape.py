@@ -18,12 +18,13 @@ def require_unique(df: DataFrame, keys: Sequence[str], checked: Column) -> Colum
 
 
 def to_wide(df: DataFrame, index: Sequence[str], columns: str, value: str, names: Sequence, unique: bool = True) -> DataFrame:
-    """One column per name in ``names``; a second row for one cell raises when ``unique``.
+    """One column per name in ``names``; a second row for one cell raises when ``unique``, any other name always.
 
     The names are given, so no pass over the data is needed to find them. Keep data long
     inside a plan: the wide form is for hand-over to wide consumers.
     """
-    source = df.where(F.col(columns).isin(list(names)))
+    unlisted = F.raise_error(F.concat(F.lit(f"a name in {columns} is not listed: "), F.coalesce(F.col(columns).cast("string"), F.lit("NULL"))))
+    source = df.withColumn(columns, F.when(F.col(columns).isin(list(names)), F.col(columns)).otherwise(unlisted))
     if unique:
         source = source.groupBy(*index, columns).agg(
             require_unique(df, [*index, columns], F.max(value)).alias(value)

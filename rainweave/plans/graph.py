@@ -267,7 +267,7 @@ def g12_baseline_learner(spark, folder):
     )
     table = learner.example_table(examples, keys=["fold", "time_sgt", "example"])
     roles = folds.withColumnRenamed("node", "example")
-    predicted = learner.fit_folds(table.join(roles, ["fold", "example"]), 5)
+    predicted = learner.fit_folds(table.join(roles, ["fold", "example"]))
     return metrics.average_rmse(predicted, ["time_sgt"], "y", "prediction", ["fold"])
 
 

@@ -33,9 +33,9 @@ wet as materialized (
   from cml window w as (partition by link_id order by t rows between 30 preceding and 29 following))"""
 
 
-def recursion_sql(n: int) -> str:
+def recursion_sql(n: int, wet: str = WET_SQL) -> str:
     """Baseline and wet-antenna recursion row by row, all links side by side."""
-    return f"""{WET_SQL},
+    return f"""{wet},
 rec as (
   select link_id, t, trsl, wet, [trsl] as hist, trsl as baseline, 0e0 as waa from wet where t = 0
   union all
@@ -44,7 +44,8 @@ rec as (
          baseline,
          case when wet then least(trsl - baseline, 2.2e0, w0 + (2.2e0 - w0) * 3 / 15) else least(trsl - baseline, 2.2e0) end
   from (select s.link_id, s.t, s.trsl, s.wet, r.hist, r.waa as w0,
-               case when s.t < {n} then s.trsl when s.wet and not r.wet then list_sum(r.hist) / {n}
+               case when s.t < {n} then s.trsl
+                    when s.wet and not r.wet then case when len(list_filter(r.hist, lambda x: x is null)) = 0 then list_sum(r.hist) / {n} end
                     when s.wet then r.baseline else s.trsl end as baseline
         from rec r join wet s on s.link_id = r.link_id and s.t = r.t + 1))"""
 
@@ -152,6 +153,18 @@ def w3_baseline_mean_of_five(spark, folder):
     return df.select("link_id", "t", rounded(F.col("baseline"), 9).alias("baseline"))
 
 
+_GAPS_SQL = WET_SQL.replace("wet as materialized (", "known as (") + """,
+wet as materialized (select link_id, t, case when t % 997 <> 10 then trsl end as trsl, wet from known)"""
+
+
+@query("w3_baseline_unknown_levels", views.with_views("cml") + recursion_sql(5, _GAPS_SQL) + "select link_id, t, round(baseline, 9) as baseline from rec")
+def w3_baseline_unknown_levels(spark, folder):
+    """The mean of five, with some levels unknown: a wet run that looks at one is unknown, and so are those that build on it."""
+    gaps = wet_series(spark, folder).withColumn("trsl", F.when(F.col("t") % 997 != 10, F.col("trsl")))
+    df = ops.baseline_constant(gaps, ["link_id"], "t", "trsl", "wet", 5)
+    return df.select("link_id", "t", rounded(F.col("baseline"), 9).alias("baseline"))
+
+
 @query(
     "w4_baseline_linear",
     views.with_views("cml") + WET_SQL + """,

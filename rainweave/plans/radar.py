@@ -222,13 +222,13 @@ def a9_normalised_radar(spark, folder):
 @query(
     "j9_station_cell_lookup",
     views.with_views("stations", "radar_cell") + """
-select s.gid, r.row, r.col, count(*) as frames, round(avg(r.value), 9) as mean_value, max(r.value) as max_value
-from stations s join radar_cell r
+select s.gid, r.row, r.col, count(r.value) as frames, round(avg(r.value), 9) as mean_value, max(r.value) as max_value
+from stations s left join radar_cell r
 on r.row = floor((1.5e0 - latitude) / 0.039e0) and r.col = floor((longitude - 103.6e0) / 0.0625e0)
 group by s.gid, r.row, r.col""",
 )
 def j9_station_cell_lookup(spark, folder):
-    """Radar values in the cell of every station, over all frames."""
+    """Radar values in the cell of every station, over all frames; a station outside the grid has a NULL cell and no frames."""
     placed = views.stations(spark, folder).select(
         "gid", cell_index(F.col("latitude"), 1.5, 0.039, downward=True).cast("int").alias("row"),
         cell_index(F.col("longitude"), 103.6, 0.0625).cast("int").alias("col"),
@@ -237,7 +237,11 @@ def j9_station_cell_lookup(spark, folder):
     cells = views.radar_cells(spark, folder).groupBy("row", "col").agg(
         F.count(F.lit(1)).alias("frames"), rounded(F.avg("value"), 9).alias("mean_value"), F.max("value").alias("max_value")
     )
-    return placed.join(cells, ["row", "col"])
+    # columns of the grid side, so that a place without a cell has none
+    cells = cells.withColumns({"at_row": F.col("row"), "at_col": F.col("col")})
+    return placed.join(cells, ["row", "col"], "left").select(
+        "gid", F.col("at_row").alias("row"), F.col("at_col").alias("col"), F.coalesce("frames", F.lit(0).cast("long")).alias("frames"), "mean_value", "max_value"
+    )
 
 
 @query(

@@ -258,6 +258,10 @@ def _train_test(spark, folder, minutes):
     return train, test.withColumnRenamed("z", "truth").withColumnRenamed("gid", "target")
 
 
+def _all_times(spark, folder):
+    return gauge_rain(spark, folder, 1440).select("time_sgt").distinct()
+
+
 @query(
     "i9_idw_benchmark",
     views.with_views("obs", "stations") + _gauge_sql("1 day") + ROLE_SQL + f""",
@@ -268,14 +272,15 @@ near as (select *, row_number() over (partition by time_sgt, target order by d,
 e as (select time_sgt, target, any_value(truth) as truth,
              case when min(d) = 0 then arg_min(z, d) else sum(z / (d * d)) / sum(1 / (d * d)) end as z
       from near where rn <= 15 group by time_sgt, target),
-s as (select time_sgt, avg((truth - z) ** 2) as mse from e group by time_sgt)
+s as (select time_sgt, avg((truth - z) ** 2) as mse from (select distinct time_sgt from p) left join e using (time_sgt) group by time_sgt)
 select count(*) as times, round(sum(sqrt(mse)) / count(*), 6) as average_rmse, round(sum(mse) / count(*), 4) as average_mse,
        (select round(corr(truth, z), 6) from e) as pearson from s""",
 )
 def i9_idw_benchmark(spark, folder):
-    """IDW from training stations scored at test stations, over all times at once."""
+    """IDW from training stations scored at test stations; a time without truth or estimate counts as 0 in the mean."""
     train, test = _train_test(spark, folder, 1440)
-    scored = gridding.inverse_distance(test, train, ["target"], "gid", "z", k=15, out="estimate").where(F.col("estimate").isNotNull())
+    estimated = gridding.inverse_distance(test, train, ["target"], "gid", "z", k=15, out="estimate")
+    scored = _all_times(spark, folder).join(estimated, "time_sgt", "left")
     totals = metrics.average_rmse(scored, ["time_sgt"], "truth", "estimate")
     r = metrics.pearson(scored, "truth", "estimate").select("pearson").scalar()
     return totals.select(
@@ -302,14 +307,15 @@ def i5_universal_kriging(spark, folder):
 
 @query("i6_external_drift_kriging")
 def i6_external_drift_kriging(spark, folder):
-    """Mean radar value of the cell as external drift at gauges and targets."""
+    """Mean radar value of the cell on the same day as external drift at gauges and targets; without a cell, no estimate."""
     train, test = _train_test(spark, folder, 1440)
-    drift = views.radar_cells(spark, folder).groupBy("row", "col").agg(F.avg("value").alias("radar"))
+    drift = views.radar_cells(spark, folder).groupBy(
+        F.date_trunc("day", "time_sgt").alias("time_sgt"), "row", "col").agg(F.avg("value").alias("radar"))
 
     def with_drift(df):
         row = geo.cell_index(F.col("latitude"), 1.5, 0.039, downward=True).cast("int")
         col = geo.cell_index(F.col("longitude"), 103.6, 0.0625).cast("int")
-        return df.withColumns({"row": row, "col": col}).join(drift, ["row", "col"]).drop("row", "col")
+        return df.withColumns({"row": row, "col": col}).join(drift, ["time_sgt", "row", "col"], "left").drop("row", "col")
 
     return kriging.krige(with_drift(train), with_drift(test), "target", "z", _VARIOGRAM, drift="radar")
 
@@ -319,7 +325,7 @@ def i9_kriging_benchmark(spark, folder):
     """Kriging scored at test stations; times without an estimate count as 0 in the first mean."""
     train, test = _train_test(spark, folder, 1440)
     estimates = kriging.krige(train, test, "target", "z", _VARIOGRAM)
-    scored = test.join(estimates, ["time_sgt", "target"], "left")
+    scored = _all_times(spark, folder).join(test.join(estimates, ["time_sgt", "target"], "left"), "time_sgt", "left")
     totals = metrics.average_rmse(scored, ["time_sgt"], "truth", "z")
     return totals.withColumn("pearson", metrics.pearson(scored, "truth", "z").select("pearson").scalar())
 

@@ -107,3 +107,10 @@ def test_activations(spark):
     assert gelu == pytest.approx([x * 0.5 * (1 + math.erf(x / math.sqrt(2))) for x in xs], abs=1e-6)
     with pytest.raises(ValueError):
         activation(F.col("x"), "swish")
+
+
+@pytest.mark.parametrize("frequency, alpha_v", [(4.0, 1.2476), (37.0, 0.8621), (66.0, 0.7313), (1.0, 0.8592), (20.0, 0.9847)])
+def test_printed_exponents(frequency, alpha_v):
+    # fixed values: ITU-R P.838-3, exponents for vertical polarisation as printed
+    table = at.coefficient_table("ITU_2005")
+    assert table[4][list(table[0]).index(frequency)] == alpha_v

@@ -86,6 +86,25 @@ def test_baseline_null_flag(spark):
     assert blank == [10.0, None, 10.0, 13.0]
 
 
+@pytest.mark.parametrize("block", [8, 2048])
+def test_unknown_level_lasts_along_its_chain(spark, monkeypatch, block):
+    # every other row is wet, so each run builds on the one before; the NULL lies several blocks ahead of the end
+    monkeypatch.setattr(ops, "RUNS_PER_BLOCK", block)
+    n, size = 2, 600
+    wet = [i % 2 == 1 and i not in (450, 451, 452, 453) for i in range(size)]
+    value = [None if i == 10 else 10.0 + i % 7 for i in range(size)]
+    want = list(value)
+    for i in range(n, size):
+        if wet[i]:
+            last = want[i - n:i]
+            want[i] = None if None in last else sum(last) / n
+    df = spark.createDataFrame([("a", i, value[i], wet[i]) for i in range(size)], "link string, t long, trsl double, wet boolean")
+    got = [r.baseline for r in ops.baseline_constant(df, ["link"], "t", "trsl", "wet", n).orderBy("t").collect()]
+    assert [x is None for x in got] == [x is None for x in want]
+    assert sum(x is None for x in got) > 200 and got[599] is not None
+    assert np.allclose([x for x in got if x is not None], [x for x in want if x is not None])
+
+
 def test_baseline_null_level_is_held(spark):
     rows = [("a", 0, 1.0, False), ("a", 1, None, False), ("a", 2, 5.0, True), ("a", 3, 6.0, False)]
     df = spark.createDataFrame(rows, "link string, t long, trsl double, wet boolean")

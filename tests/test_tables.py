@@ -13,6 +13,9 @@ def test_duplicate_cell_raises(spark):
     df = spark.createDataFrame([(1, "a", 1.0), (1, "a", 1.0)], "t int, gid string, v double")
     with pytest.raises(Exception, match="duplicate"):
         reshape.to_wide(df, ["t"], "gid", "v", ["a"]).collect()
+    other = spark.createDataFrame([(1, "a", 1.0), (1, "b", 2.0)], "t long, gid string, v double")
+    with pytest.raises(Exception, match="not listed"):
+        reshape.to_wide(other, ["t"], "gid", "v", ["a"]).collect()
 
 
 def test_gap_fill_against_pandas(spark):
