@@ -5,8 +5,8 @@ the columns that can still decide a pair:
 
 1. Documents with equal sets become one row of the matrix.
 2. Equal minima under a few hash functions suggest groups of near copies. Within a group the product is
-   computed in tiles of whole sets, and a tile returns a spanning forest of its links, so a large group costs
-   no row per pair. This step decides no pair of different groups.
+   computed in tiles of whole sets, and a tile returns a spanning forest of its links and each set's number of
+   links, so a large group costs no row per pair. This step decides no pair of different groups.
 3. Columns are ordered by rarity. Two sets that link share one of their rarest
    ``n - ceil(t * n) + 1`` columns, so only these entries are dealt to column blocks. Each block
    counts shared entries of pairs from different groups, the counts are summed over the
@@ -17,6 +17,7 @@ the columns that can still decide a pair:
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -79,10 +80,12 @@ def _per_text(values: np.ndarray, begin: np.ndarray) -> list[bytes]:
 SIGNATURE = ["id", "n", "same", "minima", "chunk", "sketch"]
 
 
+def _digests(values: np.ndarray, begin: np.ndarray) -> pa.Array:
+    return _binary([hashlib.blake2b(x, digest_size=16).digest() for x in _per_text(values, begin)])
+
+
 def _signatures(size: int):
     def run(batches):
-        import hashlib
-
         sketch = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
         for batch in batches:
             for ids, values, begin in _sets(batch, size):
@@ -93,9 +96,8 @@ def _signatures(size: int):
                 for k in range(KEYS):
                     if len(full):
                         minima[full, k] = np.minimum.reduceat(mix(values ^ np.uint64(k * 0x9E3779B97F4A7C15 % 2**64)), begin[:-1][full]).view(np.int64)
-                same = [hashlib.blake2b(x, digest_size=16).digest() for x in _per_text(values, begin)]
                 yield pa.RecordBatch.from_arrays(
-                    [ids, pa.array(n, pa.int64()), _binary(same), pa.array(list(minima), pa.list_(pa.int64())), pa.nulls(len(ids), pa.int32()), pa.nulls(len(ids), pa.binary())],
+                    [ids, pa.array(n, pa.int64()), _digests(values, begin), pa.array(list(minima), pa.list_(pa.int64())), pa.nulls(len(ids), pa.int32()), pa.nulls(len(ids), pa.binary())],
                     SIGNATURE,
                 )
         chunks = np.minimum(sketch, 65535).astype(np.uint16).reshape(-1, SKETCH_CHUNK)
@@ -253,7 +255,7 @@ def _wanted(size: int, bits: np.ndarray):
             hit = (bits.view(np.uint64)[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1)
             chosen = batch.filter(pa.array(hit.astype(bool)))
             for ids, values, begin in _sets(chosen, size):
-                yield pa.RecordBatch.from_arrays([ids, _binary(_per_text(values, begin))], ["id", "columns"])
+                yield pa.RecordBatch.from_arrays([ids, _digests(values, begin), _binary(_per_text(values, begin))], ["id", "same", "columns"])
 
     return run
 
@@ -261,33 +263,43 @@ def _wanted(size: int, bits: np.ndarray):
 def _overlap(percent: int):
     def run(batches):
         for batch in batches:
-            a, b = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-            hit = np.zeros(len(a), dtype=bool)
-            for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3))):
+            hit = np.zeros(len(batch), dtype=bool)
+            for i, (x, y) in enumerate(zip(*batch.columns[-2:])):
                 x, y = np.frombuffer(x.as_buffer(), dtype=np.uint64), np.frombuffer(y.as_buffer(), dtype=np.uint64)
                 both = np.concatenate([x, y])
                 both.sort(kind="stable")
                 shared = int((both[1:] == both[:-1]).sum())
                 hit[i] = shared > 0 and shared >= _needed(len(x), len(y), percent)
-            yield pa.RecordBatch.from_arrays([pa.array(a[hit], pa.int64()), pa.array(b[hit], pa.int64())], ["a", "b"])
+            yield batch.select(batch.schema.names[:-2]).filter(pa.array(hit))
 
     return run
 
 
-def _sets_of(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
-    """``id``, ``columns`` of the documents with these ids; other texts are skipped by a filter of fixed size."""
+def _sets_of(docs: DataFrame, classes: DataFrame, size: int) -> DataFrame:
+    """The classes (``id``, ``same``, ...) with their ``columns``; other texts are skipped by a filter of fixed size.
+
+    Repeated rows of a document give repeated rows here.
+    """
     return (
         docs.select("id", "text", F.xxhash64("id").alias("place"))
-        .mapInArrow(_wanted(size, _filter_of(ids)), "id long, columns binary")
-        .join(ids, "id", "left_semi")
+        .mapInArrow(_wanted(size, _filter_of(classes)), "id long, same binary, columns binary")
+        .join(classes, ["id", "same"])
     )
 
 
 def _tile(percent: int):
-    """Links within one tile of a group, as a spanning forest: the product of two blocks of rows, by slices of columns."""
+    """Links within one tile of a group: the product of two blocks of rows, by slices of columns.
+
+    Returns a spanning forest (``a`` is the root of ``b``), and the rows that ``b`` links with in this tile. Pairs
+    within one block are counted in the tile of the block with itself.
+    """
 
     def run(table: pa.Table) -> pa.Table:
-        ids = table.column("id").to_numpy()
+        first: dict = {}
+        for row, key in enumerate(zip(table.column("id").to_pylist(), table.column("same").to_pylist())):
+            first.setdefault(key, row)
+        table = table.take(pa.array(list(first.values()), pa.int64()))
+        ids, own = table.column("id").to_numpy(), table.column("own").to_numpy()
         sets = [np.frombuffer(x, dtype=np.uint64) for x in table.column("columns").to_pylist()]
         n = np.array([len(x) for x in sets], dtype=np.int64)
         values, places, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
@@ -306,7 +318,11 @@ def _tile(percent: int):
             product += part @ part.T
         link = product >= _needed(n[:, None], n[None, :], percent)
         link &= (n > 0)[:, None]
-        label, first = np.arange(len(ids)), []
+        counted = link & (ids[:, None] != ids[None, :])
+        if table.column("i")[0] != table.column("j")[0]:
+            counted &= own[:, None] != own[None, :]
+        partners = counted @ table.column("copies").to_numpy()
+        label = np.arange(len(ids))
         open_rows = np.ones(len(ids), dtype=bool)
         for i in range(len(ids)):  # breadth first from every row not reached yet
             if not open_rows[i]:
@@ -320,43 +336,48 @@ def _tile(percent: int):
                 edge = np.flatnonzero(fresh)
             label[reached] = i
             open_rows &= ~reached
-        far = label != np.arange(len(ids))
-        return pa.table({"a": pa.array(ids[label[far]], pa.int64()), "b": pa.array(ids[far], pa.int64())})
+        said = (label != np.arange(len(ids))) | (partners > 0)
+        kept = table.select(["same"]).filter(pa.array(said)).combine_chunks()
+        return pa.table({"a": pa.array(ids[label[said]], pa.int64()), "b": pa.array(ids[said], pa.int64()), "same": kept.column("same"), "links": pa.array(partners[said], pa.int64())})
 
     return run
 
 
-def _linked_within(docs: DataFrame, groups: DataFrame, size: int, percent: int) -> DataFrame:
-    """Links that connect all that links within each group of (``node``, ``group``), on whole sets.
+def _linked_within(docs: DataFrame, classes: DataFrame, groups: DataFrame, size: int, percent: int) -> DataFrame:
+    """``a``, ``b``: links that connect all that links within each group of (``node``, ``group``), on whole sets; and
+    ``links``: with how many rows the class (``b``, ``same``) links, in parts to be summed.
 
     A group is cut into blocks of about ``TILE_ROWS`` sets by hash; every pair of blocks is a tile, a task of
     bounded size, that returns a forest and not its pairs.
     """
     sizes = groups.groupBy("group").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    members = checkpointed(groups.join(sizes, "group").select(F.col("node").alias("id"), "group", F.ceil(F.col("size") / TILE_ROWS).cast("int").alias("cuts")))
+    members = groups.join(sizes, "group").select(F.col("node").alias("id"), "group", F.ceil(F.col("size") / TILE_ROWS).cast("int").alias("cuts"))
+    members = checkpointed(classes.select("id", "same", "copies").join(members, "id"))
     own = F.pmod(F.xxhash64("id"), F.col("cuts")).cast("int")
-    tiles = members.select("id", "group", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("other"))
-    tiles = tiles.select("id", "group", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    sets = _sets_of(docs, members.select("id").distinct(), size)
-    return checkpointed(sets.join(tiles, "id").groupBy("group", "i", "j").applyInArrow(_tile(percent), "a long, b long").distinct())
+    tiles = members.select("id", "same", "group", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("other"))
+    tiles = tiles.select("id", "same", "group", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    sets = _sets_of(docs, members.select("id", "same", "copies"), size)
+    return checkpointed(sets.join(tiles, ["id", "same"]).groupBy("group", "i", "j").applyInArrow(_tile(percent), "a long, b long, same binary, links long"))
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Pairs whose whole sets link. Reads the sets of documents in pairs only."""
+def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
+    """Pairs of classes whose whole sets link. Reads the sets of documents in pairs only."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = _sets_of(docs, ids, size)
-    left, right = (sets.withColumnsRenamed({"id": k, "columns": f"columns_{k}"}) for k in ("a", "b"))
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "columns_a", "columns_b")
-    return checkpointed(both.mapInArrow(_overlap(percent), "a long, b long").distinct())
+    sets = _sets_of(docs, classes.select("id", "same", "copies").join(ids, "id", "left_semi"), size)
+    left, right = (sets.withColumnsRenamed({"id": k, **{c: f"{c}_{k}" for c in ("same", "copies", "columns")}}) for k in ("a", "b"))
+    both = pairs.join(left, "a").join(right, "b").select("a", "b", "same_a", "same_b", "copies_a", "copies_b", "columns_a", "columns_b")
+    schema = "a long, b long, same_a binary, same_b binary, copies_a long, copies_b long"
+    return checkpointed(both.mapInArrow(_overlap(percent), schema).distinct())
 
 
 def ngram_components(docs: DataFrame, words: int = 5, percent: int = 75, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """One row per input row: ``doc_id``, ``n_shingles`` and ``component_id``.
+    """One row per input row: ``doc_id``, ``n_shingles``, ``component_id`` and ``n_links``.
 
     The set of a text are its distinct runs of ``words`` words (A-Z lower-cased, split at ASCII white
     space); a shorter text is one run; a text without words or NULL has the empty set. Two documents
     link when ``100 * overlap >= percent * union``; empty sets link with nothing. The component is the
     smallest id reachable by links. Rows with the same id are one document and stay together.
+    ``n_links`` counts the other rows that a row links with, equal sets included; other texts under the same id aside.
     A NULL id links with nothing and has a NULL component. Other columns are ignored.
     """
     docs = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
@@ -365,8 +386,9 @@ def ngram_components(docs: DataFrame, words: int = 5, percent: int = 75, id_colu
 
     # equal sets are one class under its smallest id
     classes = rows.where("n > 0 and id is not null").groupBy("same").agg(
-        F.min("id").alias("node"), F.first("n").alias("n"), F.first("minima").alias("minima"))
+        F.min("id").alias("node"), F.first("n").alias("n"), F.first("minima").alias("minima"), F.count(F.lit(1)).alias("copies"))
     classes = checkpointed(classes)
+    named = classes.select(F.col("node").alias("id"), "same", "copies")
 
     # likely groups: each class with the most central class that several of its minima lead to; a class whose minima are
     # shared by many is central
@@ -380,7 +402,7 @@ def ngram_components(docs: DataFrame, words: int = 5, percent: int = 75, id_colu
     near = checkpointed(agreed.groupBy("node").agg((-F.max("head").getField("back")).alias("head")))
     onward = near.select(F.col("node").alias("head"), F.col("head").alias("next"))
     groups = checkpointed(near.join(onward, "head", "left").select("node", F.coalesce("next", "head").alias("group")))
-    sure = _linked_within(docs, groups, words, percent)
+    sure = _linked_within(docs, named, groups, words, percent)
 
     # exact pass over the rarest columns of the classes
     summed = signed.where("sketch is not null").select("chunk", "sketch").repartition("chunk").mapInArrow(_summed, "chunk int, rarity binary")
@@ -400,11 +422,21 @@ def ngram_components(docs: DataFrame, words: int = 5, percent: int = 75, id_colu
         .groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.min("least").alias("least"))
         .where("shared >= least").select("a", "b")
     )
-    late = _verified(docs, checkpointed(shared), words, percent)
+    late = _verified(docs, named, checkpointed(shared), words, percent)
 
     same = rows.where("n > 0 and id is not null").join(classes.select("same", "node"), "same").where("id != node").select(F.col("id").alias("a"), F.col("node").alias("b"))
-    found = components(sure.union(late).union(same))
+    found = components(sure.select("a", "b").union(late.select("a", "b")).union(same))
+    # links of a class: rows of the classes that it links with
+    parts = sure.select("same", "links")
+    for own, other in (("a", "b"), ("b", "a")):
+        parts = parts.union(late.select(f"same_{own}", f"copies_{other}"))
+    linked = parts.groupBy("same").agg(F.sum("links").alias("links"))
+    linked = classes.where("copies > 1").select("same", "copies").join(linked, "same", "full").select(
+        "same", (F.coalesce("links", F.lit(0)) + F.coalesce("copies", F.lit(1)) - 1).alias("n_links"))
     return (
-        rows.join(found, F.col("id") == F.col("node"), "left")
-        .select(F.col("id").alias(id_column), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
+        rows.join(found, F.col("id") == F.col("node"), "left").join(linked, "same", "left")
+        .select(
+            F.col("id").alias(id_column), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"),
+            F.when(F.col("id").isNotNull() & (F.col("n") > 0), F.coalesce("n_links", F.lit(0))).otherwise(0).cast("long").alias("n_links"),
+        )
     )

@@ -18,7 +18,7 @@ def brute_sets(rows):
 
 def brute(rows):
     sets = brute_sets(rows)
-    parent = {doc: doc for doc, _ in sets}
+    parent, links = {doc: doc for doc, _ in sets}, [0] * len(sets)
 
     def root(x):
         while parent[x] != x:
@@ -26,11 +26,13 @@ def brute(rows):
         return x
 
     for i, (a, x) in enumerate(sets):
-        for b, y in sets[:i]:
+        for j, (b, y) in enumerate(sets[:i]):
             if a is not None and b is not None and x and 100 * len(x & y) >= 75 * len(x | y):
                 p, q = sorted((root(a), root(b)))
                 parent[q] = p
-    return sorted(((doc, len(s), root(doc)) for doc, s in sets), key=str)
+                links[i] += 1
+                links[j] += 1
+    return sorted(((doc, len(s), root(doc), n) for (doc, s), n in zip(sets, links)), key=str)
 
 
 def check(spark, rows):
@@ -93,4 +95,4 @@ def test_repeated_rows_and_empty_table(spark):
 def test_clashing_columns(spark):
     docs = spark.createDataFrame([(1, "a b"), (2, "a b")], "doc_id long, text string").withColumns(
         {c: F.lit("z") for c in ("id", "n", "same", "node", "a", "b", "component", "sketch")})
-    assert {tuple(r) for r in ngram_components(docs).collect()} == {(1, 1, 1), (2, 1, 1)}
+    assert {tuple(r) for r in ngram_components(docs).collect()} == {(1, 1, 1, 1), (2, 1, 1, 1)}
