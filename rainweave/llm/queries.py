@@ -53,7 +53,7 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-@query("op3_secret_scan")
+@query("op3_secret_scan", twins.SECRETS)
 def op3(spark: SparkSession, folder: str) -> DataFrame:
     found = secrets.scan(table(spark, folder, "documents"))
     base = [r.kind for r in secrets.BASE_RULES]

@@ -104,3 +104,37 @@ from measured
 
 
 QUALITY = _quality()
+
+
+def _secrets() -> str:
+    from rainweave.llm.secrets import BASE_RULES, RULES
+
+    def matches(number: int) -> str:
+        rule = RULES[number]
+        pattern = rule.pattern.replace("'", "''")
+        return f"""
+  select k, {number} as rule, '{rule.kind}' as kind, {rule.least} as least, string_split_regex(t, '{pattern}') as gaps,
+         regexp_extract_all(t, '{pattern}') as found, regexp_extract_all(t, '{pattern}', {rule.group}) as part
+  from docs"""
+
+    counts = ", ".join(f"count(*) filter (kind = '{r.kind}')::bigint as n_{r.kind}" for r in BASE_RULES)
+    named = ", ".join(f"coalesce(n_{r.kind}, 0) as n_{r.kind}" for r in BASE_RULES)
+    listed = "string_agg(kind || ':' || start || ':' || stop, ',' order by start, rule)"
+    return f"""
+with docs as (
+  select row_number() over () as k, doc_id, coalesce(text, '') as t from documents
+), matches as ({" union all ".join(matches(i) for i in range(len(RULES)))}
+), places as (
+  select *, coalesce(list_sum(list_transform(gaps[:i], lambda x: len(x))), 0) + coalesce(list_sum(list_transform(found[:i - 1], lambda x: len(x))), 0) as start
+  from (select *, unnest(range(1, len(found) + 1)) as i from matches where len(found) > 0)
+), spans as (
+  select k, rule, kind, start::bigint as start, (start + len(found[i]))::bigint as stop from places where len(part[i]) >= least
+), found as (
+  select k, {counts}, {listed} filter (rule < {len(BASE_RULES)}) as base, {listed} as all_spans from spans group by k
+)
+select doc_id, {named}, sha256(coalesce(base, '')) as base_sha256, coalesce(all_spans, '') as spans
+from docs left join found using (k)
+"""
+
+
+SECRETS = _secrets()
