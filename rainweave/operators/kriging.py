@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rainweave.operators.spatial import nearest_neighbours
+
 # One solve needs all gauges of its time in memory: n**2 doubles, 128 MB at this bound.
 MAX_GAUGES = 4000
 TARGETS_PER_BLOCK = 4096
@@ -110,6 +112,59 @@ def krige(points: DataFrame, targets: DataFrame, target_id: str, value: str, var
     return gauges.cogroup(asked.groupBy(time, "_block")).applyInPandas(solve, schema)
 
 
+def krige_nearest(points: DataFrame, targets: DataFrame, target_id: str, value: str, variogram: dict, n_closest: int, point_id: str = "gid",
+                  time: str = "time_sgt", drift: str | Sequence[str] | None = None, x: str = "longitude", y: str = "latitude") -> DataFrame:
+    """``krige`` with the ``n_closest`` gauges of each target, so any number of gauges at one time will do.
+
+    Ties of distance go to the smaller gauge id. Every target is a small system of its own, solved
+    in stacks; neighbours are found by the tree of squares, not from all pairs. Columns and the treatment of
+    missing drift and of times with zeros only are those of ``krige``; with fewer gauges all are used.
+    """
+    names = [] if drift is None or drift == "linear" else [drift] if isinstance(drift, str) else list(drift)
+    known = points.where(F.col(value).isNotNull()).dropna(subset=names or None, how="any" if names else "all")
+    rainy = known.where(F.col(value) != 0).select(time).distinct()
+    copies = {"_gx": x, "_gy": y, "_gz": value, **{f"_g_{n}": n for n in names}}
+    carried = list(copies)
+    known = known.join(rainy, time, "left_semi").withColumns({c: F.col(own) for c, own in copies.items()})
+    near = nearest_neighbours(targets, known, n_closest, [target_id], point_id, by=[time], x=x, y=y, payload=carried)
+    gathered = near.groupBy(time, target_id).agg(F.sort_array(F.collect_list(F.struct("rank", *carried))).alias("_near"))
+    asked = targets.select(time, target_id, x, y, *names).join(gathered, [time, target_id]).select(
+        time, target_id, F.array(*[F.col(c).cast("double") for c in (x, y, *names)]).alias("_own"),
+        *[F.col(f"_near.{c}").cast("array<double>").alias(c) for c in carried],
+    )
+    types = dict(targets.dtypes)
+
+    def solve(batches):
+        for batch in batches:
+            parts = [batch.iloc[:0][[time, target_id]].assign(z=0.0, variance=0.0)]
+            for k, rows in batch.groupby(batch["_gx"].map(len)):
+                column = {c: np.array(rows[c].tolist(), dtype=float).reshape(len(rows), k) for c in carried}
+                own = np.array(rows["_own"].tolist(), dtype=float).reshape(len(rows), 2 + len(names))
+                gx, gy = column["_gx"], column["_gy"]
+                trend_g, trend_t = [np.ones_like(gx)], [np.ones(len(rows))]
+                if drift == "linear":
+                    # relative to the target, the same estimate and a better conditioned system
+                    trend_g += [gx - own[:, :1], gy - own[:, 1:2]]
+                    trend_t += [np.zeros(len(rows)), np.zeros(len(rows))]
+                for j, name in enumerate(names):
+                    trend_g.append(column[f"_g_{name}"])
+                    trend_t.append(own[:, 2 + j])
+                trend_g, trend_t = np.stack(trend_g, axis=1), np.stack(trend_t, axis=1)
+                m = trend_g.shape[1]
+                between = np.hypot(gx[:, :, None] - gx[:, None, :], gy[:, :, None] - gy[:, None, :])
+                apart = np.hypot(gx - own[:, :1], gy - own[:, 1:2])
+                gamma_g, gamma_t = (np.where(d <= SAME_PLACE, 0.0, semivariance(d, **variogram)) for d in (between, apart))
+                left = np.zeros((len(rows), k + m, k + m))
+                left[:, :k, :k], left[:, :k, k:], left[:, k:, :k] = gamma_g, trend_g.transpose(0, 2, 1), trend_g
+                right = np.concatenate([gamma_t, trend_t], axis=1)
+                weights = (np.linalg.pinv(left) @ right[:, :, None])[:, :, 0]
+                parts.append(rows[[time, target_id]].assign(
+                    z=np.sum(weights[:, :k] * column["_gz"], axis=1), variance=np.sum(weights * right, axis=1)))
+            yield pd.concat(parts, ignore_index=True)
+
+    return asked.mapInPandas(solve, f"`{time}` {types[time]}, `{target_id}` {types[target_id]}, z double, variance double")
+
+
 def interpolate(points: DataFrame, targets: DataFrame, target_id: str, value: str, method: str = "idw", **options) -> DataFrame:
     """One entry for all estimators: idw, nearest, ordinary, universal, external_drift."""
     from rainweave.operators.gridding import inverse_distance, nearest_value

@@ -299,6 +299,26 @@ def i4_ordinary_kriging(spark, folder):
     return kriging.krige(train, test, "target", "z", _VARIOGRAM)
 
 
+@query(
+    "i4_nearest_kriging_at_gauges",
+    views.with_views("obs", "stations") + _gauge_sql("1 day") + """
+select time_sgt, gid as target, round(z, 3) as z from p where time_sgt in (select time_sgt from p where z <> 0)""",
+)
+def i4_nearest_kriging_at_gauges(spark, folder):
+    """Kriging from the eight nearest gauges, asked for at the gauges: it gives back what they measured."""
+    points = gauge_rain(spark, folder, 1440)
+    targets = points.withColumn("target", F.col("gid")).drop("gid", "z")
+    found = kriging.krige_nearest(points, targets, "target", "z", _VARIOGRAM, 8)
+    return found.select("time_sgt", "target", rounded(F.col("z"), 3).alias("z"))
+
+
+@query("i4_nearest_kriging_grid")
+def i4_nearest_kriging_grid(spark, folder):
+    """Daily rain on the radar grid, kriged from the eight nearest gauges of that day; small solves, so no SQL twin."""
+    points = gauge_rain(spark, folder, 1440)
+    return kriging.krige_nearest(points, _grid_times(spark, folder, points), "cell_id", "z", _VARIOGRAM, 8)
+
+
 @query("i5_universal_kriging")
 def i5_universal_kriging(spark, folder):
     train, test = _train_test(spark, folder, 1440)

@@ -187,6 +187,20 @@ def test_kriging_refuses_what_it_cannot_hold(spark):
         kriged(spark, PLANE, [("a", 1, 103.7, 1.3)], max_gauges=10)
 
 
+@pytest.mark.parametrize("drift", [None, "linear"])
+def test_nearest_kriging_with_all_gauges_is_kriging(spark, drift):
+    p = spark.createDataFrame(PLANE + [("b", 1, 103.7, 1.3, 0.0)], "time_sgt string, gid long, longitude double, latitude double, z double")
+    t = spark.createDataFrame([("a", 1, 103.71, 1.29), ("a", 2, 103.6, 1.2), ("b", 3, 103.7, 1.3), ("c", 4, 103.7, 1.3)],
+                              "time_sgt string, cell long, longitude double, latitude double")
+    whole = kriging.krige(p, t, "cell", "z", SHAPE, drift=drift).toPandas().sort_values("cell")
+    near = kriging.krige_nearest(p, t, "cell", "z", SHAPE, 20, drift=drift).toPandas().sort_values("cell")
+    assert near["cell"].tolist() == whole["cell"].tolist() == [1, 2]
+    assert np.allclose(near[["z", "variance"]], whole[["z", "variance"]], atol=1e-6)
+    few = kriging.krige_nearest(p, t, "cell", "z", SHAPE, 3).toPandas().set_index("cell")["z"]
+    assert few[2] == pytest.approx(3.0) and 0 < few[1] < 12
+    assert kriging.krige_nearest(p, t.limit(0), "cell", "z", SHAPE, 3).count() == 0
+
+
 def test_external_drift(spark):
     # truth is twice the drift: external drift kriging recovers it away from the gauges
     rng = np.random.default_rng(0)
