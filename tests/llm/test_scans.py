@@ -80,6 +80,25 @@ def test_contexts_lead_to_new_identifiers(spark):
     assert not any(v for k, v in found.items() if k != 100)
 
 
+def test_identifiers_in_pieces_behind_one_word_cues(spark):
+    word = ["".join(chr(97 + (i * 7 + k * k * 5 + k) % 26) for k in range(5)) for i in range(26)]
+    rows = [(i, f"{word[i]} {word[i + 9]} phone: +1 487 555 72{i:02d}, {word[i + 5]} {word[i + 3]}") for i in range(8)]
+    rows += [(20 + i, f"{word[i]} {word[i + 2]} {word[i + 9]} user{i}@mail.example.org is mine, {word[i]}") for i in range(8)]
+    text = {
+        100: "call on phone: 555 123 4567 now", 101: "or by phone: (555) 987-65 43. So 12 34 56 they said", 102: "my phone: 4111 1111 1111 1112 rang",
+        103: "write, user9(at)mail is mine, too", 104: "rooms 12 14 16 18 are free",
+    }
+    found = {r.doc_id: [(s.kind, text[r.doc_id][s.start:s.end]) for s in r.found] for r in pii.find_pii(spark.createDataFrame(rows + list(text.items()), "doc_id long, text string")).collect() if r.doc_id in text}
+    assert found == {100: [(3, "555 123 4567")], 101: [(3, "555) 987-65 43")], 102: [(3, "4111 1111 1111 1112")], 103: [(0, "user9(at)mail")], 104: []}
+
+
+def test_patterns_settle(spark):
+    # each link of the chain shares nine of ten instances with the next, so each round accepts one more
+    edges = [(f"<p{k}", f"i{k + d}", 0 if k + d < 9 else -1) for k in range(6) for d in range(10)]
+    patterns, _ = pii.learn_patterns(spark.createDataFrame(edges, "pattern string, instance string, seed int"))
+    assert {r.pattern for r in patterns.collect()} == {f"<p{k}" for k in range(6)}
+
+
 def test_licenses(spark):
     mit = licenses.TEMPLATES["mit"][1]
     rows = [
