@@ -1,11 +1,13 @@
 """Classifiers by compressed size: zstandard with raw-content dictionaries of labelled text.
 
 A text compresses better with a dictionary of its own kind. Learning takes a bounded sample of the
-labelled rows, chosen by a hash of the row; scoring compresses every whole text.
+labelled rows, chosen by a hash of the row, as whole texts: a dictionary gets pieces from all parts of every one of
+them, and calibration measures them as scoring does. Scoring compresses every whole text.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,8 +18,8 @@ from pyspark.sql import functions as F
 from rainweave.session import checkpointed
 
 SAMPLE_ROWS = 1500  # labelled rows per class: the bound of the learning sample
-SAMPLE_CHARS = 4000  # of a sampled text; scored texts are always whole
 DICTIONARY_BYTES = 96 << 10
+PIECE_BYTES = 64  # of a text that is longer than its share of a dictionary; also the least share
 LEVEL = 6
 LEAST_MATCH = 4
 FOLDS = 5
@@ -28,26 +30,61 @@ def held_out(id_column: Column) -> Column:
     return F.coalesce(F.crc32(id_column.cast("string").cast("binary")) % FOLDS == 0, F.lit(False))
 
 
-def learning_sample(rows: DataFrame, rows_per_class: int = SAMPLE_ROWS) -> dict:
-    """{label: texts} of at most ``rows_per_class`` rows a label; ``rows`` has ``label``, ``id``, ``text``.
+def learning_sample(rows: DataFrame, rows_per_class: int = SAMPLE_ROWS) -> DataFrame:
+    """``label``, ``rank`` (from 1 within the label), ``text``: at most ``rows_per_class`` whole rows a label, written once.
 
-    Rows are first thinned by hash to about twice the bound per label, so no large label is sorted.
+    ``rows`` has ``label``, ``id``, ``text``. They are first thinned by hash to about twice the bound per label, so no
+    large label is sorted.
     """
     spread = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / float(1 << 30)
     counts = rows.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
     thin = rows.withColumn("h", spread).join(checkpointed(counts), "label").where(F.col("h") * F.col("n") < 2 * rows_per_class)
-    thin = thin.select("label", "h", F.substring("text", 1, SAMPLE_CHARS).alias("text"))
     best = thin.withColumn("rank", F.row_number().over(Window.partitionBy("label").orderBy("h", "text"))).where(F.col("rank") <= rows_per_class)
-    out: dict = {}
-    for label, _, text in sorted(tuple(r) for r in best.select("label", "h", "text").collect()):  # bounded: labels x rows_per_class
-        out.setdefault(label, []).append(text)
-    return out
-
+    return checkpointed(best.select("label", "rank", "text"))
+
+
+def share_bytes(sizes: list[int], limit: int = DICTIONARY_BYTES) -> int:
+    """The most bytes a text gives so that all texts together give ``limit``; what short ones leave goes to the others."""
+    left = limit
+    for k, size in enumerate(sorted(sizes)):
+        share = left // (len(sizes) - k)
+        if size + 1 > share:
+            return max(PIECE_BYTES, share - 1)
+        left -= size + 1
+    return limit
+
+
+def pieces(data: bytes, share: int) -> bytes:
+    """About ``share`` bytes of a text: all of it, or a piece at a hashed place in each of equal parts of the whole text."""
+    if len(data) <= share:
+        return data
+    n, seed = max(1, share // PIECE_BYTES), zlib.crc32(data)
+    width, out = share // n, []
+    for k in range(n):
+        begin, end = len(data) * k // n, len(data) * (k + 1) // n
+        at = begin + zlib.crc32(b"%d" % k, seed) % max(1, end - begin - width + 1)
+        out.append(data[at:at + width])
+    return b"".join(out)
+
+
+def learn_dictionaries(sample: DataFrame) -> dict:
+    """{label: dictionary} from all rows of a learning sample. Only sizes and the pieces come to the driver."""
+    sizes: dict = {}
+    for label, size in sample.select("label", F.octet_length("text")).collect():  # bounded: labels x rows_per_class
+        sizes.setdefault(label, []).append(size)
+    shares = {k: share_bytes(v) for k, v in sizes.items()}
+
+    def cut(batches) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            labels, texts = batch.column(0).to_pylist(), batch.column(2)
+            found = [pieces(x.as_py().encode(), shares[k]) for k, x in zip(labels, texts)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.binary())], ["label", "rank", "piece"])
 
-def dictionary_bytes(texts: list[str], limit: int = DICTIONARY_BYTES) -> bytes:
-    """Shares of many texts, up to ``limit`` bytes."""
-    share = max(200, limit // max(1, len(texts)))
-    return "\n".join(t[:share] for t in texts).encode()[:limit]
+    out: dict = {}
+    given = sample.mapInArrow(cut, f"label {dict(sample.dtypes)['label']}, rank int, piece binary")
+    for label, _, piece in sorted(tuple(r) for r in given.collect()):  # bounded: a dictionary each label
+        out.setdefault(label, []).append(bytes(piece))
+    return {k: b"\n".join(v) for k, v in out.items()}
 
 
 class Sizer:
@@ -97,9 +134,9 @@ def identify_language(docs: DataFrame, id_column: str = "doc_id", text_column: s
     """
     rows = docs.select(F.col(id_column).alias("doc_id"), held_out(F.col(id_column)).alias("held_out"), F.col(lang_column).alias("label"), F.col(text_column).alias("text"))
     taught = rows.where("not held_out and doc_id is not null and label is not null and text is not null").select("label", F.col("doc_id").alias("id"), "text")
-    sample = learning_sample(taught, rows_per_class)
-    langs = sorted(sample)
-    dictionaries = [dictionary_bytes(sample[k]) for k in langs]
+    learned = learn_dictionaries(learning_sample(taught, rows_per_class))
+    langs = sorted(learned)
+    dictionaries = [learned[k] for k in langs]
     sized = rows.select("doc_id", "held_out", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("lettered"), "text")
     sized = sized.mapInArrow(measured(dictionaries), f"doc_id {dict(rows.dtypes)['doc_id']}, held_out boolean, lettered boolean, bytes long, sizes array<int>")
     order = F.array_sort(F.col("sizes"))
@@ -158,18 +195,16 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id",
         chosen = checkpointed(some[0].unionByName(some[1]).select("id", "label"))
         taught = rows.where("text is not null").join(chosen, F.col("doc_id") == F.col("id")).select("label", "id", "text")
         sample = learning_sample(taught, rows_per_class)
-    if len(some) < 2 or len(sample) < 2:
+        learned = learn_dictionaries(sample.where("rank % 2 = 1"))
+    if len(some) < 2 or len(learned) < 2:
         return rows.select("doc_id", "held_out", F.lit(0.5).alias("score"), F.lit(1).alias("predicted"))
-    dictionaries = [dictionary_bytes(sample[k][0::2]) for k in (0, 1)]
-    sizer, found, wanted, weight = Sizer(dictionaries), [], [], []
-    for k in (0, 1):
-        rest = sample[k][1::2] or sample[k]
-        for text in rest:
-            data = text.encode()
-            found.append([len(data), *sizer.sizes(data)])
-            wanted.append(k)
-            weight.append(shares[k] / len(rest))
-    found, wanted, weight = np.array(found), np.array(wanted, dtype=float), np.array(weight)
+    dictionaries = [learned[k] for k in (0, 1)]
+    lone = sample.groupBy("label").agg(F.max("rank").alias("last")).where("last = 1").select("label")
+    lone = [r[0] for r in lone.collect()]  # two labels at most; a row of its own serves both halves
+    rest = sample.where((F.col("rank") % 2 == 0) | F.col("label").isin(lone)).select("label", "rank", "text")
+    sized = rest.mapInArrow(measured(dictionaries), f"label {dict(rest.dtypes)['label']}, rank int, bytes long, sizes array<int>")
+    drawn = sorted(tuple(r) for r in sized.collect())  # numbers only, of at most two labels x rows_per_class
+    found, wanted = np.array([[size, *both] for _, _, size, both in drawn]), np.array([r[0] for r in drawn], dtype=float)
     fit, middle, spread = _calibrate(_features(found[:, 1:], found[:, 0]), wanted)
     # the sample holds the classes evenly: the intercept takes their shares in
     fit[0] += np.log(shares[1] / shares[0]) - np.log(max(1, (wanted == 1).sum()) / max(1, (wanted == 0).sum()))

@@ -81,6 +81,25 @@ def test_classifiers_on_odd_tables(spark):
     assert compression.identify_language(docs.limit(0)).count() == 0
 
 
+def test_dictionaries_hold_all_parts_of_every_sampled_text(spark):
+    assert compression.share_bytes([10, 10, 500], 300) == 277 and compression.share_bytes([5], 300) == 300
+    # 900 texts with a mark of their own in every 40 bytes, from 700 to 30,000 bytes long
+    rows = [("a", i, f"mark{i:04d} é " * (50 if i % 9 else 2500)) for i in range(900)] + [("b", 0, "head " * 1000 + "middle " * 8000 + "tail " * 1000)]
+    learned = compression.learn_dictionaries(compression.learning_sample(spark.createDataFrame(rows, "label string, id long, text string")))
+    assert len(learned["a"]) <= compression.DICTIONARY_BYTES and all(f"mark{i:04d}".encode() in learned["a"] for i in range(900))
+    assert all(w in learned["b"] for w in (b"head ", b"middle ", b"tail ")) and len(learned["b"]) > 60_000
+
+
+def test_calibration_measures_whole_texts(spark, monkeypatch):
+    clean, junk = "a calm and clean sentence about rain and radar. ", "zq!! xx## 77%% "
+    rows = [(i, clean * 90 + (junk * 900 if i % 2 == 0 else clean * 300)) for i in range(40)]
+    seen = []
+    monkeypatch.setattr(compression, "_features", lambda sizes, length, own=compression._features: (seen.append(length), own(sizes, length))[1])
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    compression.score_quality(docs, docs.selectExpr("doc_id", "int(doc_id % 2) as quality"))
+    assert min(seen[0]) > 4000
+
+
 def test_pipeline_stages_keep_columns(spark):
     docs = spark.createDataFrame([(1, "a b " * 3, "en", "s", 12), (2, None, None, None, None)], "doc_id long, text string, lang string, source string, n_chars long")
     for name, stage in corpus_pipeline.STAGES[:-1]:
