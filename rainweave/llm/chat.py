@@ -60,23 +60,34 @@ class _Packer:
         self.conv_id, self.budget, self.most = conv_id, budget, history
         self.system: list = []
         self.past: list = []  # turns of the last windows, at most ``history`` tokens
+        self.head: list = []  # the system turns that the open window repeats
         self.new: list = []
         self.spent, self.started, self.number = 0, False, 0
 
     def add(self, role: str, text: str) -> Iterator[tuple]:
         turn = (role, text, _tokens(text))
-        held = sum(t[2] for t in self.system)
-        if not self.started and role == SYSTEM and held + turn[2] <= self.budget // 2:
+        if self.new and self.spent + turn[2] > self.budget:
+            yield self.window()
+        self.make_room(turn[2])
+        self.started = self.started or role != SYSTEM
+        if not self.started and sum(t[2] for t in self.system) + turn[2] <= self.budget:
             self.system.append(turn)
-        else:
-            self.started = True
-            if self.new and self.spent + turn[2] > self.budget:
-                yield self.window()
         self.new.append(turn)
         self.spent += turn[2]
 
+    def make_room(self, size: int) -> None:
+        """Before the first new turn of a later window: the oldest history goes until all fits, then the system turns from
+        the last one on; a turn above the budget is left alone in its window."""
+        if self.new or not self.number:
+            return
+        self.head = list(self.system)
+        while self.past and self.spent + size > self.budget:
+            self.spent -= self.past.pop(0)[2]
+        while self.head and self.spent + size > self.budget:
+            self.spent -= self.head.pop()[2]
+
     def window(self) -> tuple:
-        head = self.system if self.number else []
+        head = self.head
         parts, targets, at = [], [], 0
         for k, (role, text, _) in enumerate([*head, *self.past, *self.new]):
             open_mark, body = f"<turn {escape(role)}>\n", escape(text)
@@ -87,13 +98,13 @@ class _Packer:
             at += len(body) + 8
         out = (self.conv_id, self.number, "".join(parts), len(head), len(self.past), len(self.new), targets)
         kept, spent = [], 0
-        seen = self.past + (self.new if self.number else self.new[len(self.system):])
+        seen = [t for t in self.past + self.new if not any(t is own for own in self.system)]
         for turn in reversed(seen):
             if spent + turn[2] > self.most:
                 break
             kept.append(turn)
             spent += turn[2]
-        self.past, self.new, self.number = kept[::-1], [], self.number + 1
+        self.past, self.new, self.head, self.number = kept[::-1], [], [], self.number + 1
         self.spent = spent + sum(t[2] for t in self.system)
         return out
 
@@ -131,8 +142,10 @@ def format_conversations(turns: DataFrame, budget: int = BUDGET, history: int =
 
     ``targets`` is the loss mask: (begin, end) in code points of ``text``, the assistant texts that are new in the
     window, each in one window only. A window has whole turns within ``budget`` tokens (words, and a few for the
-    marks); a longer turn has a window of its own. From the second window on it starts with the leading system
-    turns and the last turns that fit ``history``. NULL texts and roles are empty; a NULL conversation id is one
+    marks); a turn above the budget has a window of its own, without other turns. From the second window on it starts
+    with the leading system turns and the last turns that fit ``history``; where the first new turn leaves less room,
+    the oldest history goes first, then the last system turns, for that window only. Leading system turns that
+    together pass the budget: those that fit are repeated, each other one stands once. NULL texts and roles are empty; a NULL conversation id is one
     conversation. Turns with equal numbers go by role, then text; repeated rows are repeated turns.
 
     The rows of a conversation meet in one task, sorted on disk if need be, and pass through it as a stream: memory

@@ -66,6 +66,33 @@ def test_chat_round_trip(spark):
     assert chat.format_conversations(turns.limit(0)).count() == 0
 
 
+def test_chat_windows_keep_budget_and_system(spark):
+    def w(n):
+        return "w " * n
+
+    talk = {
+        1: [("system", w(600))] + [("user", w(150)), ("assistant", w(150))] * 6,
+        2: [("system", w(300))] + [("user", w(100)), ("assistant", w(100))] * 4 + [("assistant", w(900)), ("user", w(3)), ("user", w(2000)), ("user", w(5))],
+        3: [("system", w(700)), ("system", w(700)), ("system", w(100)), ("user", w(200)), ("user", w(200))],
+        4: [("user", w(500)), ("user", w(200)), ("assistant", w(900))], 5: [("system", w(1500)), ("system", w(50)), ("user", w(9)), ("user", w(1015))],
+    }
+    rows = [(c, k, role, text) for c, turns in talk.items() for k, (role, text) in enumerate(turns)]
+    found = chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    for conv, turns in talk.items():
+        own, new = sorted((r for r in found if r.conv_id == conv), key=lambda r: r.window), []
+        for r in own:
+            read = [t[:2] for t in chat.read_turns(r.text)]
+            size = sum(chat._tokens(text) for _, text in read)
+            assert size <= chat.BUDGET or len(read) == 1, (conv, r.window, size)
+            assert all(role == "system" for role, _ in read[:r.n_system]) and len(read) == r.n_system + r.n_history + r.n_new
+            new += read[r.n_system + r.n_history:]
+        assert new == turns  # each turn is new once, in order
+    later = {c: [r for r in found if r.conv_id == c and r.window > 0] for c in talk}
+    assert later[1] and all(r.n_system == 1 for r in later[1])
+    assert [r.n_system for r in later[2] if "w " * 900 in r.text] == [0, 0] and any(r.n_system for r in later[2])
+    assert all(r.n_system == 2 for r in later[3] if r.window == max(x.window for x in later[3]))
+
+
 def test_classifiers_on_odd_tables(spark):
     english, german = "the cat and the dog of this house with a hat ", "der hund und die katze von diesem haus mit einem hut "
     rows = [(i, (english, german)[i % 2] * (1 + i % 5), ("en", "de")[i % 2]) for i in range(200)] + [(900, None, "en"), (901, "12 !", None), (None, english, None)]
