@@ -110,6 +110,18 @@ def histogram(df: DataFrame, value: str, bins: int) -> DataFrame:
     )
 
 
+def histogram_by(df: DataFrame, keys: Sequence[str], value: str, bins: int) -> DataFrame:
+    """``histogram`` for each key, over the key's own min..max; a key without a value gives no rows. Keys are not NULL."""
+    known = df.where(F.col(value).isNotNull())
+    limits = known.groupBy(*keys).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
+    width = (F.col("_hi") - F.col("_lo")) / F.lit(bins)
+    number = F.when(width > 0, F.least(F.floor((F.col(value) - F.col("_lo")) / width), F.lit(bins - 1))).otherwise(F.lit(0))
+    counts = known.join(limits, list(keys)).groupBy(*keys, number.cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    every = limits.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
+    return every.join(counts, [*keys, "bin"], "left").select(
+        *keys, "bin", (F.col("_lo") + width * F.col("bin")).alias("left_edge"), F.coalesce("n", F.lit(0)).alias("n"))
+
+
 def worst(errors: DataFrame, by: Column, station: str, n: int) -> DataFrame:
     return errors.orderBy(by.desc(), F.col(station)).limit(n)
 

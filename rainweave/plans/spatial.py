@@ -319,6 +319,36 @@ def i4_nearest_kriging_grid(spark, folder):
     return kriging.krige_nearest(points, _grid_times(spark, folder, points), "cell_id", "z", _VARIOGRAM, 8)
 
 
+def _with_drift(spark, folder, df):
+    drift = views.radar_cells(spark, folder).groupBy(
+        F.date_trunc("day", "time_sgt").alias("time_sgt"), "row", "col").agg(F.avg("value").alias("radar"))
+    row = geo.cell_index(F.col("latitude"), 1.5, 0.039, downward=True).cast("int")
+    col = geo.cell_index(F.col("longitude"), 103.6, 0.0625).cast("int")
+    return df.withColumns({"row": row, "col": col}).join(drift, ["time_sgt", "row", "col"], "left").drop("row", "col")
+
+
+@query("i5_nearest_universal_grid")
+def i5_nearest_universal_grid(spark, folder):
+    """``i4_nearest_kriging_grid`` with a linear trend; any number of gauges."""
+    points = gauge_rain(spark, folder, 1440)
+    return kriging.krige_nearest(points, _grid_times(spark, folder, points), "cell_id", "z", _VARIOGRAM, 8, drift="linear")
+
+
+@query("i6_nearest_external_drift_grid")
+def i6_nearest_external_drift_grid(spark, folder):
+    """``i4_nearest_kriging_grid`` with the day's mean radar value of the cell as drift; days without frames give no rows."""
+    points = gauge_rain(spark, folder, 1440)
+    gauges, cells = (_with_drift(spark, folder, df) for df in (points, _grid_times(spark, folder, points)))
+    return kriging.krige_nearest(gauges, cells, "cell_id", "z", _VARIOGRAM, 8, drift="radar")
+
+
+@query("i9_nearest_kriging_benchmark")
+def i9_nearest_kriging_benchmark(spark, folder):
+    """``i9_kriging_benchmark`` from the eight nearest training gauges of each target; any number of gauges."""
+    train, test = _train_test(spark, folder, 1440)
+    return _kriging_scores(spark, folder, test, kriging.krige_nearest(train, test, "target", "z", _VARIOGRAM, 8))
+
+
 @query("i5_universal_kriging")
 def i5_universal_kriging(spark, folder):
     train, test = _train_test(spark, folder, 1440)
@@ -329,22 +359,17 @@ def i5_universal_kriging(spark, folder):
 def i6_external_drift_kriging(spark, folder):
     """Mean radar value of the cell on the same day as external drift at gauges and targets; without a cell, no estimate."""
     train, test = _train_test(spark, folder, 1440)
-    drift = views.radar_cells(spark, folder).groupBy(
-        F.date_trunc("day", "time_sgt").alias("time_sgt"), "row", "col").agg(F.avg("value").alias("radar"))
-
-    def with_drift(df):
-        row = geo.cell_index(F.col("latitude"), 1.5, 0.039, downward=True).cast("int")
-        col = geo.cell_index(F.col("longitude"), 103.6, 0.0625).cast("int")
-        return df.withColumns({"row": row, "col": col}).join(drift, ["time_sgt", "row", "col"], "left").drop("row", "col")
-
-    return kriging.krige(with_drift(train), with_drift(test), "target", "z", _VARIOGRAM, drift="radar")
+    return kriging.krige(_with_drift(spark, folder, train), _with_drift(spark, folder, test), "target", "z", _VARIOGRAM, drift="radar")
 
 
 @query("i9_kriging_benchmark")
 def i9_kriging_benchmark(spark, folder):
     """Kriging scored at test stations; times without an estimate count as 0 in the first mean."""
     train, test = _train_test(spark, folder, 1440)
-    estimates = kriging.krige(train, test, "target", "z", _VARIOGRAM)
+    return _kriging_scores(spark, folder, test, kriging.krige(train, test, "target", "z", _VARIOGRAM))
+
+
+def _kriging_scores(spark, folder, test, estimates):
     scored = _all_times(spark, folder).join(test.join(estimates, ["time_sgt", "target"], "left"), "time_sgt", "left")
     totals = metrics.average_rmse(scored, ["time_sgt"], "truth", "z")
     return totals.withColumn("pearson", metrics.pearson(scored, "truth", "z").select("pearson").scalar())

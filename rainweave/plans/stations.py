@@ -285,6 +285,20 @@ def a23_histogram(spark, folder):
     return errors.histogram(values, "value", 100).withColumn("left_edge", rounded(F.col("left_edge")))
 
 
+@query(
+    "a23_histogram_by_variable",
+    views.with_views("obs") + """,
+l as (select variable, min(value) as lo, max(value) as hi from obs where value is not null group by variable),
+c as (select variable, case when hi > lo then least(cast(floor((value - lo) / ((hi - lo) / 100)) as int), 99) else 0 end as bin, count(*) as n
+      from obs join l using (variable) where value is not null group by 1, 2)
+select l.variable, cast(g.bin as int) as bin, round(lo + (hi - lo) / 100 * g.bin, 6) as left_edge, coalesce(c.n, 0) as n
+from (select unnest(generate_series(0, 99)) as bin) g cross join l left join c on c.bin = g.bin and c.variable = l.variable""",
+)
+def a23_histogram_by_variable(spark, folder):
+    found = errors.histogram_by(views.observations(spark, folder), ["variable"], "value", 100)
+    return found.withColumn("left_edge", rounded(F.col("left_edge")))
+
+
 @query("t1_sorted_rain", views.with_views("obs") + "select gid, time_sgt, value from obs where variable = 'rain_rate'")
 def t1_sorted_rain(spark, folder):
     return rain(spark, folder).orderBy("time_sgt", "gid")

@@ -220,3 +220,36 @@ def test_interpolate_dispatch(spark):
     for method, options in (("idw", {"point_id": "gid", "k": 3}), ("nearest", {"point_id": "gid"}), ("ordinary", {"variogram": SHAPE}),
                             ("universal", {"variogram": SHAPE})):
         assert kriging.interpolate(p, t, "cell", "z", method, **options).collect()[0].z == pytest.approx(3.0)
+
+
+@pytest.mark.parametrize("name", ["i5_nearest_universal_grid", "i6_nearest_external_drift_grid"])
+def test_grid_kriging_with_a_trend_equals_a_plain_solve(spark, name):
+    from rainweave.plans import spatial as plans
+
+    folder = "/root/testdata/sf0.001"
+    points = plans.gauge_rain(spark, folder, 1440)
+    cells = plans._grid_times(spark, folder, points)
+    radar = name.startswith("i6")
+    p, t = ((plans._with_drift(spark, folder, df) if radar else df).toPandas() for df in (points, cells))
+    got = plans.__dict__[name](spark, folder).toPandas().set_index(["time_sgt", "cell_id"])
+    assert len(got) > 100
+    v, checked = plans._VARIOGRAM, 0
+    for day, own in p.dropna().groupby("time_sgt"):
+        for cell in t[(t.time_sgt == day) & (t.cell_id % 9 == 4)].itertuples():
+            if not (own.z != 0).any():
+                assert (day, cell.cell_id) not in got.index
+                continue
+            far = np.hypot(own.longitude - cell.longitude, own.latitude - cell.latitude)
+            near = own.assign(far=far).sort_values(["far", "gid"]).head(8)
+            xy = near[["longitude", "latitude"]].to_numpy()
+            trend, target = ([near.radar], [cell.radar]) if radar else ([*(xy - [cell.longitude, cell.latitude]).T], [0.0, 0.0])
+            trend, target, n = np.array([np.ones(len(near)), *trend]), np.array([1.0, *target]), len(near)
+
+            def gamma(d):
+                return np.where(d <= 1e-10, 0.0, v["nugget"] + v["sill"] * (1 - np.exp(-3 * d / v["span"])))
+
+            left = np.block([[gamma(np.hypot(*(xy[:, None] - xy).transpose(2, 0, 1))), trend.T], [trend, np.zeros((len(trend),) * 2)]])
+            w = np.linalg.pinv(left) @ np.concatenate([gamma(near.far.to_numpy()), target])
+            assert got.loc[(day, cell.cell_id), "z"] == pytest.approx(w[:n] @ near.z.to_numpy(), rel=1e-6, abs=1e-6, nan_ok=True)
+            checked += 1
+    assert checked > 10
