@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rainweave.llm import chat, compression, decontamination, licenses, mixing, ngram_join, pii, quality_rules, secrets
+from rainweave.llm import chat, collocations, compression, decontamination, licenses, mixing, ngram_join, pii, quality_rules, secrets
 from rainweave.llm import sql as twins
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -126,3 +126,8 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
         F.col("row.doc_id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         base.alias("base_failed"), "kept",
     )
+
+
+@query("op11_phrase_collocations", twins.COLLOCATIONS)
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.collocations(table(spark, folder, "documents"))

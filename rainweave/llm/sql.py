@@ -138,3 +138,41 @@ from docs left join found using (k)
 
 
 SECRETS = _secrets()
+
+# every run counted as it is, without a graph
+COLLOCATIONS = rf"""
+with pieces as (
+  select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array({LOW}, '[.,;:!?\x0A-\x0D]')) as piece from documents
+), split as (
+  select lang, regexp_extract_all(piece, '[^\x20\x09]+') as w from pieces
+), runs as (
+  select lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) as run
+  from split, (select unnest([1, 2, 3]) as k)
+), f as materialized (
+  select lang, k, run, count(*)::hugeint as c from runs group by all
+), totals as (
+  select lang, sum(c)::bigint as n from f where k = 1 group by lang
+), candidates as materialized (
+  select lang, k, run, c, string_split(run, ' ') as w from f where k > 1 and c >= 10
+), cuts as (
+  select lang, k, run, c, w, j, array_to_string(w[1:j], ' ') as front, array_to_string(w[j + 1:k], ' ') as back
+  from candidates, (select unnest([1, 2]) as j) where j < k
+), scored as (
+  select x.lang, x.k, x.run, x.c, x.j, y.c as l, z.c as r, (1000000::hugeint * x.c * x.c) // (y.c * z.c) as score
+  from cuts x
+  join f y on y.lang = x.lang and y.k = x.j and y.run = x.front
+  join f z on z.lang = x.lang and z.k = x.k - x.j and z.run = x.back
+), lowest as (
+  select * from scored qualify row_number() over (partition by lang, run order by score, j) = 1
+), longer as (
+  select lang, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) as run, c from candidates where k = 3
+), covering as (
+  select lang, run, max(c) as c from longer group by all
+), kept as (
+  select x.* from lowest x left join covering y on x.k = 2 and y.lang = x.lang and y.run = x.run
+  where y.c is null or 100 * y.c < 50 * x.c
+)
+select lang, rank, run as phrase, c::bigint as a, l::bigint as l, r::bigint as r, n, score::bigint as score
+from (select *, row_number() over (partition by lang order by score desc, c desc, encode(run)) as rank from kept) join totals using (lang)
+where rank <= 2000
+"""
