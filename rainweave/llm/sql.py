@@ -176,3 +176,43 @@ select lang, rank, run as phrase, c::bigint as a, l::bigint as l, r::bigint as r
 from (select *, row_number() over (partition by lang order by score desc, c desc, encode(run)) as rank from kept) join totals using (lang)
 where rank <= 2000
 """
+
+
+def _round(number: int) -> str:
+    """Assignment to the centroids of a round, and the centroids of the next one."""
+    return f"""
+a{number} as materialized (
+  select v.k, arg_min(c.c, d * 1000 + c.c) as c, min(d) as d from (
+    select v.k, c.c, sum((v.x - c.x) * (v.x - c.x)) as d from v join c{number} c on v.i = c.i group by v.k, c.c
+  ) c join (select distinct k from v) v using (k) group by v.k
+), m{number} as materialized (
+  select a.c, v.i, sum(v.x) as s, count(*) as n from v join a{number} a using (k) group by a.c, v.i
+), c{number + 1} as materialized (
+  select o.c, o.i, case when m.n is null then o.x else (m.s - ((m.s % m.n) + m.n) % m.n) // m.n end as x
+  from c{number} o left join m{number} m on m.c = o.c and m.i = o.i
+),"""
+
+
+# ten rounds written out, every distance measured
+CENTROIDS = f"""
+with kept as materialized (
+  select row_number() over () as k, vec_id, embedding from embeddings
+  where len(embedding) = 64 and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0
+), v as materialized (
+  select k, i, floor(embedding[i]::double * 1024)::hugeint as x from kept, (select unnest(range(1, 65)) as i)
+), firsts as (
+  select k, row_number() over (order by sha256('3:' || vec_id)) - 1 as c from kept qualify c < 8
+), c0 as materialized (
+  select f.c, v.i, v.x from firsts f join v using (k)
+),{"".join(_round(i) for i in range(10))}
+e as materialized (
+  select v.k, arg_min(c.c, d * 1000 + c.c) as c, min(d) as d from (
+    select v.k, c.c, sum((v.x - c.x) * (v.x - c.x)) as d from v join c10 c on v.i = c.i group by v.k, c.c
+  ) c join (select distinct k from v) v using (k) group by v.k
+), names as (
+  select c, sha256(string_agg(x::varchar, ',' order by i)) as h from c10 group by c
+)
+select vec_id, e.c::integer as cluster, d::bigint as distance, (sum(d) over (partition by e.c))::bigint as cluster_inertia,
+  (sum(d) over ())::bigint as inertia, h as centroid_sha256
+from e join kept using (k) join names using (c)
+"""
