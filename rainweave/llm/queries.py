@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rainweave.llm import centroids, chat, collocations, compression, decontamination, licenses, mixing, ngram_join, pii, quality_rules, secrets
+from rainweave.llm import centroids, chat, collocations, compression, decontamination, html_text, licenses, mixing, ngram_join, pii, quality_rules, secrets
 from rainweave.llm import sql as twins
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -136,3 +136,8 @@ def op11(spark: SparkSession, folder: str) -> DataFrame:
 @query("op12_centroid_clusters", twins.CENTROIDS)
 def op12(spark: SparkSession, folder: str) -> DataFrame:
     return centroids.cluster(table(spark, folder, "embeddings")).drop("centroid")
+
+
+@query("op13_main_text")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return html_text.extract_text(table(spark, folder, "pages"))

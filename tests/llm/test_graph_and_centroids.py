@@ -72,7 +72,6 @@ def test_collocations_of_few_rows(spark):
 
 
 def test_full_filter_keeps_counts(spark, monkeypatch):
-    monkeypatch.setattr(collocations, "FILTER_BITS", 20)
     monkeypatch.setattr(collocations, "_filter", lambda flows: (20, np.full(1 << 17, 255, dtype=np.uint8)))
     rng = random.Random(1)
     rows = [(" ".join(rng.choice("abcdefgh") for _ in range(12)), "en") for _ in range(60)]
