@@ -122,22 +122,40 @@ def chain(matches: list[tuple[int, int, int]], gap: int) -> tuple[int, int, int]
     """Best chain of (document begin, length, template begin): words covered, document begin and end.
 
     Both places grow along a chain, overlaps count once, and at most ``gap`` document words lie between
-    neighbours, so a match looks back only as far as that.
+    neighbours. Matches come in the order of their begins; one that ends more than ``gap`` words before the
+    next begin is out of reach for all that follow, so only those whose end is near are looked at, however
+    long they are.
     """
-    best, top = [], (0, 0, 0)
-    for k, (doc, size, place) in enumerate(matches):
-        covered, begin = size, doc
-        for j in range(k - 1, -1, -1):
-            other_doc, other_size, other_place = matches[j]
-            if doc - other_doc > gap + 200:
-                break
-            if other_doc < doc and other_place < place and doc - other_doc - other_size <= gap:
-                shared = max(0, other_doc + other_size - doc, other_place + other_size - place)
-                if best[j][0] + size - shared > covered:
-                    covered, begin = best[j][0] + size - shared, best[j][1]
-        best.append((covered, begin))
-        top = max(top, (covered, -begin, doc + size))
-    return top[0], -top[1], top[2]
+    if not matches:
+        return 0, 0, 0
+    doc, size, place = np.array(matches, dtype=np.int64).T
+    covered, begin = size.copy(), doc.copy()
+    near = np.zeros(0, dtype=np.int64)
+    for k in range(len(matches)):
+        near = near[doc[near] + size[near] >= doc[k] - gap]
+        before = near[(doc[near] < doc[k]) & (place[near] < place[k])]
+        if len(before):
+            shared = np.maximum(0, np.maximum(doc[before] + size[before] - doc[k], place[before] + size[before] - place[k]))
+            sums = covered[before] + size[k] - shared
+            best = before[np.lexsort((begin[before], -sums))[0]]
+            if sums.max() > size[k]:
+                covered[k], begin[k] = sums.max(), begin[best]
+        near = np.append(near, k)
+    top = np.lexsort((-(doc + size), begin, -covered))[0]
+    return int(covered[top]), int(begin[top]), int(doc[top] + size[top])
+
+
+def templates_from(table: DataFrame, label_column: str = "label", text_column: str = "text", most: int = 10_000) -> dict[str, list[str]]:
+    """Templates from a table of licence texts. The table goes through the driver and into every task, so more than
+    ``most`` rows raise; rows without a label or a word are left out."""
+    rows = table.select(F.col(label_column).cast("string"), text_column).limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} templates")
+    out: dict[str, list[str]] = {}
+    for label, text in sorted(r for r in map(tuple, rows) if None not in r):
+        if template_words(text):
+            out.setdefault(label, []).append(text)
+    return out
 
 
 class Scanner:
@@ -164,7 +182,7 @@ class Scanner:
         """Per template: share covered by its best chain, and the chain's span in document words."""
         found: dict[int, list] = {}
         for a, b in runs:
-            for doc, size, template, place in self.automaton.matches(ids[a:b].tolist(), min(LEAST, min(self.sizes))):
+            for doc, size, template, place in self.automaton.matches(ids[a:b].tolist(), min([LEAST, *self.sizes])):
                 found.setdefault(template, []).append((a + doc, size, place))
         out = {}
         for template, matches in found.items():
@@ -224,16 +242,20 @@ def _run_ends(known: np.ndarray, begins: np.ndarray) -> np.ndarray:
     return stops[np.searchsorted(stops, begins)]
 
 
-def scan_licenses(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", cover: float = COVER) -> DataFrame:
+def scan_licenses(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", cover: float = COVER,
+                  templates: DataFrame | None = None) -> DataFrame:
     """``doc_id``, ``n_words``, ``places``, ``chains``, ``base_labels``, ``labels``, ``score`` for every row.
 
     ``places``: every place of a base phrase (label, first word). ``chains``: per template the best chain of
     matches, its share of the template's words and its span in document words. ``labels``: base labels and the
     labels of templates covered by ``cover`` or more, sorted. ``score``: the largest share, 1 for a base
-    phrase. A NULL text is empty. Whole texts are read.
+    phrase. A NULL text is empty. Whole texts are read. Repeated rows are judged alike, other columns are
+    ignored, an empty table gives no rows. Of chains that cover equally many words the one that begins first
+    counts, then the longest. ``templates`` is a table of licence texts (``label``, ``text``) to use instead of ``TEMPLATES``.
     """
     kind = dict(docs.dtypes)[id_column]
-    found = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).mapInArrow(_scan(Scanner), SCAN.format(id=kind))
+    known = TEMPLATES if templates is None else templates_from(templates)
+    found = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).mapInArrow(_scan(lambda: Scanner(known)), SCAN.format(id=kind))
     base = F.array_sort(F.array_distinct(F.transform("places", lambda x: x["label"])))
     more = F.transform(F.filter("chains", lambda x: x["share"] >= cover), lambda x: x["label"])
     share = F.coalesce(F.array_max(F.transform("chains", lambda x: x["share"])), F.lit(0.0))

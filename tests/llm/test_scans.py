@@ -5,6 +5,8 @@ import re
 
 from pyspark.sql import functions as F
 
+import pytest
+
 from rainweave.llm import licenses, pii, secrets
 
 HARD = [
@@ -135,3 +137,39 @@ def test_matching_statistics():
     assert got == want
 
 
+
+
+def plain_chain(matches, gap):
+    best = []
+    for k, (doc, size, place) in enumerate(matches):
+        options = [(size, -doc)]
+        for j in range(k):
+            other, length, at = matches[j]
+            if other < doc and at < place and doc - other - length <= gap:
+                options.append((best[j][0] + size - max(0, other + length - doc, at + length - place), best[j][1]))
+        # a longer chain, and of equally long ones the match alone
+        most = max(o[0] for o in options)
+        best.append((size, -doc) if most == size else max(o for o in options if o[0] == most))
+    return max(((c, b, d + s) for (c, b), (d, s, _) in zip(best, matches)), default=(0, 0, 0))
+
+
+def test_chains_equal_a_plain_search():
+    rng = random.Random(4)
+    for _ in range(300):
+        span = rng.choice([30, 400, 3000])
+        matches = sorted({(rng.randrange(span), rng.randrange(1, rng.choice([6, 40, 700])), rng.randrange(span)) for _ in range(rng.randrange(40))})
+        covered, begin, end = plain_chain(matches, 12)
+        assert licenses.chain(matches, 12) == (covered, -begin, end)
+
+
+def test_long_licences_from_a_table(spark):
+    words = [f"w{i}" for i in range(2000)]
+    held = spark.createDataFrame([("long", " ".join(words)), ("long", None), (None, "x"), ("none", " . ")], "label string, text string")
+    broken = words[:1000] + ["foreign"] + words[1000:]
+    cut = words[:900] + ["other"] * 13 + words[900:1300]
+    docs = spark.createDataFrame([(1, " ".join(broken), "z"), (1, " ".join(broken), "z"), (2, " ".join(cut), "z"), (3, None, "z"), (4, "", "z")], "doc_id long, text string, labels string")
+    got = sorted((r.doc_id, tuple(r.labels), r.score) for r in licenses.scan_licenses(docs, templates=held).collect())
+    assert got == [(1, ("long",), 1.0), (1, ("long",), 1.0), (2, (), 0.45), (3, (), 0.0), (4, (), 0.0)]
+    assert licenses.scan_licenses(docs.limit(0)).count() == 0
+    with pytest.raises(ValueError):
+        licenses.templates_from(held, most=3)
