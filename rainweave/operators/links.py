@@ -295,12 +295,17 @@ def link_rain(series: DataFrame, links: DataFrame, keys: Sequence[str], position
     flagged = flag_wet(series, keys, position, value, window, threshold)
     based = baseline_constant(flagged, keys, position, value, "wet", n)
     wetted = wet_antenna_schleiss(based, keys, position, value, "baseline", "wet", waa_max, delta_t, tau)
+    return rain_from_levels(wetted, links, value)
+
+
+def rain_from_levels(levels: DataFrame, links: DataFrame, value: str) -> DataFrame:
+    """Adds attenuation and rain_rate to rows with link_id, the level ``value``, baseline and waa."""
     loss = clamp_negative(F.col(value) - F.col("baseline") - F.col("waa"))
     law = with_power_law(
         links.withColumn("polarization", link_polarisation(F.col("polarization")))
     ).select("link_id", "length", "a", "b")
     return (
-        wetted.withColumn("attenuation", loss)
+        levels.withColumn("attenuation", loss)
         .join(law, "link_id")
         .withColumn("rain_rate", rain_rate(F.col("attenuation"), F.col("length"), F.col("a"), F.col("b")))
         .drop("length", "a", "b")

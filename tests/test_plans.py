@@ -3,13 +3,14 @@
 import pytest
 
 import __spark_entry__ as entry
+from rainweave import plans
 
 FOLDER = "/root/testdata/sf0.001"
 # Python is expected only where a dense solve, a recursion or complex numbers need it
 PYTHON = {
     "x1_blockwise_function",
     "f8_waa_leijnse", "f9_waa_leijnse_observed", "i4_ordinary_kriging", "i4_nearest_kriging_at_gauges", "i4_nearest_kriging_grid", "i5_universal_kriging", "i6_external_drift_kriging",
-    "i7_variogram_bins", "i9_kriging_benchmark",
+    "i7_variogram_bins", "i9_kriging_benchmark", "i5_nearest_universal_grid", "i6_nearest_external_drift_grid", "i9_nearest_kriging_benchmark",
 }
 FITTED = {"k1_kmeans_clusters", "g12_baseline_learner", "g5_components"}
 
@@ -18,7 +19,7 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(set(entry.queries()) - FITTED))
+@pytest.mark.parametrize("name", sorted(set(plans.QUERIES) - FITTED))
 def test_no_cross_join_and_python_only_where_needed(spark, name):
     text = plan(entry.queries()[name](spark, FOLDER))
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
