@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rainweave.functions.time import bucket_end, bucket_start, epoch_seconds, slot_of, slot_time
-from rainweave.operators.partitioned import next_row, row_position
+from rainweave.operators.partitioned import nearest_known, next_row, row_position
 
 SLOTS_PER_CHUNK = 1024
 
@@ -101,14 +101,13 @@ def time_slice(df: DataFrame, time: str, start: int, stop: int) -> DataFrame:
     return df.join(wanted, time, "left_semi")
 
 
-def assign_to_index(
-    values: DataFrame, index: DataFrame, time: str, label: str, span_seconds: int = 3600
-) -> DataFrame:
+def assign_to_index(values: DataFrame, index: DataFrame, time: str, label: str) -> DataFrame:
     """Give each row its target time on an irregular index, as column ``target``.
 
     ``right``: the first index time at or after the row; ``left``: the last at or before it.
     Both sides are first cut to their common period; rows without a target stay NULL.
-    Index gaps become intervals, spread over spans of fixed length, so the join is an equi-join.
+    The distinct times of both sides form one line, cut into blocks of equal size; the nearest mark is carried inside
+    the blocks and, by one row per block, over their borders. No pair of a value and a mark is looked at.
     """
     if label not in ("left", "right"):
         raise ValueError("label must be 'left' or 'right'")
@@ -118,22 +117,9 @@ def assign_to_index(
     high = F.least(v.select("hi").scalar(), i.select("hi").scalar())
     inside = F.col(time).between(low, high)
     kept = values.where(inside)
-    marks = index.select(time).distinct().where(inside)
-    t, mark = F.col(time), F.col("_mark")
-    around = next_row(marks, [], F.to_date(F.col(time)), time, F.col(time), "_after", "_before").withColumnRenamed(time, "_mark")
-
-    def span(value: Column) -> Column:
-        return F.floor(epoch_seconds(value) / F.lit(span_seconds)).cast("long")
-
-    if label == "left":
-        start, end = mark, F.coalesce("_after", high)
-        hit = (t >= mark) & (F.col("_after").isNull() | (t < F.col("_after")))
-    else:
-        start, end = F.coalesce("_before", low), mark
-        hit = (t <= mark) & (F.col("_before").isNull() | (t > F.col("_before")))
-    spread = around.withColumn("_span", F.explode(F.sequence(span(start), span(end))))
-    keyed = kept.withColumn("_span", span(t))
-    return (
-        keyed.join(spread, (keyed["_span"] == spread["_span"]) & hit, "left")
-        .select(*[kept[c] for c in kept.columns], mark.alias("target"))
-    )
+    marks = index.where(inside).select(time, F.col(time).alias("_mark"))
+    line = kept.select(time, F.lit(None).cast(marks.schema["_mark"].dataType).alias("_mark")).unionByName(marks)
+    line = line.groupBy(time).agg(F.max("_mark").alias("_mark"))
+    nearest = nearest_known(line, time, "_mark", "_carried", ahead=label == "right")
+    targets = nearest.select(time, F.coalesce("_mark", "_carried").alias("target"))
+    return kept.join(targets, time, "left").select(*values.columns, "target")
