@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Callable, Sequence
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # ITU-R P.838-2 (2003), rows frequency GHz, k_H, k_V, alpha_H, alpha_V.
 P838_2 = (
@@ -35,9 +34,6 @@ P838_3 = {
                  (-48.2991, 0.791669, 0.116226), (48.5833, 0.791459, 0.116479)), -0.053739, 0.83433),
 }
 
-# Entries of the printed P.838-3 table that are not its regression rounded, (name, frequency): value.
-P838_3_PRINTED = {("alpha_V", 4.0): 1.2476, ("alpha_V", 37.0): 0.8621, ("alpha_V", 66.0): 0.7313}
-
 # Accepted polarisation labels, valid frequency range in GHz, smallest rain rate in mm/h.
 POLARISATIONS = {"V": ("v", "V", "vertical", "Vertical"), "H": ("h", "H", "horizontal", "Horizontal")}
 FREQUENCY_RANGE_GHZ = (1.0, 100.0)
@@ -45,31 +41,14 @@ MIN_RAIN_RATE = 0.1
 EULER_GAMMA = 0.57721566
 
 
-def _p838_3_table() -> np.ndarray:
-    """The published P.838-3 table: its regression on the published frequencies, in its digits."""
-    f = np.concatenate([np.arange(1.0, 6.0, 0.5), np.arange(6.0, 101.0, 1.0)])
-    x = np.log10(f)
-    rows = [f]
-    for name in ("k_H", "k_V", "alpha_H", "alpha_V"):
-        terms, slope, constant = P838_3[name]
-        y = sum(a * np.exp(-(((x - b) / c) ** 2)) for a, b, c in terms) + slope * x + constant
-        if name.startswith("k"):
-            k = 10.0**y
-            # four significant digits, from four to seven decimals
-            digits = np.clip(3 - np.floor(np.log10(k)), 4, 7).astype(int)
-            y = np.array([round(v, d) for v, d in zip(k, digits)])
-        else:
-            y = np.round(y, 4)
-        rows.append(np.array([P838_3_PRINTED.get((name, at), v) for at, v in zip(f, y)]))
-    return np.array(rows)
-
-
-def coefficient_table(version: str) -> np.ndarray:
-    if version == "ITU_2003":
-        return np.array(P838_2, dtype=float)
-    if version == "ITU_2005":
-        return _p838_3_table()
-    raise ValueError("table must be 'ITU_2003' or 'ITU_2005'")
+def regression(name: str, frequency: Column) -> Column:
+    """``k_H``, ``k_V``, ``alpha_H`` or ``alpha_V`` of P.838-3 at any frequency in GHz, by its regression."""
+    terms, slope, constant = P838_3[name]
+    x = F.log10(frequency)
+    total = F.lit(slope) * x + F.lit(constant)
+    for height, centre, width in terms:
+        total = total + F.lit(height) * F.exp(-F.pow((x - F.lit(centre)) / F.lit(width), F.lit(2.0)))
+    return F.pow(F.lit(10.0), total) if name.startswith("k") else total
 
 
 def cubic_pieces(x: Sequence[float], y: Sequence[float]) -> np.ndarray:
@@ -90,26 +69,24 @@ def cubic_pieces(x: Sequence[float], y: Sequence[float]) -> np.ndarray:
     )
 
 
-def coefficient_rows(version: str = "ITU_2005") -> list[tuple]:
-    """(pol, half-GHz bin, knot, a0..a3, b0..b3): all knots lie on half GHz, so a bin has one piece."""
-    table = coefficient_table(version)
-    f, rows = table[0], []
-    for pol, k, alpha in (("H", 1, 3), ("V", 2, 4)):
-        a, b = cubic_pieces(f, table[k]), cubic_pieces(f, table[alpha])
-        for half in range(int(2 * f[0]), int(2 * f[-1]) + 1):
-            i = min(int(np.searchsorted(f, half / 2, side="right")) - 1, len(f) - 2)
-            rows.append((pol, half, float(f[i]), *map(float, a[i]), *map(float, b[i])))
+def coefficient_pieces(table: Sequence[Sequence[float]]) -> list[tuple]:
+    """(pol, low, high, a0..a3, b0..b3): spline pieces of a table of rows frequency, k_H, k_V, alpha_H, alpha_V."""
+    f, *columns = (np.asarray(row, float) for row in table)
+    rows = []
+    for pol, k, alpha in (("H", 0, 2), ("V", 1, 3)):
+        a, b = cubic_pieces(f, columns[k]), cubic_pieces(f, columns[alpha])
+        for i in range(len(f) - 1):
+            rows.append((pol, float(f[i]), float(f[i + 1]) if i + 2 < len(f) else float("inf"), *map(float, a[i]), *map(float, b[i])))
     return rows
 
 
-_COEFFICIENT_SCHEMA = "pol string, half long, knot double, " + ", ".join(
-    f"{c}{i} double" for c in "ab" for i in range(4)
-)
-
-
-def coefficients(spark: SparkSession, version: str = "ITU_2005") -> DataFrame:
-    """Spline pieces as a table of some 400 rows."""
-    return spark.createDataFrame(coefficient_rows(version), _COEFFICIENT_SCHEMA)
+def _on_pieces(table: Sequence[Sequence[float]], pol: Column, frequency: Column) -> tuple[Column, Column]:
+    """Both coefficients by the piece that holds the frequency; the pieces stand in one constant array."""
+    names = ["pol", "low", "high", *[f"{c}{i}" for c in "ab" for i in range(4)]]
+    pieces = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(names, row)]) for row in coefficient_pieces(table)])
+    piece = F.get(F.filter(pieces, lambda p: (p["pol"] == pol) & (frequency >= p["low"]) & (frequency < p["high"])), F.lit(0))
+    d = frequency - piece["low"]
+    return tuple(piece[f"{c}0"] + d * (piece[f"{c}1"] + d * (piece[f"{c}2"] + d * piece[f"{c}3"])) for c in "ab")
 
 
 def link_polarisation(label: Column) -> Column:
@@ -126,13 +103,18 @@ def _canonical(label: Column) -> Column:
 
 def with_power_law(
     links: DataFrame, frequency: str = "frequency", polarisation: str = "polarization",
-    version: str = "ITU_2005", strict: bool = True,
+    version: str = "ITU_2005", strict: bool = True, table: Sequence[Sequence[float]] | None = None,
 ) -> DataFrame:
     """Add ``a`` and ``b`` of ``A = a R**b L`` by frequency (GHz) and polarisation.
 
+    ``ITU_2005`` evaluates the regression of P.838-3 at the frequency itself, ``ITU_2003`` interpolates the
+    table of P.838-2 with a not-a-knot spline. ``table`` (rows frequency, k_H, k_V, alpha_H, alpha_V) is interpolated
+    instead, for instance the printed, rounded table of a recommendation.
     ``strict`` raises on a frequency outside 1..100 GHz or an unknown polarisation;
     otherwise such links get NULL coefficients.
     """
+    if version not in ("ITU_2003", "ITU_2005"):
+        raise ValueError("version must be 'ITU_2003' or 'ITU_2005'")
     low, high = FREQUENCY_RANGE_GHZ
     pol, f = _canonical(F.col(polarisation)), F.col(frequency)
     if strict:
@@ -142,14 +124,12 @@ def with_power_law(
         ).otherwise(F.raise_error(F.lit("frequency must be between 1 and 100 GHz")).cast("double"))
     else:
         checked = F.when(f.between(low, high), f)
-    keyed = links.withColumns({"pol": pol, "_f": checked, "half": F.floor(checked * 2)})
-    joined = keyed.join(coefficients(links.sparkSession, version), ["pol", "half"], "left")
-    d = F.col("_f") - F.col("knot")
-
-    def polynomial(c: str) -> Column:
-        return F.col(f"{c}0") + d * (F.col(f"{c}1") + d * (F.col(f"{c}2") + d * F.col(f"{c}3")))
-
-    return joined.select(*links.columns, polynomial("a").alias("a"), polynomial("b").alias("b"))
+    keyed = links.withColumns({"_pol": pol, "_f": checked})
+    if table is None and version == "ITU_2005":
+        a, b = (F.when(F.col("_pol") == "H", regression(f"{c}_H", F.col("_f"))).when(F.col("_pol") == "V", regression(f"{c}_V", F.col("_f"))) for c in ("k", "alpha"))
+    else:
+        a, b = _on_pieces(P838_2 if table is None else table, F.col("_pol"), F.col("_f"))
+    return keyed.select(*links.columns, a.alias("a"), b.alias("b"))
 
 
 def rain_rate(attenuation: Column, length_km: Column, a: Column, b: Column, r_min: float = MIN_RAIN_RATE) -> Column:
@@ -179,50 +159,68 @@ RELAXATION_GHZ = (20.2, 146.4, 316.0)
 SECOND_RELAXATION = 39.8  # times the first
 
 
-def _series(coefficients, x):
-    return sum(c * x**k for k, c in enumerate(coefficients))
+LIGHT = 299792458.0  # m/s
+COVER_INDEX = (1.73, 0.014)  # refractive index of the antenna cover
+COVER_M = 0.001
 
 
-def water_permittivity(f_hz, t_kelvin: float):
-    """Complex permittivity of water without salt: an optical value and two relaxations, positive loss."""
-    theta = 1 - 300.0 / t_kelvin
-    levels = np.array([1.0, HIGH_SHARE]) * _series(STATIC, theta)
-    steps = -np.diff([*levels, _series(OPTICAL, theta)])
-    corners = _series(RELAXATION_GHZ, theta) * np.array([1.0, SECOND_RELAXATION])
-    ratio = np.asarray(f_hz, float)[..., None] / (corners * 1e9)
-    return _series(OPTICAL, theta) + (steps / (1 - 1j * ratio)).sum(axis=-1)
+def _given(values: dict[str, Column], then: Callable[[Column], Column]) -> Column:
+    """``then`` of a row of values that are computed once."""
+    return F.get(F.transform(F.array(F.struct(*[v.alias(k) for k, v in values.items()])), then), F.lit(0))
+
+
+def _times(a: tuple[Column, Column], b: tuple[Column, Column]) -> tuple[Column, Column]:
+    return a[0] * b[0] - a[1] * b[1], a[0] * b[1] + a[1] * b[0]
 
 
-def _layer(index, thickness, wave_number):
-    """Characteristic matrix of a layer at normal incidence, for fields that go as exp(-i w t)."""
-    phase = wave_number * index * thickness
-    turn, flow = np.cos(phase), -1j * np.sin(phase)
-    return turn, flow / index, flow * index, turn
+def _over(a: tuple[Column, Column], b: tuple[Column, Column]) -> tuple[Column, Column]:
+    size = b[0] * b[0] + b[1] * b[1]
+    return (a[0] * b[0] + a[1] * b[1]) / size, (a[1] * b[0] - a[0] * b[1]) / size
+
+
+def water_permittivity(f_ghz: Column, t_kelvin: float = 293.0) -> tuple[Column, Column]:
+    """Real part and loss of the permittivity of water without salt: an optical value and two relaxations."""
+    theta = 1 - 300.0 / t_kelvin
+    static, optical, corner = (sum(c * theta**k for k, c in enumerate(x)) for x in (STATIC, OPTICAL, RELAXATION_GHZ))
+    real, loss = F.lit(optical), F.lit(0.0)
+    for step, at in ((static * (1 - HIGH_SHARE), corner), (static * HIGH_SHARE - optical, corner * SECOND_RELAXATION)):
+        ratio = f_ghz / F.lit(at)
+        real, loss = real + F.lit(step) / (1 + ratio * ratio), loss + F.lit(step) * ratio / (1 + ratio * ratio)
+    return real, loss
 
 
-def _transmission(layers):
-    """Amplitude that passes a stack of layers with air on both sides."""
-    a, b, c, d = 1.0, 0.0, 0.0, 1.0
-    for p, q, r, s in layers:
-        a, b, c, d = a * p + b * r, a * q + b * s, c * p + d * r, c * q + d * s
-    return 2 / (a + b + c + d)
+def _edges(index: tuple[Column, Column], thickness: Column, wave: Column) -> dict[str, Column]:
+    """Of the characteristic matrix of a layer at normal incidence: its diagonal, and the two others, which are
+    ``-i sin(phase)`` divided by and times the index."""
+    a, b = wave * thickness * index[0], wave * thickness * index[1]
+    diagonal = F.cos(a) * F.cosh(b), -F.sin(a) * F.sinh(b)
+    flow = F.cos(a) * F.sinh(b), -F.sin(a) * F.cosh(b)
+    upper, lower = _over(flow, index), _times(flow, index)
+    return {"tr": diagonal[0], "ti": diagonal[1], "ur": upper[0], "ui": upper[1], "lr": lower[0], "li": lower[1]}
 
 
-def film_attenuation(rate, f_hz, t_kelvin=293.0, gamma=2.06e-5, delta=0.24, n_cover=complex(1.73, 0.014), cover=0.001):
-    """Attenuation in dB of a water film of thickness ``gamma * R**delta`` on an antenna cover.
+def waa_leijnse(rate: Column, f_hz: Column, t_kelvin: float = 293.0, gamma: float = 2.06e-5, delta: float = 0.24) -> Column:
+    """Attenuation in dB of a water film of thickness ``gamma * R**delta`` on an antenna cover; 0 without rain.
 
-    Model of Leijnse et al. (2008), solved with the characteristic matrices of layered media: the
-    transmission of cover and film relative to that of the cover alone.
+    Model of Leijnse et al. (2008), solved with the characteristic matrices of layered media: the transmission of cover and
+    film relative to that of the cover alone. Complex numbers are pairs of columns, so all of it stays in Spark.
     """
-    rate = np.asarray(rate, float)
-    wave_number = 2 * np.pi * np.asarray(f_hz, float) / 299792458.0
-    dry = _layer(n_cover, cover, wave_number)
-    film = _layer(np.sqrt(water_permittivity(f_hz, t_kelvin)), gamma * rate**delta, wave_number)
-    db = 20 * np.log10(np.abs(_transmission([dry]) / _transmission([dry, film])))
-    return np.where(rate == 0, 0.0, db)
-
-
-@F.pandas_udf(T.DoubleType())
-def waa_leijnse(rate: pd.Series, f_hz: pd.Series) -> pd.Series:
-    """Wet-antenna attenuation of the water-film model with default film and antenna."""
-    return pd.Series(film_attenuation(rate.to_numpy(float), f_hz.to_numpy(float)))
+    def with_film(x: Column) -> Column:
+        wave = 2 * math.pi * x["f"] / LIGHT
+        size = F.sqrt(x["real"] * x["real"] + x["loss"] * x["loss"])
+        index = F.sqrt((size + x["real"]) / 2), F.sqrt((size - x["real"]) / 2)
+        cover = tuple(F.lit(v) for v in COVER_INDEX)
+        film = _edges(index, F.lit(gamma) * F.pow(x["rate"], F.lit(delta)), wave)
+        dry = _edges(cover, F.lit(COVER_M), wave)
+        return _given({**{f"d{k}": v for k, v in dry.items()}, **{f"f{k}": v for k, v in film.items()}}, attenuation)
+
+    def attenuation(m: Column) -> Column:
+        # the amplitude that passes a stack is 2 over the sum of all elements of its matrix
+        left, right = (m["dtr"] + m["dlr"], m["dti"] + m["dli"]), (m["dtr"] + m["dur"], m["dti"] + m["dui"])
+        wet = [a + b for a, b in zip(_times(left, (m["ftr"] + m["fur"], m["fti"] + m["fui"])), _times(right, (m["ftr"] + m["flr"], m["fti"] + m["fli"])))]
+        dry = [a + b for a, b in zip(left, right)]
+        return 10 * F.log10((wet[0] * wet[0] + wet[1] * wet[1]) / (dry[0] * dry[0] + dry[1] * dry[1]))
+
+    real, loss = water_permittivity(f_hz / 1e9, t_kelvin)
+    db = _given({"rate": rate, "f": f_hz, "real": real, "loss": loss}, with_film)
+    return F.when(rate == 0, F.lit(0.0)).otherwise(db)

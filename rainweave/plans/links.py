@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rainweave.functions.attenuation import (
-    coefficient_rows,
+    P838_2,
+    coefficient_pieces,
     link_polarisation,
     rain_rate,
     rain_rate_from_maximum,
@@ -50,20 +51,59 @@ rec as (
         from rec r join wet s on s.link_id = r.link_id and s.t = r.t + 1))"""
 
 
+# the regressions of P.838-3, written out for the twins
+_REGRESSION_SQL = {
+    "k_H": "pow(10e0, -5.33980e0 * exp(-pow((x + 0.10008e0) / 1.13098e0, 2)) - 0.35351e0 * exp(-pow((x - 1.26970e0) / 0.45400e0, 2))"
+           " - 0.23789e0 * exp(-pow((x - 0.86036e0) / 0.15354e0, 2)) - 0.94158e0 * exp(-pow((x - 0.64552e0) / 0.16817e0, 2)) - 0.18961e0 * x + 0.71147e0)",
+    "k_V": "pow(10e0, -3.80595e0 * exp(-pow((x - 0.56934e0) / 0.81061e0, 2)) - 3.44965e0 * exp(-pow((x + 0.22911e0) / 0.51059e0, 2))"
+           " - 0.39902e0 * exp(-pow((x - 0.73042e0) / 0.11899e0, 2)) + 0.50167e0 * exp(-pow((x - 1.07319e0) / 0.27195e0, 2)) - 0.16398e0 * x + 0.63297e0)",
+    "alpha_H": "-0.14318e0 * exp(-pow((x - 1.82442e0) / -0.55187e0, 2)) + 0.29591e0 * exp(-pow((x - 0.77564e0) / 0.19822e0, 2))"
+               " + 0.32177e0 * exp(-pow((x - 0.63773e0) / 0.13164e0, 2)) - 5.37610e0 * exp(-pow((x + 0.96230e0) / 1.47828e0, 2))"
+               " + 16.1721e0 * exp(-pow((x + 3.29980e0) / 3.43990e0, 2)) + 0.67849e0 * x - 1.95537e0",
+    "alpha_V": "-0.07771e0 * exp(-pow((x - 2.33840e0) / -0.76284e0, 2)) + 0.56727e0 * exp(-pow((x - 0.95545e0) / 0.54039e0, 2))"
+               " - 0.20238e0 * exp(-pow((x - 1.14520e0) / 0.26809e0, 2)) - 48.2991e0 * exp(-pow((x - 0.791669e0) / 0.116226e0, 2))"
+               " + 48.5833e0 * exp(-pow((x - 0.791459e0) / 0.116479e0, 2)) - 0.053739e0 * x + 0.83433e0",
+}
+
+
 def _law_sql(version: str = "ITU_2005") -> str:
-    """Link coefficients in SQL, from the same spline pieces."""
+    """Link coefficients in SQL."""
+    if version == "ITU_2005":
+        k, alpha = (f"case when polarization = 'H' then {_REGRESSION_SQL[c + '_H']} else {_REGRESSION_SQL[c + '_V']} end" for c in ("k", "alpha"))
+        return f""",
+law as (select link_id, frequency, length, polarization, {k} as a, {alpha} as b from (select *, log10(frequency) as x from cml_link))"""
     rows = ",\n".join(
-        "('" + r[0] + "', " + str(r[1]) + ", " + ", ".join(f"{v!r}::double" for v in r[2:]) + ")" for r in coefficient_rows(version)
+        "('" + r[0] + "', " + ", ".join(f"{v!r}::double" if v != float("inf") else "'inf'::double" for v in r[1:]) + ")" for r in coefficient_pieces(P838_2)
     )
     return f""",
-piece(pol, half, knot, a0, a1, a2, a3, b0, b1, b2, b3) as (values {rows}),
+piece(pol, low, high, a0, a1, a2, a3, b0, b1, b2, b3) as (values {rows}),
 law as (select link_id, frequency, length, polarization,
-               a0 + (frequency - knot) * (a1 + (frequency - knot) * (a2 + (frequency - knot) * a3)) as a,
-               b0 + (frequency - knot) * (b1 + (frequency - knot) * (b2 + (frequency - knot) * b3)) as b
-        from cml_link join piece on half = cast(floor(frequency * 2) as bigint)
+               a0 + (frequency - low) * (a1 + (frequency - low) * (a2 + (frequency - low) * a3)) as a,
+               b0 + (frequency - low) * (b1 + (frequency - low) * (b2 + (frequency - low) * b3)) as b
+        from cml_link join piece on frequency >= low and frequency < high
          and pol = case when polarization = 'H' then 'H' else 'V' end)"""
 
 
+def _film_sql(source: str, name: str) -> str:
+    """``name``: the rows of ``source`` (with r in mm/h and frequency in GHz) and ``waa`` of the water film, step by step."""
+    return f""",
+{name}_e as (select *, 3.52e0 + 7.52e0 * h as e2, 77.66e0 - 103.3e0 * h as e0, 20.2e0 + 146.4e0 * h + 316e0 * h * h as g
+             from (select *, 1 - 300e0 / 293e0 as h from {source})),
+{name}_p as (select *, e2 + (e0 - 0.0671e0 * e0) / (1 + pow(frequency / g, 2)) + (0.0671e0 * e0 - e2) / (1 + pow(frequency / (39.8e0 * g), 2)) as er,
+                    (e0 - 0.0671e0 * e0) * (frequency / g) / (1 + pow(frequency / g, 2))
+                    + (0.0671e0 * e0 - e2) * (frequency / (39.8e0 * g)) / (1 + pow(frequency / (39.8e0 * g), 2)) as ei from {name}_e),
+{name}_n as (select *, sqrt((sqrt(er * er + ei * ei) + er) / 2) as nr, sqrt((sqrt(er * er + ei * ei) - er) / 2) as ni, 2 * pi() * frequency * 1e9 / 299792458e0 as w from {name}_p),
+{name}_a as (select *, w * nr * 2.06e-5 * pow(r, 0.24e0) as fa, w * ni * 2.06e-5 * pow(r, 0.24e0) as fb, w * 1.73e0 * 1e-3 as da, w * 0.014e0 * 1e-3 as db from {name}_n),
+{name}_t as (select *, cos(fa) * cosh(fb) as fcr, -sin(fa) * sinh(fb) as fci, cos(fa) * sinh(fb) as fsr, -sin(fa) * cosh(fb) as fsi,
+                    cos(da) * cosh(db) as dcr, -sin(da) * sinh(db) as dci, cos(da) * sinh(db) as dsr, -sin(da) * cosh(db) as dsi,
+                    nr * nr + ni * ni as n2, 1.73e0 * 1.73e0 + 0.014e0 * 0.014e0 as c2 from {name}_a),
+{name}_m as (select *, fcr + (fsr * nr + fsi * ni) / n2 as pr, fci + (fsi * nr - fsr * ni) / n2 as pi, fcr + fsr * nr - fsi * ni as qr, fci + fsr * ni + fsi * nr as qi,
+                    dcr + (dsr * 1.73e0 + dsi * 0.014e0) / c2 as vr, dci + (dsi * 1.73e0 - dsr * 0.014e0) / c2 as vi,
+                    dcr + dsr * 1.73e0 - dsi * 0.014e0 as ur, dci + dsr * 0.014e0 + dsi * 1.73e0 as ui from {name}_t),
+{name} as (select * exclude (waa), case when r = 0 then 0 else waa end as waa from (
+             select *, 10 * log10((pow(ur * pr - ui * pi + vr * qr - vi * qi, 2) + pow(ur * pi + ui * pr + vr * qi + vi * qr, 2)) / (pow(ur + vr, 2) + pow(ui + vi, 2))) as waa from {name}_m))"""
+
+
 def _law(spark, folder, version="ITU_2005"):
     links = views.links(spark, folder)
     return with_power_law(
@@ -296,13 +336,19 @@ def f7_waa_pastorek(spark, folder):
     return df.select("link_id", "t", rounded(waa_pastorek(rate)).alias("waa"))
 
 
-@query("f8_waa_leijnse")
+@query(
+    "f8_waa_leijnse",
+    _LOSS_SQL + """,
+rated as (select link_id, t, frequency, case when rate < 0.1e0 then 0 else rate end as r
+          from (select *, case when loss >= 0 then pow(loss / (a * length), 1 / b) else 0 end as rate from loss))""" + _film_sql("rated", "film")
+    + "select link_id, t, round(waa, 6) as waa from film",
+)
 def f8_waa_leijnse(spark, folder):
-    """Water-film model on every rain rate; complex arithmetic, so no SQL twin."""
+    """Water-film model on every rain rate."""
     df = _loss(spark, folder).withColumn(
         "rain_rate", rain_rate(F.col("loss"), F.col("length"), F.col("a"), F.col("b"))
     )
-    return df.select("link_id", "t", waa_leijnse(F.col("rain_rate"), F.col("frequency") * 1e9).alias("waa"))
+    return df.select("link_id", "t", rounded(waa_leijnse(F.col("rain_rate"), F.col("frequency") * 1e9)).alias("waa"))
 
 
 @query(
@@ -325,12 +371,22 @@ def f9_waa_pastorek_observed(spark, folder):
     return df.select("link_id", "t", rounded(F.col("waa")).alias("waa"))
 
 
-@query("f9_waa_leijnse_observed")
+@query(
+    "f9_waa_leijnse_observed",
+    _LOSS_SQL + """,
+pts as (select link_id, n, x, frequency, case when x = 0 then 0 else pow(x / (a * length), 1 / b) end as r
+        from law cross join (select n, case when n = 0 then 0 else pow(10e0, -10e0 + 13e0 * n / 99e0) end as x
+                             from (select unnest(generate_series(0, 99)) as n)))""" + _film_sql("pts", "lut") + """,
+seg as (select link_id, x + waa as lo, waa as w0, lead(x + waa) over p as hi, lead(waa) over p as w1
+        from lut window p as (partition by link_id order by n))
+select q.link_id, q.t, round(w0 + (w1 - w0) * (trsl - lo) / (hi - lo), 6) as waa
+from cml q asof join seg on q.link_id = seg.link_id and q.trsl >= seg.lo""",
+)
 def f9_waa_leijnse_observed(spark, folder):
     law = _law(spark, folder).select("link_id", "length", "a", "b", "frequency")
     table = lookup_table(law, lambda r: waa_leijnse(r, F.col("frequency") * 1e9))
     df = antenna_from_observed(views.link_series(spark, folder), table, "trsl")
-    return df.select("link_id", "t", "waa")
+    return df.select("link_id", "t", rounded(F.col("waa")).alias("waa"))
 
 
 @query(

@@ -10,17 +10,29 @@ from rainweave.functions.activation import activation
 from rainweave.operators.wetlookup import antenna_from_observed, lookup_table
 
 
-def test_published_table_values():
-    # recommendation P.838-3, frequency, k_H, k_V, alpha_H, alpha_V
+def regressions(spark, frequencies):
+    df = spark.createDataFrame([(float(f),) for f in frequencies], "f double")
+    return {r.f: (r.k_H, r.k_V, r.alpha_H, r.alpha_V) for r in df.select("f", *[at.regression(n, F.col("f")).alias(n) for n in at.P838_3]).collect()}
+
+
+def test_regression_gives_the_printed_digits(spark):
+    # recommendation P.838-3 as printed, frequency, k_H, k_V, alpha_H, alpha_V
     published = {
         1: (0.0000259, 0.0000308, 0.9691, 0.8592), 10: (0.01217, 0.01129, 1.2571, 1.2156),
         20: (0.09164, 0.09611, 1.0568, 0.9847), 100: (1.3671, 1.3680, 0.6815, 0.6765),
     }
-    table = at.coefficient_table("ITU_2005")
+    got = regressions(spark, published)
     for f, values in published.items():
-        assert table[1:, table[0] == f].ravel() == pytest.approx(values)
+        assert got[f][:2] == pytest.approx(values[:2], rel=2e-3) and got[f][2:] == pytest.approx(values[2:], abs=6e-5)
+
+
+def test_a_table_may_be_given(spark):
+    rows = links(spark, [(i, f, p, 1.0) for i, (f, p) in enumerate((f, p) for f in (1.0, 1.7, 9.3, 37.25, 100.0) for p in "HV")])
+    given = at.with_power_law(rows, table=at.P838_2).collect()
+    assert given == at.with_power_law(rows, version="ITU_2003").collect()
+    assert (given[0].a, given[0].b, given[1].a, given[-1].b) == pytest.approx((3.87e-5, 0.912, 3.52e-5, 0.744))
     with pytest.raises(ValueError):
-        at.coefficient_table("ITU_1999")
+        at.with_power_law(rows, version="ITU_1999")
 
 
 def test_spline_reproduces_a_cubic():
@@ -39,9 +51,9 @@ def links(spark, rows):
 def test_power_law_at_knots_and_ends(spark):
     df = at.with_power_law(links(spark, [(1, 1.0, "H", 1.0), (2, 10.0, "vertical", 1.0), (3, 100.0, "h", 1.0)]))
     got = {r.link_id: (r.a, r.b) for r in df.collect()}
-    assert got[1] == pytest.approx((0.0000259, 0.9691))
-    assert got[2] == pytest.approx((0.01129, 1.2156))
-    assert got[3] == pytest.approx((1.3671, 0.6815))
+    assert got[1] == pytest.approx((0.0000259, 0.9691), rel=2e-3)
+    assert got[2] == pytest.approx((0.01129, 1.2156), rel=1e-3)
+    assert got[3] == pytest.approx((1.3671, 0.6815), rel=1e-4)
 
 
 @pytest.mark.parametrize("row", [(1, 0.5, "H", 1.0), (1, 101.0, "H", 1.0), (1, 20.0, "x", 1.0), (1, 20.0, "HV", 1.0)])
@@ -67,14 +79,21 @@ def transmission(layers, f_hz):
     return 2 / (m[0, 0] + m[0, 1] + m[1, 0] + m[1, 1])
 
 
+def permittivity(f_hz):
+    theta = 1 - 300 / 293
+    static, optical, corner = 77.66 - 103.3 * theta, 3.52 + 7.52 * theta, (20.2 + 146.4 * theta + 316 * theta**2) * 1e9
+    return optical + (static - 0.0671 * static) / (1 - 1j * f_hz / corner) + (0.0671 * static - optical) / (1 - 1j * f_hz / (39.8 * corner))
+
+
 @pytest.mark.parametrize("f_hz", [7e9, 23e9, 38e9])
-def test_water_film(f_hz):
-    rate = np.array([0.0, 1.0, 10.0, 50.0])
-    got = at.film_attenuation(rate, f_hz)
-    water, cover = np.sqrt(at.water_permittivity(f_hz, 293.0)), (complex(1.73, 0.014), 0.001)
+def test_water_film(spark, f_hz):
+    rates = [0.0, 0.1, 1.0, 10.0, 50.0, 300.0]
+    df = spark.createDataFrame([(r, f_hz) for r in [*rates, None]], "r double, f double")
+    got = [r.v for r in df.select(at.waa_leijnse(F.col("r"), F.col("f")).alias("v")).collect()]
+    water, cover = np.sqrt(permittivity(f_hz)), (complex(1.73, 0.014), 0.001)
     dry = transmission([cover], f_hz)
-    want = [-20 * np.log10(abs(transmission([cover, (water, 2.06e-5 * r**0.24)], f_hz) / dry)) for r in rate[1:]]
-    assert got[0] == 0 and np.allclose(got[1:], want)
+    want = [-20 * np.log10(abs(transmission([cover, (water, 2.06e-5 * r**0.24)], f_hz) / dry)) for r in rates[1:]]
+    assert got[0] == 0 and np.allclose(got[1:-1], want) and got[-1] is None
 
 
 def test_lookup(spark):
@@ -110,7 +129,6 @@ def test_activations(spark):
 
 
 @pytest.mark.parametrize("frequency, alpha_v", [(4.0, 1.2476), (37.0, 0.8621), (66.0, 0.7313), (1.0, 0.8592), (20.0, 0.9847)])
-def test_printed_exponents(frequency, alpha_v):
+def test_printed_exponents(spark, frequency, alpha_v):
     # fixed values: ITU-R P.838-3, exponents for vertical polarisation as printed
-    table = at.coefficient_table("ITU_2005")
-    assert table[4][list(table[0]).index(frequency)] == alpha_v
+    assert regressions(spark, [frequency])[frequency][3] == pytest.approx(alpha_v, abs=2e-4)
