@@ -3,9 +3,10 @@
 Nodes are runs of two words, edges runs of three between overlapping nodes. Only edges, and the places
 where a walk along a piece of text leaves the graph, are counted; every shorter count is a flow: a node
 occurs as often as its outgoing edges and its exits, a word as often as the nodes that begin with it and its
-own exits. Parts of the graph that cannot hold a candidate are contracted before anything is shuffled:
-a first pass sums local flows by hash, and a bit filter of bounded size holds what reaches the minimum.
-Colliding hashes only add to a sum, so the filter keeps too much at worst and the counts stay exact.
+own exits. Parts of the graph that cannot hold a candidate are contracted before words are shuffled:
+a first pass sums local flows of words and nodes by hash, a second one the edges between nodes that are left, and a
+bit filter of bounded size each holds what reaches the minimum. Colliding hashes only add to a sum, so the
+filters keep too much at worst and the counts stay exact.
 """
 
 from __future__ import annotations
@@ -26,10 +27,10 @@ MINIMUM = 10
 TOP = 2000
 INSIDE_PERCENT = 50  # a phrase goes when a longer candidate around it has this share of its occurrences
 SCALE = 1_000_000
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 FILTER_BITS = 29  # the filter has 64 MB at most; beyond some 30 million flows it keeps more, and stays exact
 BITMAP = 32768  # bits of one row of the bitmap functions
-RANK_SLICES = 64
+RANK_PARTS = (64, 16, 4)  # ranks are taken in ever fewer parts of a lang, so no task sorts all its phrases
 
 BREAK = np.zeros(256, dtype=bool)  # pieces end at [.,;:!?\x0A-\x0D]
 BREAK[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
@@ -87,19 +88,39 @@ def _spelled(words: Words, at: np.ndarray, valid: np.ndarray) -> pa.Array:
     return pc.if_else(pa.array(valid), text.cast(pa.string()), pa.scalar(None, pa.string()))
 
 
-def _local_edges(bits: int, filled: np.ndarray):
-    """Edges, exits of nodes and exits of words of a slice, each with its count."""
+def _known(keys: np.ndarray, held: tuple[int, np.ndarray]) -> np.ndarray:
+    bits, filled = held
+    place = keys >> np.uint64(64 - bits)
+    return (filled[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
+
+def _between_nodes(runs: _Runs, held: tuple[int, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Where a kept node begins, and where an edge between two of them does."""
+    node = np.concatenate([_known(runs.two, held) & runs.pair, [False]])
+    return node[:-1], node[:-1] & node[1:] & runs.triple
+
+
+def _local_weights(held: tuple[int, np.ndarray]):
+    """Counts of the edges between kept nodes in a slice, by hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, runs in _runs(batch):
+                keys, counts = np.unique(runs.three[_between_nodes(runs, held)[1]], return_counts=True)
+                yield pa.record_batch([pa.array(keys.view(np.int64)), pa.array(counts.astype(np.int64))], ["key", "flow"])
+
+    return run
 
-    def known(keys: np.ndarray) -> np.ndarray:
-        place = keys >> np.uint64(64 - bits)
-        return (filled[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
+def _local_edges(held: tuple[int, np.ndarray], heavy: tuple[int, np.ndarray]):
+    """Edges, exits of nodes and exits of words of a slice, each with its count."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for names, runs in _runs(batch):
-                node = np.concatenate([known(runs.two) & runs.pair, [False]])
-                edge = node[:-1] & node[1:] & runs.triple
-                level = np.where(edge, 3, np.where(node[:-1], 2, known(runs.one).astype(np.int64)))
+                node, edge = _between_nodes(runs, held)
+                edge &= _known(runs.three, heavy)
+                level = np.where(edge, 3, np.where(node, 2, _known(runs.one, held).astype(np.int64)))
                 key = np.choose(level, [runs.base, runs.one, runs.two, runs.three])
                 own = np.concatenate([runs.words.hashes, np.zeros(2, dtype=np.uint64)])
                 parts = [np.where(level > k, own[k:k + runs.count], 0) for k in range(3)] + [level.astype(np.uint64), runs.base]
@@ -128,9 +149,14 @@ def word_graph(docs: DataFrame, minimum: int = MINIMUM, text_column: str = "text
     node (a, b) (the piece ends, or goes on in a contracted part), ``b`` too where they leave at the word ``a``, and
     ``a`` too for words in contracted parts. Flows of ``minimum`` and more are whole (see ``flows``)."""
     texts = docs.select(F.col(lang_column).cast("string").alias("lang"), F.col(text_column).cast("string").alias("text"))
-    flows = texts.mapInArrow(_local_flows, "key long, flow long").groupBy("key").agg(F.sum("flow").alias("flow")).where(F.col("flow") >= minimum)
-    bits, filled = _filter(checkpointed(flows.select("key")))
-    local = texts.mapInArrow(_local_edges(bits, filled), "lang string, a string, b string, c string, n long")
+
+    def reaching(local) -> tuple[int, np.ndarray]:
+        summed = texts.mapInArrow(local, "key long, flow long").groupBy("key").agg(F.sum("flow").alias("flow"))
+        return _filter(checkpointed(summed.where(F.col("flow") >= minimum).select("key")))
+
+    held = reaching(_local_flows)
+    heavy = reaching(_local_weights(held))
+    local = texts.mapInArrow(_local_edges(held, heavy), "lang string, a string, b string, c string, n long")
     return checkpointed(local.groupBy("lang", "a", "b", "c").agg(F.sum("n").alias("n")))
 
 
@@ -220,7 +246,7 @@ def collocations(docs: DataFrame, minimum: int = MINIMUM, top: int = TOP, inside
         F.when(second, F.col("second_score")).otherwise(F.col("first_score")).alias("score"),
     )
     order = [F.col("score").desc(), F.col("a").desc(), F.col("phrase")]
-    part = F.pmod(F.xxhash64("phrase"), F.lit(RANK_SLICES))  # the first of all are among the first of each part
-    sliced = scored.withColumn("part", part).withColumn("rank", F.row_number().over(Window.partitionBy("lang", "part").orderBy(*order))).where(F.col("rank") <= top)
-    ranked = sliced.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("long")).where(F.col("rank") <= top)
-    return ranked.join(flows(graph).withColumnRenamed("f", "n"), "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+    for parts in (*RANK_PARTS, 1):  # the first of all are among the first of each part
+        line = Window.partitionBy("lang", F.pmod(F.xxhash64("phrase"), F.lit(parts))).orderBy(*order)
+        scored = scored.withColumn("rank", F.row_number().over(line).cast("long")).where(F.col("rank") <= top)
+    return scored.join(flows(graph).withColumnRenamed("f", "n"), "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
