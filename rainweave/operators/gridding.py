@@ -96,25 +96,40 @@ def nearest_value(targets: DataFrame, points: DataFrame, target_id: Sequence[str
     return targets.join(pairs, [*by, *target_id], "left").na.fill(0.0, [out])
 
 
+# half of the squares around one, so that every pair of squares meets once
+_AHEAD = ((0, 0), (1, -1), (1, 0), (1, 1), (0, 1))
+
+
 def empirical_variogram(points: DataFrame, value: str, lag: float, by: Sequence[str] = ("time_sgt",),
-                        point_id: str = "gid", x: str = "longitude", y: str = "latitude") -> DataFrame:
+                        point_id: str = "gid", x: str = "longitude", y: str = "latitude", max_lag: float | None = None) -> DataFrame:
     """Mean semivariance and pair count per distance bin of width ``lag``, pairs within a group.
 
     Points are packed in blocks of bounded size and blocks are paired; each pair of blocks is
-    reduced to a few sums at once, so single pairs are never rows.
+    reduced to a few sums at once, so single pairs are never rows. With ``max_lag`` only pairs nearer than that count:
+    points are keyed by squares of that side and only neighbouring squares meet, so the work grows with
+    the number of points and not with its square. Without it all pairs of a group are measured.
     """
+    if not lag > 0 or (max_lag is not None and not max_lag >= lag):
+        raise ValueError("lag must be above 0, and max_lag at least as much")
     by = list(by)
-    known = points.where(F.col(value).isNotNull())
-    counts = known.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) / BLOCK_POINTS).alias("_blocks"))
+    far = max_lag if max_lag is not None else float("inf")
+    square = [F.floor(F.col(c) / F.lit(float(max_lag))) if max_lag is not None else F.lit(0).cast("long") for c in (x, y)]
+    known = points.where(F.col(value).isNotNull() & F.col(x).isNotNull() & F.col(y).isNotNull()).withColumns({"_sx": square[0], "_sy": square[1]})
+    place = [*by, "_sx", "_sy"]
+    counts = known.groupBy(*place).agg(F.ceil(F.count(F.lit(1)) / BLOCK_POINTS).alias("_blocks"))
     packed = (
-        known.join(counts, by)
-        .groupBy(*by, F.pmod(F.xxhash64(point_id), F.col("_blocks")).alias("_block"))
+        known.join(counts, place)
+        .groupBy(*place, F.pmod(F.xxhash64(point_id), F.col("_blocks")).alias("_block"))
         .agg(F.collect_list(F.struct(*[F.col(c).cast("double").alias(n) for c, n in ((x, "x"), (y, "y"), (value, "z"))])).alias("_p"))
-        .select(*by, "_block", *[F.col(f"_p.{n}").alias(f"_{n}") for n in ("x", "y", "z")])
+        .select(*place, "_block", *[F.col(f"_p.{n}").alias(f"_{n}") for n in ("x", "y", "z")])
     )
-    other = packed.select(*by, *[F.col(c).alias(c + "2") for c in ("_block", "_x", "_y", "_z")])
-    block_pairs = packed.join(other, by).where(F.col("_block") <= F.col("_block2")).select(
-        (F.col("_block") == F.col("_block2")).alias("same"), "_x", "_y", "_z", "_x2", "_y2", "_z2"
+    steps = _AHEAD if max_lag is not None else _AHEAD[:1]
+    step = F.explode(F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in steps])).alias("_step")
+    other = packed.select(*by, "_sx", "_sy", step, *[F.col(c).alias(c + "2") for c in ("_block", "_x", "_y", "_z")])
+    other = other.withColumns({"_sx": F.col("_sx") - F.col("_step.dx"), "_sy": F.col("_sy") - F.col("_step.dy")})
+    here = (F.col("_step.dx") == 0) & (F.col("_step.dy") == 0)
+    block_pairs = packed.join(other, place).where(~here | (F.col("_block") <= F.col("_block2"))).select(
+        (here & (F.col("_block") == F.col("_block2"))).alias("same"), "_x", "_y", "_z", "_x2", "_y2", "_z2"
     )
 
     def reduce_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -123,15 +138,15 @@ def empirical_variogram(points: DataFrame, value: str, lag: float, by: Sequence[
                 x1, y1, z1, x2, y2, z2 = (np.asarray(v, float) for v in row[1:])
                 d = np.sqrt((x1[:, None] - x2[None, :]) ** 2 + (y1[:, None] - y2[None, :]) ** 2)
                 half = 0.5 * (z1[:, None] - z2[None, :]) ** 2
-                if row[0]:
-                    upper = np.triu_indices(len(x1), 1)
-                    d, half = d[upper], half[upper]
-                bins = np.floor(d.ravel() / lag).astype(np.int64)
+                near = np.triu(np.ones(d.shape, dtype=bool), 1) if row[0] else np.ones(d.shape, dtype=bool)
+                near &= d < far
+                d, half = d[near], half[near]
+                bins = np.floor(d / lag).astype(np.int64)
                 if len(bins):
                     number, where = np.unique(bins, return_inverse=True)
                     yield pd.DataFrame({
                         "lag_bin": number, "n": np.bincount(where).astype(np.int64),
-                        "d": np.bincount(where, d.ravel()), "g": np.bincount(where, half.ravel()),
+                        "d": np.bincount(where, d), "g": np.bincount(where, half),
                     })
 
     sums = block_pairs.mapInPandas(reduce_pairs, "lag_bin long, n long, d double, g double")

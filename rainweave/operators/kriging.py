@@ -6,10 +6,11 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rainweave.operators.spatial import nearest_neighbours
+from rainweave.session import checkpointed
 
 # One solve needs all gauges of its time in memory: n**2 doubles, 128 MB at this bound.
 MAX_GAUGES = 4000
@@ -31,25 +32,65 @@ def semivariance(d: np.ndarray, model: str, sill: float, span: float, nugget: fl
     raise ValueError("model must be linear, exponential, gaussian or spherical")
 
 
-def fit_variogram(bins: pd.DataFrame, model: str = "exponential") -> dict:
-    """Parameters by a search over ranges and nuggets, weighted by pair counts.
+MODELS = ("linear", "exponential", "gaussian", "spherical")
+SPANS, NUGGETS = 40, 11
 
-    ``bins`` is the collected variogram, a few rows. For given shape the sill is a weighted mean.
-    """
-    d, g = bins["mean_distance"].to_numpy(float), bins["semivariance"].to_numpy(float)
-    w = bins["pairs"].to_numpy(float)
-    best = None
-    for span in (np.linspace(0.05, 2.0, 40) * d.max() if model != "linear" else [1.0]):
-        shape = semivariance(d, model, 1.0, span, 0.0)
-        for nugget in np.linspace(0.0, max(g.min(), 0.0), 11):
-            sill = max(np.sum(w * shape * (g - nugget)) / max(np.sum(w * shape * shape), 1e-300), 0.0)
-            loss = float(np.sum(w * (nugget + sill * shape - g) ** 2))
-            if best is None or loss < best[0]:
-                best = (loss, sill, span, nugget)
-    _, sill, span, nugget = best
+
+def _shape(model: str, d: Column, span: Column) -> Column:
+    """A model without nugget and with sill 1, or slope 1."""
     if model == "linear":
-        return {"model": model, "sill": 0.0, "span": float(sill), "nugget": float(nugget)}
-    return {"model": model, "sill": float(sill), "span": float(span), "nugget": float(nugget)}
+        return d
+    if model == "exponential":
+        return 1 - F.exp(-3 * d / span)
+    if model == "gaussian":
+        return 1 - F.exp(-F.pow(7 * d / (4 * span), F.lit(2.0)))
+    r = F.least(d / span, F.lit(1.0))
+    return 1.5 * r - 0.5 * r * r * r
+
+
+def fit_variograms(bins: DataFrame, models: Sequence[str] = MODELS) -> DataFrame:
+    """One row per model: ``model``, ``sill``, ``span``, ``nugget`` and ``loss``, the weighted mean square of what is left.
+
+    ``bins`` has ``pairs``, ``mean_distance``, ``semivariance``; bins weigh by their pairs. All of 40 spans up to twice the largest
+    distance and 11 nuggets up to the smallest semivariance are tried, and for each the best sill that is not
+    negative is known in closed form, so that a few sums per span are enough. Equal losses (to six decimals): the smaller span,
+    then the smaller nugget. For ``linear`` the span is the slope and the sill 0. No bins, no rows.
+    """
+    unknown = set(models) - set(MODELS)
+    if unknown:
+        raise ValueError(f"unknown models {sorted(unknown)}")
+    bins = checkpointed(bins)  # a few rows that may stand for much work
+    limits = bins.agg(F.max("mean_distance").alias("far"), F.greatest(F.min("semivariance"), F.lit(0.0)).alias("low"), F.sum("pairs").alias("all"))
+    far, low, pairs = (limits.select(c).scalar() for c in ("far", "low", "all"))
+    tried = bins.select(
+        (F.col("pairs") / pairs).alias("w"), F.col("mean_distance").alias("d"), F.col("semivariance").alias("g"),
+        F.explode(F.array(*[F.lit(m) for m in models])).alias("model"), F.sequence(F.lit(1), F.lit(SPANS)).alias("steps"))
+    tried = tried.withColumn("step", F.explode(F.when(F.col("model") == "linear", F.array(F.lit(1))).otherwise(F.col("steps"))))
+    span = F.when(F.col("model") == "linear", F.lit(1.0)).otherwise(F.col("step") * F.lit(2.0 / SPANS) * far)
+    shape = F.lit(None).cast("double")
+    for m in models:
+        shape = F.when(F.col("model") == m, _shape(m, F.col("d"), F.col("span"))).otherwise(shape)
+    shaped = tried.withColumn("span", span).withColumn("s", shape)
+    w, s, g = F.col("w"), F.col("s"), F.col("g")
+    sums = shaped.groupBy("model", "step").agg(
+        F.max("span").alias("span"), F.sum(w * s * s).alias("ss"), F.sum(w * s * g).alias("sg"), F.sum(w * s).alias("s"), F.sum(w * g * g).alias("gg"), F.sum(w * g).alias("g"))
+    noised = sums.withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(NUGGETS - 1)))).withColumn("nugget", F.col("_k") * low / F.lit(float(NUGGETS - 1)))
+    n, sill = F.col("nugget"), F.col("sill")
+    rated = noised.withColumn("sill", F.greatest(F.try_divide(F.col("sg") - n * F.col("s"), F.col("ss")), F.lit(0.0)))
+    loss = n * n + sill * sill * F.col("ss") + F.col("gg") + 2 * n * sill * F.col("s") - 2 * n * F.col("g") - 2 * sill * F.col("sg")
+    best = rated.withColumn("loss", loss).groupBy("model").agg(F.min(F.struct(F.round("loss", 6).alias("rounded"), "span", "nugget", "sill", "loss")).alias("b"))
+    line = F.col("model") == "linear"
+    return best.select(
+        "model", F.when(line, 0.0).otherwise(F.col("b.sill")).alias("sill"), F.when(line, F.col("b.sill")).otherwise(F.col("b.span")).alias("span"),
+        F.col("b.nugget").alias("nugget"), F.col("b.loss").alias("loss"))
+
+
+def fit_variogram(bins: DataFrame, model: str = "exponential") -> dict:
+    """The fitted row of one model, as the kriging functions take it."""
+    row = fit_variograms(bins, [model]).first()
+    if row is None:
+        raise ValueError("no pairs to fit a variogram to")
+    return {k: row[k] for k in ("model", "sill", "span", "nugget")}
 
 
 def krige(points: DataFrame, targets: DataFrame, target_id: str, value: str, variogram: dict, time: str = "time_sgt",
@@ -112,6 +153,17 @@ def krige(points: DataFrame, targets: DataFrame, target_id: str, value: str, var
     return gauges.cogroup(asked.groupBy(time, "_block")).applyInPandas(solve, schema)
 
 
+STACK_VALUES = 2_000_000  # numbers in the matrices that are solved at once, 16 MB
+
+
+def _stacks(batch: pd.DataFrame, sizes: pd.Series, extra: int):
+    """(size, rows) of systems of one size, cut so that their matrices stay small."""
+    for k, rows in batch.groupby(sizes):
+        step = max(1, STACK_VALUES // (k + extra) ** 2)
+        for at in range(0, len(rows), step):
+            yield k, rows.iloc[at:at + step]
+
+
 def krige_nearest(points: DataFrame, targets: DataFrame, target_id: str, value: str, variogram: dict, n_closest: int, point_id: str = "gid",
                   time: str = "time_sgt", drift: str | Sequence[str] | None = None, x: str = "longitude", y: str = "latitude") -> DataFrame:
     """``krige`` with the ``n_closest`` gauges of each target, so any number of gauges at one time will do.
@@ -133,11 +185,13 @@ def krige_nearest(points: DataFrame, targets: DataFrame, target_id: str, value:
         *[F.col(f"_near.{c}").cast("array<double>").alias(c) for c in carried],
     )
     types = dict(targets.dtypes)
+    # semivariances near 1 beside the trend: the same weights from a better conditioned system
+    unit = variogram["nugget"] + variogram["span" if variogram["model"] == "linear" else "sill"] or 1.0
 
     def solve(batches):
         for batch in batches:
             parts = [batch.iloc[:0][[time, target_id]].assign(z=0.0, variance=0.0)]
-            for k, rows in batch.groupby(batch["_gx"].map(len)):
+            for k, rows in _stacks(batch, batch["_gx"].map(len), 1 + len(names) + (2 if drift == "linear" else 0)):
                 column = {c: np.array(rows[c].tolist(), dtype=float).reshape(len(rows), k) for c in carried}
                 own = np.array(rows["_own"].tolist(), dtype=float).reshape(len(rows), 2 + len(names))
                 gx, gy = column["_gx"], column["_gy"]
@@ -153,30 +207,35 @@ def krige_nearest(points: DataFrame, targets: DataFrame, target_id: str, value:
                 m = trend_g.shape[1]
                 between = np.hypot(gx[:, :, None] - gx[:, None, :], gy[:, :, None] - gy[:, None, :])
                 apart = np.hypot(gx - own[:, :1], gy - own[:, 1:2])
-                gamma_g, gamma_t = (np.where(d <= SAME_PLACE, 0.0, semivariance(d, **variogram)) for d in (between, apart))
+                gamma_g, gamma_t = (np.where(d <= SAME_PLACE, 0.0, semivariance(d, **variogram) / unit) for d in (between, apart))
                 left = np.zeros((len(rows), k + m, k + m))
                 left[:, :k, :k], left[:, :k, k:], left[:, k:, :k] = gamma_g, trend_g.transpose(0, 2, 1), trend_g
                 right = np.concatenate([gamma_t, trend_t], axis=1)
                 weights = (np.linalg.pinv(left) @ right[:, :, None])[:, :, 0]
                 parts.append(rows[[time, target_id]].assign(
-                    z=np.sum(weights[:, :k] * column["_gz"], axis=1), variance=np.sum(weights * right, axis=1)))
+                    z=np.sum(weights[:, :k] * column["_gz"], axis=1), variance=unit * np.sum(weights * right, axis=1)))
             yield pd.concat(parts, ignore_index=True)
 
     return asked.mapInPandas(solve, f"`{time}` {types[time]}, `{target_id}` {types[target_id]}, z double, variance double")
 
 
-def interpolate(points: DataFrame, targets: DataFrame, target_id: str, value: str, method: str = "idw", **options) -> DataFrame:
-    """One entry for all estimators: idw, nearest, ordinary, universal, external_drift."""
+def interpolate(points: DataFrame, targets: DataFrame, target_id: str, value: str, method: str = "idw", neighbours: int | None = None, **options) -> DataFrame:
+    """One entry for all estimators: idw, nearest, ordinary, universal, external_drift.
+
+    With ``neighbours`` the kriging methods solve a small system per target from that many gauges (``krige_nearest``), without a
+    bound on the gauges of a time; without it one dense system per time.
+    """
     from rainweave.operators.gridding import inverse_distance, nearest_value
 
     if method == "idw":
         return inverse_distance(targets, points, [target_id], options.pop("point_id"), value, **options)
     if method == "nearest":
         return nearest_value(targets, points, [target_id], options.pop("point_id"), value, **options)
-    if method == "ordinary":
-        return krige(points, targets, target_id, value, **options)
+    if method not in ("ordinary", "universal", "external_drift"):
+        raise ValueError("method must be idw, nearest, ordinary, universal or external_drift")
     if method == "universal":
-        return krige(points, targets, target_id, value, drift="linear", **options)
-    if method == "external_drift":
-        return krige(points, targets, target_id, value, **options)
-    raise ValueError("method must be idw, nearest, ordinary, universal or external_drift")
+        options["drift"] = "linear"
+    variogram = options.pop("variogram")
+    if neighbours is not None:
+        return krige_nearest(points, targets, target_id, value, variogram, neighbours, **options)
+    return krige(points, targets, target_id, value, variogram, **options)

@@ -230,26 +230,49 @@ def _tree_depth(placed, sites: DataFrame, by: Sequence[str], n_sites: int) -> in
     return MAX_DEPTH
 
 
-def covered_cells(cells: DataFrame, links: DataFrame, reach: float, cell_id: Sequence[str], x: str = "x", y: str = "y") -> DataFrame:
-    """Cells with the flag ``covered``: within ``reach`` degrees of any link path.
+def _square_side(reach: float) -> float:
+    if reach < 0:
+        raise ValueError("reach must not be negative")
+    return 4.0 * reach if reach > 0 else 0.01
+
+
+def link_squares(links: DataFrame, reach: float) -> DataFrame:
+    """The squares (``_i``, ``_j``) that lie within ``reach`` of each link path, with the ends of the path.
 
-    Links need site_a_/site_b_ coordinates. Links are keyed by the squares their widened box
-    touches, so a cell meets only the links near it; hits are reduced per cell at once.
+    Per column of squares the piece of the path near the column gives the rows it passes, so the squares of a
+    link follow its length and not the area of its bounding box.
     """
-    square = 4 * reach
+    side = _square_side(reach)
+    wide = reach * (1 + 1e-9) + 1e-12  # a little more, for rounding; distances are compared afterwards
 
     def number(value: Column) -> Column:
-        return F.floor(value / F.lit(square))
+        return F.floor(value / F.lit(side))
 
     ax, ay = F.col("site_a_longitude"), F.col("site_a_latitude")
     bx, by_ = F.col("site_b_longitude"), F.col("site_b_latitude")
-    spread = (
-        links.select(ax, ay, bx, by_)
-        .distinct()
-        .withColumn("_i", F.explode(F.sequence(number(F.least(ax, bx) - reach), number(F.greatest(ax, bx) + reach))))
-        .withColumn("_j", F.explode(F.sequence(number(F.least(ay, by_) - reach), number(F.greatest(ay, by_) + reach))))
-    )
-    placed = cells.withColumns({"_i": number(F.col(x)), "_j": number(F.col(y))})
-    near = segment_distance(F.col(x), F.col(y), ax, ay, bx, by_) <= reach
-    hits = placed.join(spread, ["_i", "_j"]).where(near).select(*cell_id).distinct().withColumn("covered", F.lit(True))
+    left, right = F.least(ax, bx), F.greatest(ax, bx)
+    columns = links.select(ax, ay, bx, by_).distinct().withColumn("_i", F.explode(F.sequence(number(left - wide), number(right + wide))))
+    begin = F.least(F.greatest(left, F.col("_i") * side - wide), right)
+    end = F.greatest(F.least(right, (F.col("_i") + 1) * side + wide), left)
+
+    def height(x: Column) -> Column:
+        return ay + (x - ax) * F.try_divide(by_ - ay, bx - ax)
+
+    # an upright path passes all its rows in one column
+    low = F.coalesce(F.least(height(begin), height(end)), F.least(ay, by_))
+    high = F.coalesce(F.greatest(height(begin), height(end)), F.greatest(ay, by_))
+    return columns.withColumn("_j", F.explode(F.sequence(number(low - wide), number(high + wide))))
+
+
+def covered_cells(cells: DataFrame, links: DataFrame, reach: float, cell_id: Sequence[str], x: str = "x", y: str = "y") -> DataFrame:
+    """Cells with the flag ``covered``: within ``reach`` degrees of any link path.
+
+    Links need site_a_/site_b_ coordinates. Links are keyed by the squares along their path, so a cell
+    meets only the links near it; hits are reduced per cell at once.
+    """
+    side = _square_side(reach)
+    placed = cells.withColumns({"_i": F.floor(F.col(x) / F.lit(side)), "_j": F.floor(F.col(y) / F.lit(side))})
+    ends = [F.col(f"site_{end}_{axis}") for end in "ab" for axis in ("longitude", "latitude")]
+    near = segment_distance(F.col(x), F.col(y), *ends) <= reach
+    hits = placed.join(link_squares(links, reach), ["_i", "_j"]).where(near).select(*cell_id).distinct().withColumn("covered", F.lit(True))
     return cells.join(hits, list(cell_id), "left").withColumn("covered", F.coalesce("covered", F.lit(False)))

@@ -8,7 +8,7 @@ from rainweave.functions.activation import activation
 from rainweave.operators import graph, learner, metrics, reshape, temporal
 from rainweave.plans.common import rain, rounded
 from rainweave.plans.registry import query
-from rainweave.plans.sampling import ROLE_SQL, station_folds, station_roles
+from rainweave.plans.sampling import FOLD_SQL, ROLE_SQL, station_folds, station_roles
 from rainweave.plans.spatial import CELL_SQL, KNN_SQL, radar_grid, station_knn
 from rainweave.plans.stations import CLASS_SQL, station_classes
 from rainweave.sources import views
@@ -258,17 +258,49 @@ def g11_visible_inputs(spark, folder):
     return df.select("time_sgt", "node", "role", *DIMS)
 
 
-@query("g12_baseline_learner")
-def g12_baseline_learner(spark, folder):
-    """Linear regression on masked examples, scored at validation stations per fold; fitted, so no SQL twin."""
+_FOLD_SQL = """,
+reach as (select dst as example, src as node, dist from knn union all select gid, gid, 0e0 from stations),
+x as (select a.fold, f.time_sgt, r.example, r.node <> r.example as other, r.dist, own.rain as y, a.ml_role as role,
+             case when b.ml_role = 'train' and r.node <> r.example then f.rain else 0 end as rain
+      from reach r join folds a on a.gid = r.example and a.ml_role in ('train', 'validation')
+      join folds b on b.gid = r.node and b.fold = a.fold join feat own on own.node = r.example
+      join feat f on f.node = r.node and f.time_sgt = own.time_sgt),
+t as (select fold, time_sgt, example, any_value(role) as role, max(y) as y, count(*) filter (other)::double as x0, coalesce(avg(rain) filter (other), 0) as x1,
+             coalesce(sum(rain / dist) filter (other and dist > 0) / sum(1 / dist) filter (other and dist > 0), 0) as x2 from x group by all),
+m as (select fold, avg(y) as my, avg(x0) as m0, avg(x1) as m1, avg(x2) as m2, var_pop(x0) as v0, var_pop(x1) as v1, var_pop(x2) as v2,
+             covar_pop(x0, x1) as c01, covar_pop(x0, x2) as c02, covar_pop(x1, x2) as c12,
+             covar_pop(x0, y) as r0, covar_pop(x1, y) as r1, covar_pop(x2, y) as r2 from t where role = 'train' group by fold),
+n as (select *, case when v0 > 0 then 1.1e0 * v0 else 1 end as a, case when v1 > 0 then 1.1e0 * v1 else 1 end as e, case when v2 > 0 then 1.1e0 * v2 else 1 end as i from m),
+k as (select *, a * (e * i - c12 * c12) - c01 * (c01 * i - c12 * c02) + c02 * (c01 * c12 - e * c02) as det from n),
+s as (select fold, my, m0, m1, m2,
+             (r0 * (e * i - c12 * c12) - c01 * (r1 * i - c12 * r2) + c02 * (r1 * c12 - e * r2)) / det as b0,
+             (a * (r1 * i - c12 * r2) - r0 * (c01 * i - c12 * c02) + c02 * (c01 * r2 - r1 * c02)) / det as b1,
+             (a * (e * r2 - r1 * c12) - c01 * (c01 * r2 - r1 * c02) + r0 * (c01 * c12 - e * c02)) / det as b2 from k),
+p as (select t.fold, time_sgt, y, my + b0 * (x0 - m0) + b1 * (x1 - m1) + b2 * (x2 - m2) as prediction from t join s using (fold) where role = 'validation')"""
+
+
+def _learned(spark, folder):
     folds = station_folds(spark, folder).select("fold", F.col("gid").alias("node"), F.col("ml_role").alias("role"))
     examples = graph.masked_examples(
         daily_features(spark, folder), station_knn(spark, folder), folds, DIMS, centres=("train", "validation"), by=["fold"]
     )
     table = learner.example_table(examples, keys=["fold", "time_sgt", "example"])
-    roles = folds.withColumnRenamed("node", "example")
-    predicted = learner.fit_folds(table.join(roles, ["fold", "example"]))
-    return metrics.average_rmse(predicted, ["time_sgt"], "y", "prediction", ["fold"])
+    return learner.fit_folds(table.join(folds.withColumnRenamed("node", "example"), ["fold", "example"]))
+
+
+@query("g12_baseline_learner")
+def g12_baseline_learner(spark, folder):
+    """Linear regression on masked examples, scored at validation stations per fold."""
+    return metrics.average_rmse(_learned(spark, folder), ["time_sgt"], "y", "prediction", ["fold"])
+
+
+@query("g12_fold_errors", views.with_views("obs", "stations") + KNN_SQL + FOLD_SQL + _FEATURE_SQL + _FOLD_SQL + """
+select fold, count(*) as examples, round(avg((y - prediction) * (y - prediction)), 6) as mse, round(avg(prediction - y), 6) as bias from p group by fold""")
+def g12_fold_errors(spark, folder):
+    """The fits of all folds in one plan: mean square error and bias at the validation stations of each."""
+    error = F.col("prediction") - F.col("y")
+    return _learned(spark, folder).groupBy("fold").agg(
+        F.count(F.lit(1)).alias("examples"), rounded(F.avg(error * error)).alias("mse"), rounded(F.avg(error)).alias("bias"))
 
 
 @query("f12_activations", views.with_views("obs") + """,

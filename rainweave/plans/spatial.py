@@ -248,6 +248,52 @@ def i7_variogram_bins(spark, folder):
     )
 
 
+MAX_LAG = 0.2
+_SHAPE_SQL = """case model when 'linear' then d when 'exponential' then 1 - exp(-3 * d / span) when 'gaussian' then 1 - exp(-pow(7 * d / (4 * span), 2))
+                 else 1.5e0 * least(d / span, 1) - 0.5e0 * pow(least(d / span, 1), 3) end"""
+
+
+def near_variogram(spark, folder, points=None):
+    bins = gridding.empirical_variogram(gauge_rain(spark, folder, 1440) if points is None else points, "z", 0.02, max_lag=MAX_LAG)
+    return bins.select("lag_bin", "pairs", rounded(F.col("mean_distance")).alias("mean_distance"), rounded(F.col("semivariance"), 4).alias("semivariance"))
+
+
+_NEAR_SQL = views.with_views("obs", "stations") + _gauge_sql("1 day") + f""",
+v as (select cast(floor({_D} / 0.02e0) as bigint) as lag_bin, {_D} as d, 0.5e0 * (a.z - b.z) * (a.z - b.z) as g
+      from p a join p b on a.time_sgt = b.time_sgt and a.gid < b.gid where {_D} < {MAX_LAG}e0),
+bins as materialized (select lag_bin, count(*) as pairs, round(avg(d), 6) as mean_distance, round(avg(g), 4) as semivariance from v group by lag_bin)"""
+
+
+@query("i7_near_variogram_bins", _NEAR_SQL + "select * from bins")
+def i7_near_variogram_bins(spark, folder):
+    """Pairs up to a largest distance, through squares."""
+    return near_variogram(spark, folder)
+
+
+@query("i7_variogram_fit", _NEAR_SQL + f""",
+u as (select pairs / sum(pairs) over ()::double as w, mean_distance as d, semivariance as g, max(mean_distance) over () as far, greatest(min(semivariance) over (), 0) as low from bins),
+trial as (select * from (select unnest(['linear', 'exponential', 'gaussian', 'spherical']) as model),
+          (select unnest(range(1, 41)) as step), (select unnest(range(0, 11)) as k) where model <> 'linear' or step = 1),
+shaped as (select model, step, k, w, d, g, case when model = 'linear' then 1 else step * 0.05e0 * far end as span, k * low / 10e0 as nugget from u, trial),
+valued as (select *, {_SHAPE_SQL} as s from shaped),
+silled as (select model, step, k, any_value(span) as span, any_value(nugget) as nugget,
+                  greatest(sum(w * s * (g - nugget)) / sum(w * s * s), 0) as sill from valued group by all),
+lost as (select model, step, k, span, nugget, sill, sum(w * pow(nugget + sill * s - g, 2)) as loss
+         from valued join silled using (model, step, k, span, nugget) group by all)
+select model, round(case when model = 'linear' then 0 else sill end, 4) as sill, round(case when model = 'linear' then sill else span end, 6) as span,
+       round(nugget, 4) as nugget, round(loss, 4) as loss
+from lost qualify row_number() over (partition by model order by round(loss, 6), span, nugget) = 1""")
+def i7_variogram_fit(spark, folder):
+    """All four models fitted to the near bins; the twin evaluates the loss bin by bin."""
+    fitted = kriging.fit_variograms(near_variogram(spark, folder))
+    return fitted.select("model", *[rounded(F.col(c), d).alias(c) for c, d in (("sill", 4), ("span", 6), ("nugget", 4), ("loss", 4))])
+
+
+def fitted_variogram(spark, folder, points=None):
+    """Parameters for the kriging queries: the exponential model fitted to near pairs of gauges."""
+    return kriging.fit_variogram(near_variogram(spark, folder, points), "exponential")
+
+
 # scoring: train stations give points, test stations are the targets
 def _train_test(spark, folder, minutes):
     points = gauge_rain(spark, folder, minutes)
@@ -289,14 +335,11 @@ def i9_idw_benchmark(spark, folder):
     )
 
 
-_VARIOGRAM = {"model": "exponential", "sill": 40000.0, "span": 0.3, "nugget": 2000.0}
-
-
 @query("i4_ordinary_kriging")
 def i4_ordinary_kriging(spark, folder):
     """Daily ordinary kriging at the test stations; a dense solve per day, so no SQL twin."""
     train, test = _train_test(spark, folder, 1440)
-    return kriging.krige(train, test, "target", "z", _VARIOGRAM)
+    return kriging.krige(train, test, "target", "z", fitted_variogram(spark, folder, train))
 
 
 @query(
@@ -308,7 +351,7 @@ def i4_nearest_kriging_at_gauges(spark, folder):
     """Kriging from the eight nearest gauges, asked for at the gauges: it gives back what they measured."""
     points = gauge_rain(spark, folder, 1440)
     targets = points.withColumn("target", F.col("gid")).drop("gid", "z")
-    found = kriging.krige_nearest(points, targets, "target", "z", _VARIOGRAM, 8)
+    found = kriging.krige_nearest(points, targets, "target", "z", fitted_variogram(spark, folder, points), 8)
     return found.select("time_sgt", "target", rounded(F.col("z"), 3).alias("z"))
 
 
@@ -316,7 +359,7 @@ def i4_nearest_kriging_at_gauges(spark, folder):
 def i4_nearest_kriging_grid(spark, folder):
     """Daily rain on the radar grid, kriged from the eight nearest gauges of that day; small solves, so no SQL twin."""
     points = gauge_rain(spark, folder, 1440)
-    return kriging.krige_nearest(points, _grid_times(spark, folder, points), "cell_id", "z", _VARIOGRAM, 8)
+    return kriging.krige_nearest(points, _grid_times(spark, folder, points), "cell_id", "z", fitted_variogram(spark, folder, points), 8)
 
 
 def _with_drift(spark, folder, df):
@@ -331,7 +374,7 @@ def _with_drift(spark, folder, df):
 def i5_nearest_universal_grid(spark, folder):
     """``i4_nearest_kriging_grid`` with a linear trend; any number of gauges."""
     points = gauge_rain(spark, folder, 1440)
-    return kriging.krige_nearest(points, _grid_times(spark, folder, points), "cell_id", "z", _VARIOGRAM, 8, drift="linear")
+    return kriging.krige_nearest(points, _grid_times(spark, folder, points), "cell_id", "z", fitted_variogram(spark, folder, points), 8, drift="linear")
 
 
 @query("i6_nearest_external_drift_grid")
@@ -339,34 +382,34 @@ def i6_nearest_external_drift_grid(spark, folder):
     """``i4_nearest_kriging_grid`` with the day's mean radar value of the cell as drift; days without frames give no rows."""
     points = gauge_rain(spark, folder, 1440)
     gauges, cells = (_with_drift(spark, folder, df) for df in (points, _grid_times(spark, folder, points)))
-    return kriging.krige_nearest(gauges, cells, "cell_id", "z", _VARIOGRAM, 8, drift="radar")
+    return kriging.krige_nearest(gauges, cells, "cell_id", "z", fitted_variogram(spark, folder, points), 8, drift="radar")
 
 
 @query("i9_nearest_kriging_benchmark")
 def i9_nearest_kriging_benchmark(spark, folder):
     """``i9_kriging_benchmark`` from the eight nearest training gauges of each target; any number of gauges."""
     train, test = _train_test(spark, folder, 1440)
-    return _kriging_scores(spark, folder, test, kriging.krige_nearest(train, test, "target", "z", _VARIOGRAM, 8))
+    return _kriging_scores(spark, folder, test, kriging.krige_nearest(train, test, "target", "z", fitted_variogram(spark, folder, train), 8))
 
 
 @query("i5_universal_kriging")
 def i5_universal_kriging(spark, folder):
     train, test = _train_test(spark, folder, 1440)
-    return kriging.krige(train, test, "target", "z", _VARIOGRAM, drift="linear")
+    return kriging.krige(train, test, "target", "z", fitted_variogram(spark, folder, train), drift="linear")
 
 
 @query("i6_external_drift_kriging")
 def i6_external_drift_kriging(spark, folder):
     """Mean radar value of the cell on the same day as external drift at gauges and targets; without a cell, no estimate."""
     train, test = _train_test(spark, folder, 1440)
-    return kriging.krige(_with_drift(spark, folder, train), _with_drift(spark, folder, test), "target", "z", _VARIOGRAM, drift="radar")
+    return kriging.krige(_with_drift(spark, folder, train), _with_drift(spark, folder, test), "target", "z", fitted_variogram(spark, folder, train), drift="radar")
 
 
 @query("i9_kriging_benchmark")
 def i9_kriging_benchmark(spark, folder):
     """Kriging scored at test stations; times without an estimate count as 0 in the first mean."""
     train, test = _train_test(spark, folder, 1440)
-    return _kriging_scores(spark, folder, test, kriging.krige(train, test, "target", "z", _VARIOGRAM))
+    return _kriging_scores(spark, folder, test, kriging.krige(train, test, "target", "z", fitted_variogram(spark, folder, train)))
 
 
 def _kriging_scores(spark, folder, test, estimates):

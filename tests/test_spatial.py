@@ -135,7 +135,8 @@ def test_inverse_distance_needs_two(spark, gauges):
 
 def test_variogram(spark, gauges):
     points = gauges[gauges["z"].notna()]
-    got = gridding.empirical_variogram(spark.createDataFrame(points), "z", 0.05).toPandas().set_index("lag_bin").sort_index()
+    bins = gridding.empirical_variogram(spark.createDataFrame(points), "z", 0.05)
+    got = bins.toPandas().set_index("lag_bin").sort_index()
     want = {}
     for _, part in points.groupby("time_sgt"):
         d, z = distances(part, part), part["z"].to_numpy()
@@ -145,8 +146,43 @@ def test_variogram(spark, gauges):
     assert got.index.tolist() == sorted(want)
     assert got["pairs"].tolist() == [len(want[b]) for b in sorted(want)]
     assert np.allclose(got["semivariance"], [np.mean(want[b]) for b in sorted(want)])
-    fitted = kriging.fit_variogram(got.reset_index(), "spherical")
-    assert fitted["sill"] >= 0 and fitted["span"] > 0 and fitted["nugget"] >= 0
+    near = gridding.empirical_variogram(spark.createDataFrame(points), "z", 0.05, max_lag=0.15).toPandas().set_index("lag_bin").sort_index()
+    for b in range(3):  # squares see the same pairs
+        assert near["pairs"][b] == len(want[b]) and near["semivariance"][b] == pytest.approx(np.mean(want[b]))
+    assert list(near.index) == [0, 1, 2]
+    with pytest.raises(ValueError):
+        gridding.empirical_variogram(bins, "z", 0.5, max_lag=0.1)
+
+
+@pytest.mark.parametrize("model", kriging.MODELS)
+def test_fit_finds_the_model_it_was_made_from(spark, model):
+    d = np.arange(1, 41) * 0.025
+    made = kriging.semivariance(d, model, 7.0, 0.5 if model != "linear" else 3.0, 0.0)
+    rows = [(int(k), int(5 + k % 7), float(x), float(g)) for k, (x, g) in enumerate(zip(d, made))]
+    bins = spark.createDataFrame(rows, "lag_bin long, pairs long, mean_distance double, semivariance double")
+    fitted = kriging.fit_variogram(bins, model)
+    want = {"sill": 0.0 if model == "linear" else 7.0, "span": 3.0 if model == "linear" else 0.5, "nugget": 0.0}
+    assert {k: fitted[k] for k in want} == pytest.approx(want, abs=1e-6) and fitted["model"] == model
+    # the loss of every trial, by numpy
+    row = kriging.fit_variograms(bins.withColumn("semivariance", F.col("semivariance") + F.col("lag_bin") % 3), [model]).first()
+    noisy, w = made + np.arange(40) % 3, np.array([r[1] for r in rows], float) / sum(r[1] for r in rows)
+    best = min(
+        (np.sum(w * (nugget + sill * shape - noisy) ** 2) for span in ([1.0] if model == "linear" else np.arange(1, 41) * 0.05 * d.max()) for nugget in np.linspace(0, noisy.min(), 11)
+         for shape in [kriging.semivariance(d, model, 1.0, span, 0.0)] for sill in [max(0.0, np.sum(w * shape * (noisy - nugget)) / np.sum(w * shape * shape))]))
+    assert row.loss == pytest.approx(best)
+    assert kriging.fit_variograms(bins.limit(0)).count() == 0
+    with pytest.raises(ValueError):
+        kriging.fit_variogram(bins.limit(0))
+
+
+def test_interpolate_reaches_small_systems(spark):
+    rng = np.random.default_rng(1)
+    rows = [("a", i, float(rng.random()), float(rng.random()), float(rng.random())) for i in range(30)]
+    p = spark.createDataFrame(rows, "time_sgt string, gid long, longitude double, latitude double, z double")
+    t = spark.createDataFrame([("a", 1, 0.4, 0.6)], "time_sgt string, cell long, longitude double, latitude double")
+    whole = kriging.interpolate(p, t, "cell", "z", "ordinary", variogram=SHAPE).first().z
+    assert kriging.interpolate(p, t, "cell", "z", "ordinary", neighbours=30, variogram=SHAPE).first().z == pytest.approx(whole)
+    assert kriging.interpolate(p, t, "cell", "z", "ordinary", neighbours=3, variogram=SHAPE).first().z != pytest.approx(whole, abs=1e-9)
 
 
 SHAPE = {"model": "exponential", "sill": 8.0, "span": 0.3, "nugget": 0.0}
@@ -233,7 +269,7 @@ def test_grid_kriging_with_a_trend_equals_a_plain_solve(spark, name):
     p, t = ((plans._with_drift(spark, folder, df) if radar else df).toPandas() for df in (points, cells))
     got = plans.__dict__[name](spark, folder).toPandas().set_index(["time_sgt", "cell_id"])
     assert len(got) > 100
-    v, checked = plans._VARIOGRAM, 0
+    v, checked = plans.fitted_variogram(spark, folder, points), 0
     for day, own in p.dropna().groupby("time_sgt"):
         for cell in t[(t.time_sgt == day) & (t.cell_id % 9 == 4)].itertuples():
             if not (own.z != 0).any():
@@ -246,10 +282,41 @@ def test_grid_kriging_with_a_trend_equals_a_plain_solve(spark, name):
             trend, target, n = np.array([np.ones(len(near)), *trend]), np.array([1.0, *target]), len(near)
 
             def gamma(d):
-                return np.where(d <= 1e-10, 0.0, v["nugget"] + v["sill"] * (1 - np.exp(-3 * d / v["span"])))
+                # in units of the sill: the weights do not change
+                return np.where(d <= 1e-10, 0.0, v["nugget"] / v["sill"] + 1 - np.exp(-3 * d / v["span"]))
 
             left = np.block([[gamma(np.hypot(*(xy[:, None] - xy).transpose(2, 0, 1))), trend.T], [trend, np.zeros((len(trend),) * 2)]])
             w = np.linalg.pinv(left) @ np.concatenate([gamma(near.far.to_numpy()), target])
             assert got.loc[(day, cell.cell_id), "z"] == pytest.approx(w[:n] @ near.z.to_numpy(), rel=1e-6, abs=1e-6, nan_ok=True)
             checked += 1
     assert checked > 10
+
+
+def test_squares_of_a_link_grow_with_its_length(spark):
+    def squares(rows, reach=0.01):
+        links = spark.createDataFrame(rows, "site_a_longitude double, site_a_latitude double, site_b_longitude double, site_b_latitude double")
+        return spatial.link_squares(links, reach).count()
+
+    for dx, dy in ((1, 1), (0, 1), (1, 0), (1, 0.03), (-0.4, 1)):
+        short, long = squares([(0.0, 0.0, 1.0 * dx, 1.0 * dy)]), squares([(0.0, 0.0, 8.0 * dx, 8.0 * dy)])
+        assert long < 9 * short
+
+
+@pytest.mark.parametrize("reach", [0.05, 0.011, 0.0])
+def test_coverage_equals_all_distances(spark, reach):
+    rng = np.random.default_rng(8)
+    links = [tuple(map(float, r)) for r in rng.uniform(-1, 1, (25, 4))] + [(0.1, -0.9, 0.1, 0.9), (-0.9, 0.2, 0.9, 0.2), (0.3, 0.3, 0.3, 0.3)]
+    cells = [(i, float(a), float(b)) for i, (a, b) in enumerate(rng.uniform(-1.1, 1.1, (1500, 2)))] + [(9000, 0.3, 0.3), (9001, 0.1, 0.0)]
+    got = spatial.covered_cells(spark.createDataFrame(cells, "cell int, x double, y double"), spark.createDataFrame(
+        links, "site_a_longitude double, site_a_latitude double, site_b_longitude double, site_b_latitude double"), reach, ["cell"])
+    want = {}
+    for i, px, py in cells:
+        best = np.inf
+        for ax, ay, bx, by in links:
+            size = (bx - ax) ** 2 + (by - ay) ** 2
+            u = min(1, max(0, ((px - ax) * (bx - ax) + (py - ay) * (by - ay)) / size)) if size else 0
+            best = min(best, np.hypot(px - ax - u * (bx - ax), py - ay - u * (by - ay)))
+        want[i] = best <= reach
+    assert {r.cell: r.covered for r in got.collect()} == want and any(want.values())
+    with pytest.raises(ValueError):
+        spatial.link_squares(got, -1.0)
