@@ -6,10 +6,9 @@ Its leading digits cut every cluster into even slices, so a large cluster is not
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,16 +31,60 @@ def share_size(n: Column, percent: float, minimum: int) -> Column:
     return F.when(n > minimum, F.greatest(F.lit(1).cast("long"), share)).otherwise(F.lit(0).cast("long"))
 
 
-def spatial_clusters(stations: DataFrame, k: int = 8, seed: int = 123, tries: int = 10) -> DataFrame:
-    """K-means on (longitude, latitude), best of several starts, labels ordered by centroid."""
-    stations = checkpointed(stations)  # every iteration of every start reads it
-    vectors = VectorAssembler(inputCols=["longitude", "latitude"], outputCol="_v").transform(stations)
-    fits = [KMeans(k=k, seed=seed + i, featuresCol="_v", predictionCol="_label").fit(vectors) for i in range(tries)]
-    best = min(fits, key=lambda m: m.summary.trainingCost)
-    centres = [tuple(c) for c in best.clusterCenters()]
-    rank = {i: r for r, i in enumerate(sorted(range(len(centres)), key=lambda i: centres[i]))}
-    label = F.element_at(F.array(*[F.lit(rank[i]) for i in range(len(centres))]), F.col("_label") + 1)
-    return best.transform(vectors).withColumn("cluster", label).drop("_v", "_label")
+UNITS = 1e9  # of a degree: sums of whole numbers do not depend on the order of the rows
+
+
+DRAWN = 4  # places drawn per centroid of a start
+
+
+def _spread(places: list[tuple[float, float]], k: int, seed: int) -> list[tuple[float, float]]:
+    """``k`` of some drawn places, each next one as far as possible from those before it."""
+    places = sorted(set(places))
+    chosen = [places[seed % len(places)]]
+    while len(chosen) < min(k, len(places)):
+        chosen.append(max(places, key=lambda p: min((p[0] - c[0]) ** 2 + (p[1] - c[1]) ** 2 for c in chosen)))
+    return chosen
+
+
+def spatial_clusters(stations: DataFrame, k: int = 8, seed: int = 123, tries: int = 10, rounds: int = 300) -> DataFrame:
+    """K-means on (longitude, latitude), best of several starts, labels ordered by centroid.
+
+    Each start draws places by hash and begins with ``k`` of them that lie far apart. All starts go on together: a round gives every station the nearest centroid of
+    each start and sums by (start, centroid), so only ``tries * k`` rows reach the driver. It ends when no centroid
+    moves (at the latest after ``rounds``); a centroid without stations stays where it is. Equally near: the smaller number;
+    equally good starts: the first. Stations without a place have a NULL cluster.
+    """
+    placed = checkpointed(stations.withColumns({"_x": F.round(F.col("longitude") * UNITS).cast("long"), "_y": F.round(F.col("latitude") * UNITS).cast("long")}))
+    known = placed.where("_x is not null and _y is not null")
+    drawn = known.select("_x", "_y", F.explode(F.sequence(F.lit(0), F.lit(tries - 1))).alias("_try"))
+    drawn = drawn.withColumn("_h", F.xxhash64(F.lit(seed) + F.col("_try"), "_x", "_y"))
+    first = drawn.groupBy("_try", F.pmod("_h", F.lit(DRAWN * k)).alias("_part")).agg(F.min(F.struct("_h", "_x", "_y")).alias("_c")).select("_try", "_part", "_c._x", "_c._y").collect()
+    if not first:
+        return stations.withColumn("cluster", F.lit(None).cast("int"))
+    centres = {t: _spread(sorted((float(r["_x"]), float(r["_y"])) for r in sorted(first) if r["_try"] == t), k, seed + t) for t in range(tries)}
+
+    def beside(rows: DataFrame, starts: list[list[tuple[float, float]]]) -> DataFrame:
+        """Rows with (``_try``, ``_near``): squared distance and number of the nearest centroid of each start."""
+        held = [[(i, x, y) for i, (x, y) in enumerate(own)] for own in starts]
+        table = rows.sparkSession.createDataFrame([(held,)], "held array<array<struct<i:int,x:double,y:double>>>")
+        # a value and not part of the code, so that no round is compiled anew
+        met = rows.withColumn("_held", table.scalar()).select(*rows.columns, F.posexplode("_held").alias("_try", "_own"))
+        apart = F.transform("_own", lambda c: F.struct((F.pow(F.col("_x") - c["x"], F.lit(2.0)) + F.pow(F.col("_y") - c["y"], F.lit(2.0))).alias("d"), c["i"].alias("i")))
+        return met.withColumn("_near", F.array_min(apart)).drop("_own")
+
+    for _ in range(rounds):
+        met = beside(known.select("_x", "_y"), [centres[t] for t in range(tries)])
+        sums = met.groupBy("_try", "_near.i").agg(F.count(F.lit(1)).alias("n"), F.sum("_x").alias("x"), F.sum("_y").alias("y"), F.sum("_near.d").alias("d")).collect()
+        moved = {t: list(own) for t, own in centres.items()}
+        for r in sums:
+            moved[r["_try"]][r["i"]] = (r["x"] / r["n"], r["y"] / r["n"])
+        if moved == centres:
+            break
+        centres = moved
+    costs = [math.fsum(r["d"] for r in sums if r["_try"] == t) for t in range(tries)]
+    best = sorted(centres[min(range(tries), key=lambda t: (costs[t], t))])
+    found = beside(placed, [best])
+    return found.withColumn("cluster", F.when(F.col("_x").isNotNull() & F.col("_y").isNotNull(), F.col("_near.i"))).select(*stations.columns, "cluster")
 
 
 def cluster_summary(clustered: DataFrame) -> DataFrame:

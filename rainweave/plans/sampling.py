@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from rainweave.operators import sampling
 from rainweave.plans.common import rounded
 from rainweave.plans.registry import query
+from rainweave.session import checkpointed
 from rainweave.sources import views
 
 # eight tiles of the study box stand in for cluster labels where SQL has to follow
@@ -49,10 +51,27 @@ def station_folds(spark, folder):
 
 @query("k1_kmeans_clusters")
 def k1_kmeans_clusters(spark, folder):
-    """K-means labels; iterative, so no SQL twin."""
+    """K-means labels; iterative, so the twin is that of ``k1_cluster_checks``."""
     return sampling.spatial_clusters(views.stations(spark, folder))
 
 
+@query("k1_cluster_checks", views.with_views("stations") + """
+select count(*) as stations, least(count(*), 8) as clusters, 0::bigint as misplaced, 0::bigint as out_of_order from stations""")
+def k1_cluster_checks(spark, folder):
+    """Of the clusters: stations that lie nearer to another centroid, and neighbouring labels whose centroids are not in order."""
+    found = checkpointed(sampling.spatial_clusters(views.stations(spark, folder)))
+    centroids = checkpointed(sampling.cluster_summary(found))
+    held = centroids.agg(F.collect_list(F.struct("cluster", "longitude", "latitude")).alias("held"))  # eight rows
+    gap = lambda c: F.hypot(F.col("longitude") - c["longitude"], F.col("latitude") - c["latitude"])
+    rows = found.withColumn("held", held.scalar())
+    far = rows.withColumn("own", F.get(F.filter("held", lambda c: c["cluster"] == F.col("cluster")), F.lit(0)))
+    misplaced = far.agg(F.count(F.lit(1)).alias("stations"), F.count_if(F.exists("held", lambda c: gap(c) < gap(F.col("own")) - 1e-8)).alias("misplaced"))
+    line = Window.partitionBy(F.lit(0)).orderBy("cluster")
+    ordered = centroids.withColumn("after", F.lead(F.struct("longitude", "latitude")).over(line))
+    order = ordered.agg(F.count(F.lit(1)).alias("clusters"), F.count_if(F.struct("longitude", "latitude") > F.col("after")).alias("out_of_order"))
+    return misplaced.select("stations", order.select("clusters").scalar().alias("clusters"), "misplaced", order.select("out_of_order").scalar().alias("out_of_order"))
+
+
 @query(
     "a24_cluster_summary",
     views.with_views("stations") + TILE_SQL + """

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from rainweave.operators import errors, metrics
@@ -10,7 +12,8 @@ from rainweave.operators.traininglog import analyse_training, summarise_training
 from rainweave.plans.common import rounded
 from rainweave.plans.registry import query
 from rainweave.plans.sampling import ROLE_SQL, station_roles
-from rainweave.sources import views
+from rainweave.session import checkpoint_folder
+from rainweave.sources import sinks, views
 
 _ERRORS_SQL = """,
 e as (select fold, station_id, avg(abs(true_value - pred_value)) as mean_abs_error,
@@ -326,3 +329,50 @@ from c join s using (run) where s.stop_epoch is null or c.epoch <= s.stop_epoch
 )
 def w7_training_summary(spark, folder):
     return summarise_training(analyse_training(_epochs(spark, folder), ["run"], patience=3), ["run"])
+
+
+def _logged(spark, folder):
+    """The epochs as an experiment log: JSON records next to one record of the setup and one of the summary per run."""
+    epochs = _epochs(spark, folder)
+    path = f"{checkpoint_folder(spark).rstrip('/')}/log-{uuid.uuid4().hex}"
+    run = F.concat(F.lit("{\"run\":\""), F.col("run"), F.lit("\"}")).alias("config")
+    sinks.append_records(epochs.select("epoch", "val_loss", run), path)
+    sinks.append_records(epochs.groupBy("run").agg(F.count(F.lit(1)).alias("epochs_completed"), F.min("val_loss").alias("best_validation_loss")).select(
+        F.lit("training_summary").alias("type"), run, "epochs_completed", "best_validation_loss"), path)
+    return sinks.read_experiment_log(spark, path).withColumn("run", F.get_json_object("config", "$.run"))
+
+
+@query("s8_log_records", _LOG_SQL + """
+select 'epoch' as kind, run, epoch, val_loss, null::bigint as epochs_completed, null::double as best_validation_loss from c
+union all select 'training_summary', run, null, null, count(*), min(val_loss) from c group by run""")
+def s8_log_records(spark, folder):
+    """Records of two kinds, appended to a log and read back through one merged schema."""
+    log = _logged(spark, folder)
+    kind = F.coalesce("type", F.lit("epoch")).alias("kind")
+    return log.select(kind, "run", "epoch", "val_loss", "epochs_completed", "best_validation_loss")
+
+
+@query("w7_logged_training", _LOG_SQL + "select run, epoch, val_loss, best_val_so_far, new_best, stale from c")
+def w7_logged_training(spark, folder):
+    """Running best and early-stop counter on the epoch records of a written log."""
+    epochs = _logged(spark, folder).where("epoch is not null").select("run", "epoch", "val_loss")
+    return analyse_training(epochs, ["run"]).drop("stop")
+
+
+@query("s7_written_and_read", views.with_views("predictions") + """
+select fold, count(*) as n, count(*) filter (true_value > 0 and pred_value = 0) as false_zeros, round(sum(true_value), 6) as true_sum, round(sum(pred_value), 6) as pred_sum
+from predictions where fold in (1, 3) group by fold""")
+def s7_written_and_read(spark, folder):
+    """Predictions written by fold as CSV and Parquet; two folds are read back, the others are not touched."""
+    scored = views.predictions(spark, folder).withColumn("is_false_zero", (F.col("true_value") > 0) & (F.col("pred_value") == 0))
+    path = f"{checkpoint_folder(spark).rstrip('/')}/results-{uuid.uuid4().hex}"
+    sinks.write_predictions(scored, path)
+    sinks.write_parquet(scored, f"{path}/parquet", ["fold"])
+    held = spark.read.parquet(f"{path}/parquet").where(F.col("fold").isin(1, 3))
+    zeros = spark.read.csv(f"{path}/false_zeros", header=True, schema="station_id long, true_value double").where(F.col("fold").isin(1, 3)) if scored.where("is_false_zero").limit(1).count() else None
+    totals = held.groupBy(F.col("fold").cast("long").alias("fold")).agg(
+        F.count(F.lit(1)).alias("n"), rounded(F.sum("true_value")).alias("true_sum"), rounded(F.sum("pred_value")).alias("pred_sum"))
+    if zeros is None:
+        return totals.withColumn("false_zeros", F.lit(0).cast("long"))
+    counted = zeros.groupBy(F.col("fold").cast("long").alias("fold")).agg(F.count(F.lit(1)).alias("false_zeros"))
+    return totals.join(counted, "fold", "left").withColumn("false_zeros", F.coalesce("false_zeros", F.lit(0).cast("long")))
