@@ -106,8 +106,9 @@ def relation_weights(edges: DataFrame, nodes: DataFrame, relations: Mapping[str,
             own = nodes.where(F.col("kind") == kind)
             given = given.unionByName(own.select(F.lit(name).alias("edge_type"), *[F.col(c).alias(f"{end}{k}") for end in ("src", "dst") for c, k in (("kind", "_kind"), ("node", ""))], F.lit(1.0).alias("_w")))
     arrives = given.groupBy("edge_type", "dst_kind", "dst").agg(F.sum("_w").alias("_in"))
-    leaves = given.where("src_kind != dst_kind").groupBy("edge_type", "src_kind", "src").agg(F.sum("_w").alias("_out"))
-    leaves = leaves.unionByName(arrives.join(given.where("src_kind = dst_kind").select("edge_type").distinct(), "edge_type", "left_semi").toDF("edge_type", "src_kind", "src", "_out"))
+    within = [name for name, r in relations.items() if r["kinds"][0] == r["kinds"][1]]
+    leaves = given.where(~F.col("edge_type").isin(within)).groupBy("edge_type", "src_kind", "src").agg(F.sum("_w").alias("_out"))
+    leaves = leaves.unionByName(arrives.where(F.col("edge_type").isin(within)).toDF("edge_type", "src_kind", "src", "_out"))
     weighed = given.join(arrives, ["edge_type", "dst_kind", "dst"]).join(leaves, ["edge_type", "src_kind", "src"], "left")
     product = F.coalesce("_out", F.lit(0.0)) * F.col("_in")
     return weighed.select("edge_type", "src_kind", "src", "dst_kind", "dst", F.when(product > 0, F.col("_w") / F.sqrt(product)).otherwise(0.0).alias("weight"))
