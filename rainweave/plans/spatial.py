@@ -255,13 +255,13 @@ _SHAPE_SQL = """case model when 'linear' then d when 'exponential' then 1 - exp(
 
 def near_variogram(spark, folder, points=None):
     bins = gridding.empirical_variogram(gauge_rain(spark, folder, 1440) if points is None else points, "z", 0.02, max_lag=MAX_LAG)
-    return bins.select("lag_bin", "pairs", rounded(F.col("mean_distance")).alias("mean_distance"), rounded(F.col("semivariance"), 4).alias("semivariance"))
+    return bins.select("lag_bin", "pairs", rounded(F.col("mean_distance")).alias("mean_distance"), rounded(F.col("semivariance"), 2).alias("semivariance"))
 
 
 _NEAR_SQL = views.with_views("obs", "stations") + _gauge_sql("1 day") + f""",
 v as (select cast(floor({_D} / 0.02e0) as bigint) as lag_bin, {_D} as d, 0.5e0 * (a.z - b.z) * (a.z - b.z) as g
       from p a join p b on a.time_sgt = b.time_sgt and a.gid < b.gid where {_D} < {MAX_LAG}e0),
-bins as materialized (select lag_bin, count(*) as pairs, round(avg(d), 6) as mean_distance, round(avg(g), 4) as semivariance from v group by lag_bin)"""
+bins as materialized (select lag_bin, count(*) as pairs, round(avg(d), 6) as mean_distance, round(avg(g), 2) as semivariance from v group by lag_bin)"""
 
 
 @query("i7_near_variogram_bins", _NEAR_SQL + "select * from bins")
@@ -281,12 +281,12 @@ silled as (select model, step, k, any_value(span) as span, any_value(nugget) as
 lost as (select model, step, k, span, nugget, sill, sum(w * pow(nugget + sill * s - g, 2)) as loss
          from valued join silled using (model, step, k, span, nugget) group by all)
 select model, round(case when model = 'linear' then 0 else sill end, 4) as sill, round(case when model = 'linear' then sill else span end, 6) as span,
-       round(nugget, 4) as nugget, round(loss, 4) as loss
+       round(nugget, 4) as nugget, round(loss, 2) as loss
 from lost qualify row_number() over (partition by model order by round(loss, 6), span, nugget) = 1""")
 def i7_variogram_fit(spark, folder):
     """All four models fitted to the near bins; the twin evaluates the loss bin by bin."""
     fitted = kriging.fit_variograms(near_variogram(spark, folder))
-    return fitted.select("model", *[rounded(F.col(c), d).alias(c) for c, d in (("sill", 4), ("span", 6), ("nugget", 4), ("loss", 4))])
+    return fitted.select("model", *[rounded(F.col(c), d).alias(c) for c, d in (("sill", 4), ("span", 6), ("nugget", 4), ("loss", 2))])
 
 
 def fitted_variogram(spark, folder, points=None):
