@@ -12,12 +12,15 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rainweave.llm.text import count_spaced_words
+
 BUDGET = 1024  # tokens of a window
 HISTORY = 256  # tokens of repeated turns in front of the new ones
 TURN_TOKENS = 4  # of the marks around a turn
+CHUNK = 1024  # turn numbers of a slice
 TARGET = "assistant"
 SYSTEM = "system"
 
@@ -26,7 +29,7 @@ _ESCAPED = re.compile(r"\\([\\<>#])")
 _TURN = re.compile(r"<turn ((?:[^\\>]|\\.)*)>\n((?:[^\\<]|\\.)*)</turn>\n", re.S)
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
-WINDOWS = "conv_id bigint, window int, text string, n_system int, n_history int, n_new int, targets array<struct<begin:int,end:int>>"
+WINDOWS = "conv_id bigint, window bigint, text string, n_system int, n_history int, n_new int, targets array<struct<begin:int,end:int>>"
 
 
 def escape(text: str) -> str:
@@ -53,109 +56,153 @@ def _tokens(text: str) -> int:
     return TURN_TOKENS + sum(1 for _ in _WORD.finditer(text))
 
 
-class _Packer:
-    """Turns of one conversation, in order, to windows. Holds one window and the history, never all turns."""
-
-    def __init__(self, conv_id, budget: int, history: int):
-        self.conv_id, self.budget, self.most = conv_id, budget, history
-        self.system: list = []
-        self.past: list = []  # turns of the last windows, at most ``history`` tokens
-        self.head: list = []  # the system turns that the open window repeats
-        self.new: list = []
-        self.spent, self.started, self.number = 0, False, 0
-
-    def add(self, role: str, text: str) -> Iterator[tuple]:
-        turn = (role, text, _tokens(text))
-        if self.new and self.spent + turn[2] > self.budget:
-            yield self.window()
-        self.make_room(turn[2])
-        self.started = self.started or role != SYSTEM
-        if not self.started and sum(t[2] for t in self.system) + turn[2] <= self.budget:
-            self.system.append(turn)
-        self.new.append(turn)
-        self.spent += turn[2]
-
-    def make_room(self, size: int) -> None:
-        """Before the first new turn of a later window: the oldest history goes until all fits, then the system turns from
-        the last one on; a turn above the budget is left alone in its window."""
-        if self.new or not self.number:
-            return
-        self.head = list(self.system)
-        while self.past and self.spent + size > self.budget:
-            self.spent -= self.past.pop(0)[2]
-        while self.head and self.spent + size > self.budget:
-            self.spent -= self.head.pop()[2]
-
-    def window(self) -> tuple:
-        head = self.head
-        parts, targets, at = [], [], 0
-        for k, (role, text, _) in enumerate([*head, *self.past, *self.new]):
-            open_mark, body = f"<turn {escape(role)}>\n", escape(text)
-            at += len(open_mark)
-            if k >= len(head) + len(self.past) and role == TARGET:
-                targets.append({"begin": at, "end": at + len(body)})
-            parts.append(f"{open_mark}{body}</turn>\n")
-            at += len(body) + 8
-        out = (self.conv_id, self.number, "".join(parts), len(head), len(self.past), len(self.new), targets)
-        kept, spent = [], 0
-        seen = [t for t in self.past + self.new if not any(t is own for own in self.system)]
-        for turn in reversed(seen):
-            if spent + turn[2] > self.most:
+KEYS = ["missing", "conv"]
+SLICE = [*KEYS, "chunk"]
+ORDER = ["turn", "role", "text"]
+
+
+def _leading_system(rows: DataFrame, budget: int) -> DataFrame:
+    """``missing``, ``conv``, ``system``: the leading system turns that together fit ``budget``, in order.
+
+    The room only shrinks, so of equal sizes the first ones are kept: at most budget / size turns of each size are compared.
+    """
+    first = rows.where(F.col("role") != SYSTEM).groupBy(*KEYS).agg(F.min(F.struct("turn", "role")).alias("first"))
+    leading = rows.where((F.col("role") == SYSTEM) & (F.col("tokens") <= budget)).join(first, KEYS, "left")
+    leading = leading.where(F.col("first").isNull() | (F.struct("turn", "role") < F.col("first")))
+    rank = F.row_number().over(Window.partitionBy(*KEYS, "tokens").orderBy(*ORDER))
+    few = leading.withColumn("rank", rank).where(F.col("rank") <= budget // TURN_TOKENS).where(F.col("rank") * F.col("tokens") <= budget)
+    listed = few.groupBy(*KEYS).agg(F.sort_array(F.collect_list(F.struct(*ORDER, "tokens"))).alias("given"))
+    kind = listed.schema["given"].dataType
+    kept = F.aggregate("given", F.struct(F.array().cast(kind).alias("turns"), F.lit(0).cast("long").alias("size")), lambda out, t: F.when(
+        out["size"] + t["tokens"] <= budget,
+        F.struct(F.concat(out["turns"], F.array(t)).alias("turns"), (out["size"] + t["tokens"]).alias("size"))).otherwise(out))
+    return listed.select(*KEYS, kept.alias("kept")).select(*KEYS, F.col("kept.turns").alias("system"), F.col("kept.size").alias("system_tokens"))
+
+
+def _placed(rows: DataFrame, budget: int, history: int) -> DataFrame:
+    """Every turn with ``number`` and ``before``, the turns and tokens before it, and ``cell``, ``room``, ``wide``, ``system``.
+
+    Two-level prefix sums: inside slices of a conversation, and over the sums of its slices. ``room`` is what the system
+    turns leave of the budget, ``wide`` the tokens of a cell; the rest of the room is for history.
+    """
+    inside = Window.partitionBy(*SLICE).orderBy(*ORDER)
+    earlier = Window.partitionBy(*KEYS).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.groupBy(*SLICE).agg(F.sum("tokens").alias("t"), F.count(F.lit(1)).alias("n"))
+    starts = sums.select(*SLICE, *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"{c}_offset") for c in ("t", "n")])
+    starts = starts.join(_leading_system(rows, budget), KEYS, "left").withColumn("room", budget - F.coalesce("system_tokens", F.lit(0)))
+    starts = starts.withColumn("wide", F.greatest(F.col("room") - history, F.floor(F.col("room") / 2), F.lit(TURN_TOKENS)))
+    sliced = rows.withColumn("upto", F.sum("tokens").over(inside.rowsBetween(Window.unboundedPreceding, 0))).withColumn("k", F.row_number().over(inside))
+    return sliced.join(starts, SLICE).select(
+        *KEYS, *ORDER, "tokens", (F.col("n_offset") + F.col("k") - 1).alias("number"), (F.col("t_offset") + F.col("upto") - F.col("tokens")).alias("before"),
+        "room", "wide", "system", F.floor((F.col("t_offset") + F.col("upto") - 1) / F.col("wide")).alias("cell"))
+
+
+HEAD, PAST, NEW, ALONE = range(4)
+
+
+def _spans(placed: DataFrame, history: int) -> DataFrame:
+    """``missing``, ``conv``, ``cell``, ``turns``: the turns that end in a cell of the prefix sums, and the last ones before it.
+
+    A turn that starts so far before its cell that both do not fit the room is marked ``ALONE`` and goes with the turns before it.
+    """
+    cell, wide, before = F.col("cell"), F.col("wide"), F.col("before")
+    own = F.when(before > 0, F.floor((before - 1) / wide)).otherwise(-1)
+    marked = placed.withColumn("own", own).withColumn("alone", cell * wide - before > F.col("room") - wide)
+    alone, system = F.col("alone"), F.col("system")
+    near = ~alone & (F.col("tokens") <= history) & (before >= (cell + 1) * wide - (F.col("room") - wide) - history)
+    none = F.lit(None).cast(placed.schema["system"].dataType)
+
+    def part(kind: Column, at: Column, head: Column, text: Column) -> Column:
+        return F.struct(at.alias("cell"), F.struct("number", kind.alias("kind"), "turn", "role", text.alias("text"), "tokens", head.alias("system")).alias("turn"))
+
+    parts = F.array_compact(F.array(
+        part(F.when(alone, ALONE).otherwise(NEW), F.when(alone, F.greatest("own", F.lit(0))).otherwise(cell), F.when(alone | (F.col("own") != cell), system), F.col("text")),
+        F.when(near, part(F.lit(PAST), cell + 1, none, F.col("text"))),
+        F.when(alone, part(F.lit(HEAD), cell, system, F.lit(""))),
+    ))
+    dealt = marked.select(*KEYS, F.explode(parts).alias("part")).select(*KEYS, "part.cell", "part.turn")
+    return dealt.groupBy(*KEYS, "cell").agg(F.collect_list("turn").alias("turns"))
+
+
+def _key(turn: dict) -> tuple:
+    return turn["turn"] is not None, turn["turn"] if turn["turn"] is not None else 0, turn["role"], turn["text"]
+
+
+def _windows(turns: list[dict], budget: int, history: int) -> Iterator[tuple]:
+    """The windows of one cell: its new turns, and each turn that stands alone."""
+    system = next((t["system"] for t in turns if t["system"]), [])
+    kept = {_key(t) for t in system}
+    own = sorted((t for t in turns if t["kind"] != HEAD), key=lambda t: t["number"])
+    new = [t for t in own if t["kind"] == NEW]
+    for span in [*([new] if new else []), *([t] for t in own if t["kind"] == ALONE)]:
+        first, spent = span[0], sum(t["tokens"] for t in span)
+        head = [t for t in system if _key(t) < _key(first)]
+        while head and spent + sum(t["tokens"] for t in head) > budget:
+            head.pop()
+        left = min(history, budget - spent - sum(t["tokens"] for t in head))
+        past, at = [], first["number"]
+        for turn in reversed([t for t in own if t["number"] < at]):
+            left -= turn["tokens"]
+            if turn["number"] != at - 1 or left < 0 or _key(turn) in kept:
                 break
-            kept.append(turn)
-            spent += turn[2]
-        self.past, self.new, self.head, self.number = kept[::-1], [], [], self.number + 1
-        self.spent = spent + sum(t[2] for t in self.system)
-        return out
+            past.insert(0, turn)
+            at -= 1
+        parts, targets, end = [], [], 0
+        for k, turn in enumerate([*head, *past, *span]):
+            open_mark, body = f"<turn {escape(turn['role'])}>\n", escape(turn["text"])
+            end += len(open_mark)
+            if k >= len(head) + len(past) and turn["role"] == TARGET:
+                targets.append({"begin": end, "end": end + len(body)})
+            parts.append(f"{open_mark}{body}</turn>\n")
+            end += len(body) + 8
+        yield first["number"], "".join(parts), len(head), len(past), len(span), targets
 
 
-def _pack(budget: int, history: int):
-    def run(batches) -> Iterator[pa.RecordBatch]:
-        packer, rows, schema = None, [], None
+def _build(budget: int, history: int):
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))]
+    names = ["conv_id", "window", "text", "n_system", "n_history", "n_new", "targets"]
 
-        def flush():
-            nonlocal rows
-            columns = list(zip(*rows)) if rows else [[]] * 7
-            kinds = [pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))]
-            rows = []
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["conv_id", "window", "text", "n_system", "n_history", "n_new", "targets"])
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*rows)) if rows else [[]] * len(kinds)
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
 
+    def run(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for conv, role, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                if packer is None or conv != packer.conv_id:
-                    if packer is not None:
-                        rows.append(packer.window())
-                    packer = _Packer(conv, budget, history)
-                rows += packer.add(role, text)
+            rows = []
+            for conv, turns in zip(batch.column(0), batch.column(1)):
+                rows += [(conv.as_py(), *w) for w in _windows(turns.as_py(), budget, history)]
                 if len(rows) >= 500:
-                    yield flush()
-        if packer is not None:
-            rows.append(packer.window())
-        yield flush()
+                    yield batch_of(rows)
+                    rows = []
+            yield batch_of(rows)
 
     return run
 
 
 def format_conversations(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY,
                          conv_column: str = "conv_id", turn_column: str = "turn", role_column: str = "role", text_column: str = "text") -> DataFrame:
-    """Formatted windows: ``conv_id``, ``window``, ``text``, ``n_system``, ``n_history``, ``n_new``, ``targets``.
+    """Formatted windows: ``conv_id``, ``window`` (number of its first new turn), ``text``, ``n_system``, ``n_history``, ``n_new``, ``targets``.
 
     ``targets`` is the loss mask: (begin, end) in code points of ``text``, the assistant texts that are new in the
-    window, each in one window only. A window has whole turns within ``budget`` tokens (words, and a few for the
-    marks); a turn above the budget has a window of its own, without other turns. From the second window on it starts
-    with the leading system turns and the last turns that fit ``history``; where the first new turn leaves less room,
-    the oldest history goes first, then the last system turns, for that window only. Leading system turns that
-    together pass the budget: those that fit are repeated, each other one stands once. NULL texts and roles are empty; a NULL conversation id is one
-    conversation. Turns with equal numbers go by role, then text; repeated rows are repeated turns.
-
-    The rows of a conversation meet in one task, sorted on disk if need be, and pass through it as a stream: memory
-    holds one window, however long the conversation is.
+    window, each in one window only. Prefix sums of the turns' tokens (words, and a few for the marks) are cut into cells of
+    equal width, and a window takes the turns that end in one cell; a turn that reaches too far back over the border of its cell stands alone, as
+    does one above the budget. All others keep whole turns within ``budget``. In front come the leading system turns
+    before the window and the last turns of the cell before that fit ``history`` and the rest of the budget; a window without room for the
+    system turns lacks the last of them. Leading system turns that together pass the budget: those that fit in order
+    are repeated, each other one stands once. NULL texts and roles are empty; a NULL conversation id is one conversation. Turns (numbers)
+    that are equal go by role, then text, a NULL number first; repeated rows are repeated turns, and a system turn equal to the
+    first new one is not repeated before it. Other columns are not read.
+
+    A conversation is spread by slices of turn numbers, then by cells: no task holds more than a slice.
     """
+    number = F.floor(F.col(turn_column) / CHUNK).cast("long")
     rows = turns.select(
-        F.col(conv_column).cast("long").alias("conv_id"), F.col(turn_column).alias("turn"),
+        F.col(conv_column).isNull().alias("missing"), F.coalesce(F.col(conv_column).cast("long"), F.lit(0)).alias("conv"),
+        F.coalesce(number, F.lit(-(1 << 62))).alias("chunk"), F.col(turn_column).alias("turn"),
         F.coalesce(F.col(role_column).cast("string"), F.lit("")).alias("role"), F.coalesce(F.col(text_column).cast("string"), F.lit("")).alias("text"))
-    ordered = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text")
-    return ordered.mapInArrow(_pack(budget, history), WINDOWS)
+    rows = rows.withColumn("tokens", count_spaced_words(F.col("text")) + TURN_TOKENS)
+    spans = _spans(_placed(rows, budget, history), history)
+    return spans.select(F.when(~F.col("missing"), F.col("conv")).alias("conv_id"), "turns").mapInArrow(_build(budget, history), WINDOWS)
 
 
 def _digest(batches) -> Iterator[pa.RecordBatch]:
@@ -173,8 +220,8 @@ def _digest(batches) -> Iterator[pa.RecordBatch]:
         return batch
 
     for batch in batches:
-        for conv, number, text, n_system, n_history, _, targets in zip(*(c.to_pylist() for c in batch.columns)):
-            if number == 0:
+        for conv, _, text, n_system, n_history, _, targets in zip(*(c.to_pylist() for c in batch.columns)):
+            if state is None or conv != state["conv"]:
                 if state is not None:
                     close()
                 state = {"conv": conv, "turns": 0, "all": hashlib.sha256(), "chars": 0, "loss": hashlib.sha256(), "size": 0}
@@ -194,6 +241,7 @@ def _digest(batches) -> Iterator[pa.RecordBatch]:
 
 
 def read_back(windows: DataFrame) -> DataFrame:
-    """Digests per conversation, from the formatted windows alone. Expects the windows of a conversation in
-    order within one partition, as ``format_conversations`` leaves them."""
-    return windows.mapInArrow(_digest, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    """Digests per conversation, from the formatted windows alone, in order. A digest is sequential by nature: the windows
+    of a conversation pass one task as a stream, which holds one batch."""
+    ordered = windows.repartition("conv_id").sortWithinPartitions("conv_id", "window")
+    return ordered.mapInArrow(_digest, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")

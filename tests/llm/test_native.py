@@ -1,6 +1,7 @@
 """Operators that stay inside Spark's functions, and chat windows, on small and odd tables."""
 
 import hashlib
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -93,6 +94,53 @@ def test_chat_windows_keep_budget_and_system(spark):
     assert all(r.n_system == 2 for r in later[3] if r.window == max(x.window for x in later[3]))
 
 
+def plain_windows(turns, budget, history):
+    """Windows of one conversation in order: (first turn, system turns, history turns, new turns), by one running sum."""
+    size = [chat._tokens(text) for _, text in turns]
+    lead = next((k for k, t in enumerate(turns) if t[0] != "system"), len(turns))
+    system, used = [], 0
+    for k in range(lead):
+        if used + size[k] <= budget:
+            system.append(k)
+            used += size[k]
+    room = budget - used
+    wide = max(room - history, room // 2, chat.TURN_TOKENS)
+    before, spans, open_cell = 0, [], None
+    for k, n in enumerate(size):
+        cell = (before + n - 1) // wide
+        alone = cell * wide - before > room - wide
+        if alone or cell != open_cell:
+            spans.append([])
+        spans[-1].append(k)
+        open_cell, before = None if alone else cell, before + n
+    for span in spans:
+        spent = sum(size[k] for k in span)
+        head = [k for k in system if k < span[0]]
+        while head and spent + sum(size[k] for k in head) > budget:
+            head.pop()
+        left, past = min(history, budget - spent - sum(size[k] for k in head)), span[0]
+        while past and past - 1 not in system and size[past - 1] <= left:
+            past -= 1
+            left -= size[past]
+        yield span[0], [turns[k] for k in [*head, *range(past, span[0]), *span]], len(head), span[0] - past, len(span)
+
+
+def test_chat_windows_equal_plain_version(spark):
+    """Long conversations over many slices and cells, one with most of all turns."""
+    pick = random.Random(3)
+    talk = {}
+    for conv, n in ((1, 4000), (2, 300), (3, 40), (4, 1)):
+        heads = [("system", f"s{conv}{k} " * pick.choice((3, 40, 500))) for k in range(conv - 1)]
+        talk[conv] = heads + [(("user", "assistant")[k % 2], f"t{k} " * pick.choice((0, 1, 5, 30, 90, 90, 400))) for k in range(n)]
+    rows = [(conv, k - 50, role, text) for conv, turns in talk.items() for k, (role, text) in enumerate(turns)]
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)
+    got = {conv: [] for conv in talk}
+    for r in chat.format_conversations(table, budget=400, history=90).collect():
+        got[r.conv_id].append((r.window, [t[:2] for t in chat.read_turns(r.text)], r.n_system, r.n_history, r.n_new))
+    for conv, turns in talk.items():
+        assert sorted(got[conv], key=lambda w: w[0]) == list(plain_windows(turns, 400, 90)), conv
+
+
 def test_classifiers_on_odd_tables(spark):
     english, german = "the cat and the dog of this house with a hat ", "der hund und die katze von diesem haus mit einem hut "
     rows = [(i, (english, german)[i % 2] * (1 + i % 5), ("en", "de")[i % 2]) for i in range(200)] + [(900, None, "en"), (901, "12 !", None), (None, english, None)]
