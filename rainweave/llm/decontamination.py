@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,16 +34,16 @@ def window_hits(keyed: DataFrame, windows: DataFrame) -> DataFrame:
     if 16 * known.count() <= BROADCAST_BYTES:
         known = F.broadcast(known)
 
-    def probe(length: int) -> DataFrame:
+    def runs(length: int) -> Column:
         places = F.sequence(F.lit(1), F.size("words") - (length - 1))
-        runs = F.when(F.size("words") >= length, F.transform(places, lambda i: F.xxhash64(F.slice("words", i, length))))
-        return keyed.select("key", F.posexplode(runs).alias("pos", "h"))
+        hashes = F.transform(places, lambda i: F.struct(i.alias("pos"), F.xxhash64(F.slice("words", i, length)).alias("h")))
+        return F.when(F.size("words") >= length, hashes).otherwise(F.array().cast("array<struct<pos:int,h:bigint>>"))
 
-    probes = reduce(DataFrame.union, map(probe, lengths))
+    probes = keyed.select("key", F.inline(F.concat(*map(runs, lengths))))  # all lengths in one pass over the words
     found = probes.join(known, "h").distinct()
     return (
         found.join(windows, "h")
-        .groupBy("key").agg(F.collect_list(F.struct((F.col("pos") + 1).alias("pos"), "length", "gram", "items")).alias("hits"))
+        .groupBy("key").agg(F.collect_list(F.struct("pos", "length", "gram", "items")).alias("hits"))
     )
 
 
@@ -63,7 +61,8 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text_colum
     keyed = rows.select("row", row_key(*[F.col(f"row.`{c}`").cast("string") for c in docs.columns]).alias("key"))
     text = F.col(f"row.`{text_column}`").cast("string")
     windows = checkpointed(item_windows(benchmark, window, item_column, item_text_column))
-    hits = window_hits(keyed.select("key", lettered_words(text).alias("words")), windows)
+    # written first: their size is known when they are joined, and few hits are broadcast instead of shuffling all texts
+    hits = checkpointed(window_hits(keyed.select("key", lettered_words(text).alias("words")), windows))
     joined = keyed.join(hits.withColumnRenamed("key", "hit_key"), F.col("key") == F.col("hit_key"), "left").select(
         "row", lettered_words(text).alias("words"), F.coalesce("hits", F.array().cast(hits.schema["hits"].dataType)).alias("hits"))
     real = joined.select("row", "words", F.sort_array(F.filter("hits", lambda x: F.slice("words", x["pos"], x["length"]) == x["gram"])).alias("hits"))

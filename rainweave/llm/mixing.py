@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rainweave.llm.text import count_spaced_words
@@ -16,11 +18,12 @@ SHARE = 1.5  # of all sizes
 MOST = 2  # times a document may be taken
 
 
-def sizes(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source") -> DataFrame:
-    """``doc_id``, ``name`` and ``missing`` (the source, NULL apart), ``size`` in words, ``h`` (60-bit hash of the id)."""
+def sizes(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source",
+          keep: Sequence[str] = ()) -> DataFrame:
+    """``doc_id``, ``name`` and ``missing`` (the source, NULL apart), ``size`` in words, ``h`` (60-bit hash of the id), and the columns to ``keep``."""
     key = F.md5(F.coalesce(F.col(id_column).cast("string"), F.lit("")))
     return docs.select(
-        F.col(id_column).alias("doc_id"),
+        *keep, F.col(id_column).alias("doc_id"),
         F.coalesce(source_column, F.lit("")).alias("name"), F.col(source_column).isNull().alias("missing"),
         count_spaced_words(F.col(text_column)).alias("size"),
         F.conv(F.substring(key, 1, HASH_BITS // 4), 16, 10).cast("long").alias("h"),
@@ -84,6 +87,18 @@ def thresholds(sized: DataFrame, goals: DataFrame) -> DataFrame:
     return state.withColumn("bits", F.lit(bits))
 
 
+def taken_words() -> Column:
+    """Words taken of a row of ``sizes`` joined with its source's ``thresholds``."""
+    bucket = F.expr(f"shiftrightunsigned(h, {HASH_BITS} - bits)")
+    gap = F.col("rest") - F.col("below")
+    on_cut = (
+        F.when(F.col("members") == 1, F.when(F.col("inside") - gap < gap, F.col("size")).otherwise(0))
+        .when(F.col("inside") > 0, F.floor(F.col("size") * gap / F.col("inside"))).otherwise(0)
+    )
+    more = F.when(F.col("prefix") < 0, F.col("size")).when(bucket < F.col("prefix"), F.col("size")).when(bucket == F.col("prefix"), on_cut).otherwise(0)
+    return (F.col("passes") * F.col("size") + F.when(F.col("rest") > 0, more).otherwise(0)).cast("long")
+
+
 def mix(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source",
         weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
     """``doc_id``, ``source``, ``size``, ``source_size``, ``target``, ``taken`` for every row of ``docs``.
@@ -95,13 +110,21 @@ def mix(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", s
     """
     sized = checkpointed(sizes(docs, id_column, text_column, source_column))
     cuts = thresholds(sized, targets(sized, weights, share, most))
-    bucket = F.expr(f"shiftrightunsigned(h, {HASH_BITS} - bits)")
-    gap = F.col("rest") - F.col("below")
-    on_cut = (
-        F.when(F.col("members") == 1, F.when(F.col("inside") - gap < gap, F.col("size")).otherwise(0))
-        .when(F.col("inside") > 0, F.floor(F.col("size") * gap / F.col("inside"))).otherwise(0)
-    )
-    more = F.when(F.col("prefix") < 0, F.col("size")).when(bucket < F.col("prefix"), F.col("size")).when(bucket == F.col("prefix"), on_cut).otherwise(0)
     return sized.join(cuts, ["name", "missing"]).select(
-        "doc_id", F.when(~F.col("missing"), F.col("name")).alias("source"), "size", "source_size", "target",
-        (F.col("passes") * F.col("size") + F.when(F.col("rest") > 0, more).otherwise(0)).cast("long").alias("taken"))
+        "doc_id", F.when(~F.col("missing"), F.col("name")).alias("source"), "size", "source_size", "target", taken_words().alias("taken"))
+
+
+def mix_rows(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source",
+             weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
+    """All columns of ``docs`` with ``size``, ``source_size``, ``target``, ``taken`` as ``mix`` has them.
+
+    A row knows from its hash and its source's threshold alone how much of it is taken: texts are filtered in place,
+    without a sort or a join of documents. A column of ``docs`` with the name of a new one is replaced.
+    """
+    sized = checkpointed(sizes(docs, id_column, text_column, source_column))
+    cuts = thresholds(sized, targets(sized, weights, share, most))
+    own = sizes(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *[
+        F.col(f"`{c}`").alias(n) for c, n in ((id_column, "_id"), (text_column, "_text"), (source_column, "_source"))]), "_id", "_text", "_source", keep=["row"])
+    new = ["size", "source_size", "target"]
+    rest = [F.col(f"row.`{c}`").alias(c) for c in docs.columns if c not in (*new, "taken")]
+    return own.join(cuts, ["name", "missing"]).select(*rest, *new, taken_words().alias("taken"))

@@ -180,3 +180,18 @@ def test_pipeline_stages_keep_columns(spark):
     for name, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, "/root/testdata/sf0.001").columns == docs.columns, name
     assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_windows_of_several_lengths_and_mixed_rows(spark):
+    docs = spark.createDataFrame(
+        [(1, "a one two b three four five c " + ITEM, "s", 5), (1, "a one two b three four five c " + ITEM, "s", 5), (2, None, None, 7), (3, "one", "s", 9)],
+        "doc_id long, text string, source string, size int")
+    items = spark.createDataFrame([(1, "one two"), (2, "three four five"), (3, ITEM), (4, "one two")], "item_id long, text string")
+    found = decontamination.scan(docs, items).collect()
+    assert sorted((r.row.doc_id, [tuple(s) for s in r.spans], sorted(r["items"])) for r in found) == [
+        (1, [(1, 3), (4, 7), (8, 20)], [1, 2, 3, 4])] * 2 + [(2, [], []), (3, [], [])]
+    rows = mixing.mix_rows(docs).toPandas().sort_values(["doc_id", "taken"])
+    plain = mixing.mix(docs).toPandas().sort_values(["doc_id", "taken"])
+    assert list(rows.columns) == ["doc_id", "text", "source", "size", "source_size", "target", "taken"]
+    for column in ("doc_id", "size", "source_size", "target", "taken"):
+        assert rows[column].tolist() == plain[column].tolist()
