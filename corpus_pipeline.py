@@ -21,10 +21,13 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of near copies; documents without words stay,
-    and so do rows without an id."""
+    and so do rows without an id. Equal rows become one; only rows whose id repeats are compared whole."""
     found = ngram_join.ngram_components(docs).where("component_id != doc_id").select("doc_id").distinct()
     kept = docs.join(found, "doc_id", "left_anti").select(*docs.columns)
-    return kept.dropDuplicates()
+    repeated = docs.groupBy(F.col("doc_id").alias("_id")).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_id", F.lit(True).alias("_again"))
+    marked = kept.join(checkpointed(repeated), F.col("doc_id").eqNullSafe(F.col("_id")), "left")
+    single, several = (marked.where(c).select(*docs.columns) for c in ("_again is null", "_again"))
+    return single.unionByName(several.dropDuplicates())
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,8 +41,8 @@ def secret_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """How many words of each document the mix takes."""
-    return mixing.mix(docs)
+    """The documents with how many words of each the mix takes (``taken``; 0 for one that it leaves out)."""
+    return mixing.mix_rows(docs)
 
 
 def _counted(docs: DataFrame) -> DataFrame:
