@@ -34,17 +34,16 @@ def window_hits(keyed: DataFrame, windows: DataFrame) -> DataFrame:
     if 16 * known.count() <= BROADCAST_BYTES:
         known = F.broadcast(known)
 
-    def runs(length: int) -> Column:
+    def hashes(length: int) -> Column:
         places = F.sequence(F.lit(1), F.size("words") - (length - 1))
-        hashes = F.transform(places, lambda i: F.struct(i.alias("pos"), F.xxhash64(F.slice("words", i, length)).alias("h")))
-        return F.when(F.size("words") >= length, hashes).otherwise(F.array().cast("array<struct<pos:int,h:bigint>>"))
+        return F.when(F.size("words") >= length, F.transform(places, lambda i: F.xxhash64(F.slice("words", i, length)))).otherwise(F.array().cast("array<bigint>"))
 
-    probes = keyed.select("key", F.inline(F.concat(*map(runs, lengths))))  # all lengths in one pass over the words
+    # all lengths in one pass: the places of the shorter windows come first, so the length of a hit tells its place
+    probes = keyed.select("key", F.size("words").alias("n"), F.posexplode(F.concat(*map(hashes, lengths))).alias("at", "h"))
     found = probes.join(known, "h").distinct()
-    return (
-        found.join(windows, "h")
-        .groupBy("key").agg(F.collect_list(F.struct("pos", "length", "gram", "items")).alias("hits"))
-    )
+    first = sum((F.when(F.col("length") > k, F.greatest(F.col("n") - (k - 1), F.lit(0))).otherwise(0) for k in lengths), F.lit(1))
+    placed = found.join(windows, "h").withColumn("pos", F.col("at") + first).where("pos between 1 and n - length + 1")
+    return placed.groupBy("key").agg(F.collect_list(F.struct("pos", "length", "gram", "items")).alias("hits"))
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text_column: str = "text",
@@ -61,8 +60,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text_colum
     keyed = rows.select("row", row_key(*[F.col(f"row.`{c}`").cast("string") for c in docs.columns]).alias("key"))
     text = F.col(f"row.`{text_column}`").cast("string")
     windows = checkpointed(item_windows(benchmark, window, item_column, item_text_column))
-    # written first: their size is known when they are joined, and few hits are broadcast instead of shuffling all texts
-    hits = checkpointed(window_hits(keyed.select("key", lettered_words(text).alias("words")), windows))
+    hits = window_hits(keyed.select("key", lettered_words(text).alias("words")), windows)
     joined = keyed.join(hits.withColumnRenamed("key", "hit_key"), F.col("key") == F.col("hit_key"), "left").select(
         "row", lettered_words(text).alias("words"), F.coalesce("hits", F.array().cast(hits.schema["hits"].dataType)).alias("hits"))
     real = joined.select("row", "words", F.sort_array(F.filter("hits", lambda x: F.slice("words", x["pos"], x["length"]) == x["gram"])).alias("hits"))
