@@ -41,8 +41,8 @@ def window_hits(keyed: DataFrame, windows: DataFrame) -> DataFrame:
     # all lengths in one pass: the places of the shorter windows come first, so the length of a hit tells its place
     probes = keyed.select("key", F.size("words").alias("n"), F.posexplode(F.concat(*map(hashes, lengths))).alias("at", "h"))
     found = probes.join(known, "h").distinct()
-    first = sum((F.when(F.col("length") > k, F.greatest(F.col("n") - (k - 1), F.lit(0))).otherwise(0) for k in lengths), F.lit(1))
-    placed = found.join(windows, "h").withColumn("pos", F.col("at") + first).where("pos between 1 and n - length + 1")
+    shorter = sum((F.when(F.col("length") > k, F.greatest(F.col("n") - (k - 1), F.lit(0))).otherwise(0) for k in lengths), F.lit(0))
+    placed = found.join(windows, "h").withColumn("pos", F.col("at") - shorter + 1).where("pos between 1 and n - length + 1")
     return placed.groupBy("key").agg(F.collect_list(F.struct("pos", "length", "gram", "items")).alias("hits"))
 
 
