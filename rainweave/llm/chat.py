@@ -193,7 +193,8 @@ def format_conversations(turns: DataFrame, budget: int = BUDGET, history: int =
     that are equal go by role, then text, a NULL number first; repeated rows are repeated turns, and a system turn equal to the
     first new one is not repeated before it. Other columns are not read.
 
-    A conversation is spread by slices of turn numbers, then by cells: no task holds more than a slice.
+    A conversation is spread by slices of turn numbers, then by cells. Rows that share one number, NULL included, share a slice,
+    which is sorted on disk if need be. Turn numbers are numeric.
     """
     number = F.floor(F.col(turn_column) / CHUNK).cast("long")
     rows = turns.select(
