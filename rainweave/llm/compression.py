@@ -158,12 +158,13 @@ QUALITY_CUT = 0.3
 
 
 def _features(sizes: np.ndarray, length: np.ndarray) -> np.ndarray:
-    """Normalised difference of the sizes, alone and with how short and how redundant the text is."""
+    """Intercept and normalised difference of the sizes, the only signal of the score.
+
+    The difference of two code lengths over n bytes scatters like the square root of n, so that root is its unit:
+    texts of all lengths share one scale.
+    """
     bad, good = sizes[:, 0].astype(float), sizes[:, 1].astype(float)
-    difference = (bad - good) / np.maximum(1, bad + good)
-    brief = 1 / np.sqrt(1 + length)
-    squeezed = np.minimum(bad, good) / np.maximum(1, length)
-    return np.stack([np.ones_like(bad), difference, difference * brief * 20, brief, squeezed, squeezed**2], axis=1)
+    return np.stack([np.ones_like(bad), (bad - good) / np.sqrt(1 + length)], axis=1)
 
 
 def _calibrate(features: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -182,7 +183,8 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id",
     """``doc_id``, ``held_out``, ``score`` (0 to 1, higher: label 1 likelier), ``predicted`` for every row.
 
     Two dictionaries are cut from half of the learning sample, the score is calibrated on the other
-    half, each class counted by its share of all labelled rows. Of repeated labels the largest holds. A NULL text is scored as an empty
+    half, each class counted by its share of all labelled rows: a logistic curve over the normalised difference of the two
+    sizes and nothing else, so the score rises with that difference. Of repeated labels the largest holds. A NULL text is scored as an empty
     one. Without rows of both labels every score is 0.5.
     """
     rows = docs.select(F.col(id_column).alias("doc_id"), held_out(F.col(id_column)).alias("held_out"), F.col(text_column).alias("text"))
