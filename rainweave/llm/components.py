@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rainweave.operators.partitioned import salted_join
 from rainweave.session import checkpointed
 
 
@@ -14,17 +15,17 @@ def components(links: DataFrame) -> DataFrame:
     ``links`` has two BIGINT columns ``a`` and ``b``. Each round hangs the larger neighbours of a
     node, then the smaller ones, below its smallest neighbour, until the links are stars around the
     smallest ids. Rounds grow with the logarithm of the longest chain. A hub's neighbours are never
-    gathered: its minimum is an aggregate, and the join with it can be split.
+    gathered: its minimum is an aggregate, and the join with it is salted.
     """
     links = links.where("a != b").select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).distinct()
     links, seen = checkpointed(links), None
     while True:
         both = links.select("v", "u").union(links.select(F.col("u").alias("v"), F.col("v").alias("u")))
         low = both.groupBy("v").agg(F.min("u").alias("low"))
-        large = both.join(low, "v").where("u > v").select(F.col("u").alias("v"), F.least("low", "v").alias("u")).distinct()
+        large = salted_join(both.where("u > v"), low, ["v"]).select(F.col("u").alias("v"), F.least("low", "v").alias("u")).distinct()
         low = large.groupBy("v").agg(F.min("u").alias("low"))
         small = (
-            large.join(low, "v")
+            salted_join(large, low, ["v"])
             .select(F.when(F.col("u") == F.col("low"), F.col("v")).otherwise(F.col("u")).alias("v"), F.col("low").alias("u"))
             .distinct()
         )
