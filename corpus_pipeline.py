@@ -41,8 +41,8 @@ def secret_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with how many words of each the mix takes (``taken``; 0 for one that it leaves out)."""
-    return mixing.mix_rows(docs)
+    """The documents of the mix with how many words of each it takes (``taken``); those that it leaves out go."""
+    return mixing.mix_rows(docs).where("taken > 0")
 
 
 def _counted(docs: DataFrame) -> DataFrame:
