@@ -20,7 +20,8 @@ def with_least(rows: DataFrame, total: int) -> DataFrame:
     least = rows.groupBy("v").agg(F.min("u").alias("low"), F.count(F.lit(1)).alias("n"))
     limit = max(2, total // HUBS)
     hubs = least.where(F.col("n") > limit).select("v", F.col("low").alias("hub_low"))
-    others = least.where(F.col("n") <= limit).select("v", F.lit(0).alias("part"), "low")
+    # 0 in every row, but no literal: Spark would turn that into a condition and deal all rows by v alone
+    others = least.where(F.col("n") <= limit).select("v", (F.col("n") > limit).cast("int").alias("part"), "low")
     dealt = F.when(F.col("hub_low").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64("u"), F.lit(SPREAD)).cast("int"))
     marked = rows.join(F.broadcast(hubs), "v", "left").withColumn("part", dealt)
     return marked.join(others, ["v", "part"], "left").select("v", "u", F.coalesce("hub_low", "low").alias("low"))

@@ -1,6 +1,7 @@
 """Components of links against a plain union of sets, with hubs, chains and repeated links."""
 
 import random
+import re
 
 import pytest
 
@@ -39,3 +40,14 @@ def test_no_row_of_a_hub_is_copied_or_lost(spark):
     rows = [(1, i) for i in range(5000)] + [(i, 0) for i in range(2, 3000)] + [(1, 7), (1, 7)]
     got = [tuple(r) for r in components.with_least(spark.createDataFrame(rows, "v long, u long"), len(rows)).collect()]
     assert sorted(got) == sorted((v, u, 0) for v, u in rows)
+
+
+def test_hubs_are_dealt_by_both_keys(spark):
+    rows = spark.range(100).selectExpr("id % 3 as v", "id as u")
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = components.with_least(rows, 100)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    assert re.search(r"SortMergeJoin \[v#\d+L, part#\d+\], \[v#\d+L, part#\d+\]", text)
