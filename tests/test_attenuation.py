@@ -111,6 +111,17 @@ def test_lookup(spark):
     assert len(got) == len(asked)
 
 
+def test_lookup_tables_are_not_broadcast(spark):
+    # a hundred points per link: sized by the links, they went through the driver whole
+    law = at.with_power_law(links(spark, [(1, 20.25, "H", 2.0), (2, 38.25, "V", 0.5)])).select("link_id", "length", "a", "b")
+    asked = spark.createDataFrame([(1, 0.0), (2, 3.0), (2, None), (1, 30.0)], "link_id int, x double")
+    table = spark.createDataFrame(lookup_table(law, at.waa_pastorek).toPandas())
+    got = antenna_from_observed(asked, table, "x")
+    assert len(got.collect()) == 4
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
 @pytest.mark.parametrize("value, text", [(-0.1, "negative"), (1e5, "beyond")])
 def test_lookup_rejects(spark, value, text):
     law = at.with_power_law(links(spark, [(1, 20.25, "H", 2.0)])).select("link_id", "length", "a", "b")
