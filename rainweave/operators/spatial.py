@@ -17,6 +17,8 @@ from rainweave.session import checkpointed
 
 # a leaf of the search tree holds at most this many distinct coordinates
 LEAF_SITES = 32
+# sources in one task: each carries some ten squares and a few hundred pairs at once, about 30 KB
+SOURCES_PER_TASK = 2048
 # 4**12 cells per axis: about 3 cm over a 500 km box
 MAX_DEPTH = 12
 
@@ -91,7 +93,8 @@ def nearest_neighbours(sources: DataFrame, targets: DataFrame, k: int, source_id
     source only the squares survive that can still hold one of the k nearest: a square is
     dropped when k points are known to lie nearer than its nearest edge. Targets at one
     coordinate are reduced to the few with the smallest ids first, so neither crowded squares
-    nor equal coordinates lead to all pairs.
+    nor equal coordinates lead to all pairs. Sources are dealt over tasks by their number, not by
+    their bytes, since each grows to many rows.
     """
     by, source_id, payload = list(by), list(source_id), list(payload)
     need = k + 1 if without_self else k
@@ -130,19 +133,23 @@ def nearest_neighbours(sources: DataFrame, targets: DataFrame, k: int, source_id
             .drop("_sites")
         )
 
-    asked = sources.select(*by, *source_id, F.col(x).cast("double").alias("_sx"), F.col(y).cast("double").alias("_sy")).where(
+    asked = checkpointed(sources.select(*by, *source_id, F.col(x).cast("double").alias("_sx"), F.col(y).cast("double").alias("_sy")).where(
         F.col("_sx").isNotNull() & F.col("_sy").isNotNull()
-    )
+    ))
+    asked = asked.repartition(math.ceil(asked.count() / SOURCES_PER_TASK) or 1, *by, *source_id)
     line = Window.partitionBy(*by, *source_id)
     zero = F.lit(0.0)
 
     def pruned(front: DataFrame) -> DataFrame:
         known = F.sum("_points").over(line.orderBy("_far").rangeBetween(Window.unboundedPreceding, 0))
+        within = F.col("_bound").isNull() | (F.col("_near") <= F.col("_bound"))
+        # first by the bound of the level above, which spares most rows the sort
         kept = (
-            front.withColumn("_known", known)
-            .withColumn("_bound", F.min(F.when(F.col("_known") >= need, F.col("_far"))).over(line))
-            .where(F.col("_bound").isNull() | (F.col("_near") <= F.col("_bound")))
-            .drop("_known", "_bound")
+            front.where(within)
+            .withColumn("_known", known)
+            .withColumn("_bound", F.least("_bound", F.min(F.when(F.col("_known") >= need, F.col("_far"))).over(line)))
+            .where(within)
+            .drop("_known")
         )
         return kept if max_distance is None else kept.where(F.col("_near") <= max_distance)
 
@@ -154,13 +161,13 @@ def nearest_neighbours(sources: DataFrame, targets: DataFrame, k: int, source_id
         far_x, far_y = F.greatest(F.abs(x0 - sx), F.abs(sx - x1)), F.greatest(F.abs(y0 - sy), F.abs(sy - y1))
         return F.sqrt(near_x * near_x + near_y * near_y), F.sqrt(far_x * far_x + far_y * far_y)
 
-    state = [*by, *source_id, "_sx", "_sy", "_level", "_i", "_j", "_leaf", "_near", "_far", "_points"]
+    state = [*by, *source_id, "_sx", "_sy", "_level", "_i", "_j", "_leaf", "_near", "_far", "_points", "_bound"]
     if by:
         start = 0
         roots = squares(0).select(*by, "_leaf")
         front = asked.join(roots, by).withColumns(
             {"_level": F.lit(0), "_i": F.lit(0).cast("long"), "_j": F.lit(0).cast("long"), "_near": zero,
-             "_far": F.lit(None).cast("double"), "_points": F.lit(None).cast("long")}
+             "_far": F.lit(None).cast("double"), "_points": F.lit(None).cast("long"), "_bound": F.lit(None).cast("double")}
         )
     else:
         # without groups the root is one square for all; its sixteen parts are keyed right away
@@ -168,7 +175,7 @@ def nearest_neighbours(sources: DataFrame, targets: DataFrame, k: int, source_id
         parts = F.sequence(F.lit(0).cast("long"), F.lit(3).cast("long"))
         opened = asked.withColumn("_i", F.explode(parts)).withColumn("_j", F.explode(parts)).join(squares(1), ["_i", "_j"])
         near, far = edges("")
-        front = pruned(opened.withColumns({"_level": F.lit(1), "_near": near, "_far": far}).select(*state))
+        front = pruned(opened.withColumns({"_level": F.lit(1), "_near": near, "_far": far, "_bound": F.lit(None).cast("double")}).select(*state))
     # an impossible square number for finished rows, spread so that they share no partition
     nowhere = -1 - F.pmod(F.xxhash64(*by, *source_id), F.lit(1 << 20))
     for level in range(start, depth):
@@ -189,14 +196,15 @@ def nearest_neighbours(sources: DataFrame, targets: DataFrame, k: int, source_id
                 F.coalesce("_c_leaf", "_leaf").alias("_leaf"),
                 F.when(is_child, near).otherwise(F.col("_near")).alias("_near"),
                 F.when(is_child, far).otherwise(F.col("_far")).alias("_far"),
-                F.coalesce("_c_points", "_points").alias("_points"),
+                F.coalesce("_c_points", "_points").alias("_points"), "_bound",
             )
         )
     levelled = placed(sites.withColumn("_level", F.explode(F.sequence(F.lit(0), F.lit(depth)))), F.col("_level"))
     distance = straight_distance(F.col("_sx"), F.col("_sy"), F.col("_x"), F.col("_y"))
     pairs = (
-        front.select(*by, *source_id, "_sx", "_sy", "_level", "_i", "_j")
+        front.select(*by, *source_id, "_sx", "_sy", "_level", "_i", "_j", "_bound")
         .join(levelled, [*by, "_level", "_i", "_j"])
+        .where(F.col("_bound").isNull() | (distance <= F.col("_bound")))
         .select(*by, *source_id, distance.alias("dist"), F.explode("_members").alias("_member"))
         .select(*by, *source_id, "dist", "_member.*")
     )

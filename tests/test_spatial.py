@@ -56,6 +56,16 @@ def test_nearest_neighbours(spark, n, k, groups, without_self, limit):
         assert np.allclose(got["z"], data.set_index("id").loc[got["dst"], "z"])
 
 
+def test_neighbour_tasks_follow_the_number_of_sources(spark, monkeypatch):
+    # sources are few bytes and grow to many rows, so a cut by bytes left all of them in one task
+    monkeypatch.setattr(spatial, "SOURCES_PER_TASK", 16, raising=False)
+    data = crowd(300, 5, 1)
+    s = spark.createDataFrame(data).withColumnRenamed("id", "src")
+    got = spatial.nearest_neighbours(s, spark.createDataFrame(data).withColumnRenamed("id", "dst"), 3, ["src"], "dst")
+    sizes = got.groupBy(F.spark_partition_id()).agg(F.countDistinct("src").alias("n")).toPandas()["n"]
+    assert sizes.sum() == len(data) and sizes.max() <= 64
+
+
 def test_small_leaves_give_the_same(spark, monkeypatch):
     monkeypatch.setattr(spatial, "LEAF_SITES", 2)
     data = crowd(300, 8)
