@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rainweave.operators.spatial import nearest_neighbours
@@ -53,7 +53,7 @@ def fit_variograms(bins: DataFrame, models: Sequence[str] = MODELS) -> DataFrame
 
     ``bins`` has ``pairs``, ``mean_distance``, ``semivariance``; bins weigh by their pairs. All of 40 spans up to twice the largest
     distance and 11 nuggets up to the smallest semivariance are tried, and for each the best sill that is not
-    negative is known in closed form, so that a few sums per span are enough. Equal losses (to six decimals): the smaller span,
+    negative is known in closed form. Equal losses (to six decimals): the smaller span,
     then the smaller nugget. For ``linear`` the span is the slope and the sill 0. No bins, no rows.
     """
     unknown = set(models) - set(MODELS)
@@ -71,14 +71,14 @@ def fit_variograms(bins: DataFrame, models: Sequence[str] = MODELS) -> DataFrame
     for m in models:
         shape = F.when(F.col("model") == m, _shape(m, F.col("d"), F.col("span"))).otherwise(shape)
     shaped = tried.withColumn("span", span).withColumn("s", shape)
-    w, s, g = F.col("w"), F.col("s"), F.col("g")
-    sums = shaped.groupBy("model", "step").agg(
-        F.max("span").alias("span"), F.sum(w * s * s).alias("ss"), F.sum(w * s * g).alias("sg"), F.sum(w * s).alias("s"), F.sum(w * g * g).alias("gg"), F.sum(w * g).alias("g"))
-    noised = sums.withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(NUGGETS - 1)))).withColumn("nugget", F.col("_k") * low / F.lit(float(NUGGETS - 1)))
-    n, sill = F.col("nugget"), F.col("sill")
-    rated = noised.withColumn("sill", F.greatest(F.try_divide(F.col("sg") - n * F.col("s"), F.col("ss")), F.lit(0.0)))
-    loss = n * n + sill * sill * F.col("ss") + F.col("gg") + 2 * n * sill * F.col("s") - 2 * n * F.col("g") - 2 * sill * F.col("sg")
-    best = rated.withColumn("loss", loss).groupBy("model").agg(F.min(F.struct(F.round("loss", 6).alias("rounded"), "span", "nugget", "sill", "loss")).alias("b"))
+    w, s, g, n, sill = (F.col(c) for c in ("w", "s", "g", "nugget", "sill"))
+    noised = shaped.withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(NUGGETS - 1)))).withColumn("nugget", F.col("_k") * low / F.lit(float(NUGGETS - 1)))
+    trial = Window.partitionBy("model", "step", "_k")
+    rated = noised.withColumn("sill", F.greatest(F.try_divide(F.sum(w * s * (g - n)).over(trial), F.sum(w * s * s).over(trial)), F.lit(0.0)))
+    # summed bin by bin: from the sums of squares the loss would come out of cancellations, and equal losses as different ones
+    lost = rated.groupBy("model", "step", "_k").agg(
+        *[F.max(c).alias(c) for c in ("span", "nugget", "sill")], F.sum(w * F.pow(n + sill * s - g, F.lit(2.0))).alias("loss"))
+    best = lost.groupBy("model").agg(F.min(F.struct(F.round("loss", 6).alias("rounded"), "span", "nugget", "sill", "loss")).alias("b"))
     line = F.col("model") == "linear"
     return best.select(
         "model", F.when(line, 0.0).otherwise(F.col("b.sill")).alias("sill"), F.when(line, F.col("b.sill")).otherwise(F.col("b.span")).alias("span"),

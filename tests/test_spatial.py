@@ -208,6 +208,17 @@ def kriged(spark, points, targets, **options):
 PLANE = [("a", i, 103.6 + 0.05 * (i % 5), 1.2 + 0.06 * (i // 5), 3.0 + 2 * (i % 5) - (i // 5)) for i in range(20)]
 
 
+def test_equal_losses_go_to_the_smaller_nugget(spark):
+    # a span before the first bin makes nugget and sill one sum, so all nuggets fit alike; the rest is large beside the sixth decimal
+    g = [217310.5, 216999.0, 214020.75, 213000.25, 215123.5, 214876.25, 215432.0, 213987.5, 216012.75, 215001.0]
+    rows = [(k, 1000 + 137 * k, 0.0136 + 0.02 * k, v) for k, v in enumerate(g)]
+    bins = spark.createDataFrame(rows, "lag_bin long, pairs long, mean_distance double, semivariance double")
+    row = kriging.fit_variograms(bins, ["spherical"]).first()
+    w = np.array([r[1] for r in rows], float) / sum(r[1] for r in rows)
+    assert row.nugget == 0.0 and row.span == pytest.approx(0.05 * rows[-1][2]) and row.sill == pytest.approx(np.sum(w * g))
+    assert row.loss == pytest.approx(np.sum(w * (np.array(g) - np.sum(w * g)) ** 2), abs=1e-6)
+
+
 @pytest.mark.parametrize("drift", [None, "linear"])
 def test_kriging_is_exact_at_gauges(spark, drift):
     targets = [("a", r[1], r[2], r[3]) for r in PLANE]
