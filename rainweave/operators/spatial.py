@@ -17,6 +17,8 @@ from rainweave.session import checkpointed
 
 # a leaf of the search tree holds at most this many distinct coordinates
 LEAF_SITES = 32
+# left points of one square that are compared in one task
+SQUARE_ROWS = 512
 # sources in one task: each carries some ten squares and a few hundred pairs at once, about 30 KB
 SOURCES_PER_TASK = 2048
 # 4**12 cells per axis: about 3 cm over a 500 km box
@@ -55,8 +57,8 @@ def radius_join(left: DataFrame, right: DataFrame, radius_km: float, left_id: st
     """Pairs (src, dst, dist) of left and right points within the radius.
 
     Both sides are keyed by squares as wide as the radius; right points are copied to the nine
-    squares around them. A crowded square yields output in the same measure, and adaptive
-    execution splits it.
+    squares around them. A crowded square yields output by its square: its left points are cut in
+    parts of bounded size, each with its own copy of the right ones, and there are as many tasks as parts.
     """
     radius = radius_km / KM_PER_DEGREE
     factor = {"km": KM_PER_DEGREE, "degrees": 1.0}[unit]
@@ -74,8 +76,14 @@ def radius_join(left: DataFrame, right: DataFrame, radius_km: float, left_id: st
         .withColumn("_dj", F.explode(near))
         .withColumns({"_i": square("_bx") + F.col("_di"), "_j": square("_by") + F.col("_dj")})
     )
+    parts = checkpointed(a.groupBy("_i", "_j").agg(F.ceil(F.count(F.lit(1)) / SQUARE_ROWS).alias("_parts")))
+    tasks = parts.agg(F.sum("_parts")).first()[0] or 1
+    a = a.join(parts, ["_i", "_j"]).withColumn("_part", F.pmod(F.xxhash64("src", "_ax", "_ay"), F.col("_parts"))).drop("_parts")
+    b = b.join(parts, ["_i", "_j"]).withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1)))
+    place = ["_i", "_j", "_part"]
     distance = straight_distance(F.col("_ax"), F.col("_ay"), F.col("_bx"), F.col("_by"))
-    pairs = a.join(b, ["_i", "_j"]).withColumn("_d", distance).where(F.col("_d") <= radius)
+    # both sides, since either may be the one that streams past the other
+    pairs = a.repartition(tasks, *place).join(b.repartition(tasks, *place), place).withColumn("_d", distance).where(F.col("_d") <= radius)
     if without_self:
         pairs = pairs.where(F.col("src") != F.col("dst"))
     return pairs.select("src", "dst", (F.col("_d") * F.lit(factor)).alias("dist"))

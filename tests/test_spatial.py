@@ -56,6 +56,15 @@ def test_nearest_neighbours(spark, n, k, groups, without_self, limit):
         assert np.allclose(got["z"], data.set_index("id").loc[got["dst"], "z"])
 
 
+def test_a_crowded_square_is_cut_over_tasks(spark, monkeypatch):
+    monkeypatch.setattr(spatial, "SQUARE_ROWS", 16, raising=False)
+    rows = [(k, 103.7 + 1e-5 * k, 1.3) for k in range(200)]
+    s = spark.createDataFrame(rows, "gid long, longitude double, latitude double")
+    got = spatial.radius_join(s, s, 4.0, "gid", "gid", without_self=True)
+    assert got.count() == got.distinct().count() == 200 * 199
+    assert got.groupBy(F.spark_partition_id()).count().count() > 4
+
+
 def test_neighbour_tasks_follow_the_number_of_sources(spark, monkeypatch):
     # sources are few bytes and grow to many rows, so a cut by bytes left all of them in one task
     monkeypatch.setattr(spatial, "SOURCES_PER_TASK", 16, raising=False)
