@@ -125,5 +125,9 @@ def wet_chain_stream(stream: DataFrame, key: str, time: str, value: str, late: s
 
 
 def link_rain_stream(stream: DataFrame, links: DataFrame, key: str = "link_id", time: str = "time", value: str = "trsl", **settings) -> DataFrame:
-    """Rain rate of a stream of link samples: the chain above, then the columns of ``link_rain`` by a join with the links."""
-    return rain_from_levels(wet_chain_stream(stream, key, time, value, **settings), links, value)
+    """Rain rate of a stream of link samples: the chain above, then the columns of ``link_rain`` by a join with the links.
+
+    The join is a sort-merge join: Spark has no size for what leaves the state, takes it for tiny, and would
+    broadcast all rows of a micro-batch through the driver.
+    """
+    return rain_from_levels(wet_chain_stream(stream, key, time, value, **settings).hint("merge"), links, value)

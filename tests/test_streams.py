@@ -106,3 +106,18 @@ def test_replayed_slices_arrive_in_order(spark, tmp_path):
     end = spark.range(1).select(F.lit(-1).alias("id"), F.timestamp_seconds(F.lit(10_000)).alias("time"))
     stream = replay.read_slices(spark, replay.written_slices(rows, F.floor(F.col("id") / 30), 3, end), rows.schema)
     assert replay.collected(stream).count() == 91
+
+
+def test_stream_rows_are_not_broadcast_to_the_links(spark, tmp_path, capsys):
+    rows = [(1, at(k + 1), 1.0) for k in range(90)]
+    stream = files_of(spark, tmp_path, "in", [rows, [(2, at(900), 1.0)]], "link_id int, time timestamp, trsl double")
+    table = str(tmp_path / "links")
+    spark.createDataFrame([(1, 20.0, 2.0, "V")], "link_id int, frequency double, length double, polarization string").write.parquet(table)
+    rain = links.link_rain_stream(stream, spark.read.parquet(table), late="5 minutes", close_after_minutes=60)
+    query = rain.writeStream.format("memory").queryName("planned").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).start()
+    query.processAllAvailable()
+    query.explain()
+    query.stop()
+    plan = capsys.readouterr().out
+    assert "FlatMapGroupsInPandasWithState" in plan and "SortMergeJoin" in plan and "BroadcastExchange" not in plan
+    assert spark.table("planned").where("link_id = 1 and rain_rate = 0").count() == 90
