@@ -173,6 +173,31 @@ def test_variogram(spark, gauges):
         gridding.empirical_variogram(bins, "z", 0.5, max_lag=0.1)
 
 
+def test_variogram_of_rows_in_changing_order(spark):
+    # every computation of the points gives another order of rows, as after a shuffle
+    n = 200
+    rows = [(i, t, (i * 37 % 101) * 0.004, (i * 53 % 97) * 0.003, float(i * t % 7)) for i in range(n) for t in (1, 2)]
+    points = spark.createDataFrame(rows, "gid long, time_sgt int, longitude double, latitude double, z double").coalesce(1)
+    mixed = points.mapInPandas(lambda batches: (b.sample(frac=1) for b in batches), points.schema)
+    spark.conf.set("spark.sql.exchange.reuse", "false")
+    try:
+        bins = gridding.empirical_variogram(mixed, "z", 0.05).toPandas().set_index("lag_bin").sort_index()
+        near = gridding.empirical_variogram(mixed, "z", 0.05, max_lag=0.1).toPandas().set_index("lag_bin").sort_index()
+    finally:
+        spark.conf.unset("spark.sql.exchange.reuse")
+    want = {}
+    for t in (1, 2):
+        own = [r for r in rows if r[1] == t]
+        for i, a in enumerate(own):
+            for b in own[i + 1:]:
+                d = float(np.sqrt((a[2] - b[2]) ** 2 + (a[3] - b[3]) ** 2))
+                want.setdefault(int(d // 0.05), []).append((d, 0.5 * (a[4] - b[4]) ** 2))
+    assert bins["pairs"].to_dict() == {b: len(v) for b, v in want.items()}
+    for name, k in (("mean_distance", 0), ("semivariance", 1)):
+        assert bins[name].to_dict() == pytest.approx({b: np.mean([p[k] for p in v]) for b, v in want.items()})
+        assert near[name].to_dict() == pytest.approx({b: bins[name][b] for b in (0, 1)})
+
+
 @pytest.mark.parametrize("model", kriging.MODELS)
 def test_fit_finds_the_model_it_was_made_from(spark, model):
     d = np.arange(1, 41) * 0.025
