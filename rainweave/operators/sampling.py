@@ -7,8 +7,10 @@ Its leading digits cut every cluster into even slices, so a large cluster is not
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,11 +48,32 @@ def _spread(places: list[tuple[float, float]], k: int, seed: int) -> list[tuple[
     return chosen
 
 
+def _sums_of_starts(batches: Iterator[pd.DataFrame], starts: list[tuple[int, np.ndarray]]) -> Iterator[pd.DataFrame]:
+    """Number, sums of whole coordinates and sum of squared distances by start and nearest centroid of one task."""
+    totals = {t: [np.zeros(len(own), dtype=np.int64) for _ in range(3)] + [np.zeros(len(own))] for t, own in starts}
+    for batch in batches:
+        whole = batch["_x"].to_numpy(np.int64), batch["_y"].to_numpy(np.int64)
+        x, y = (c.astype(float) for c in whole)
+        for t, own in starts:
+            apart = (x[None, :] - own[:, :1]) ** 2 + (y[None, :] - own[:, 1:]) ** 2
+            near = apart.argmin(axis=0)
+            least = apart[near, np.arange(len(near))]
+            count, sum_x, sum_y, cost = totals[t]
+            for i in np.unique(near):
+                mine = near == i
+                count[i] += mine.sum()
+                sum_x[i] += whole[0][mine].sum()
+                sum_y[i] += whole[1][mine].sum()
+                cost[i] += least[mine].sum()
+    for t, (count, sum_x, sum_y, cost) in totals.items():
+        yield pd.DataFrame({"_try": t, "i": np.arange(len(count)), "n": count, "x": sum_x, "y": sum_y, "d": cost})[count > 0]
+
+
 def spatial_clusters(stations: DataFrame, k: int = 8, seed: int = 123, tries: int = 10, rounds: int = 300) -> DataFrame:
     """K-means on (longitude, latitude), best of several starts, labels ordered by centroid.
 
     Each start draws places by hash and begins with ``k`` of them that lie far apart. All starts go on together: a round gives every station the nearest centroid of
-    each start and sums by (start, centroid), so only ``tries * k`` rows reach the driver. It ends when no centroid
+    each start that still moves and sums by (start, centroid) in the tasks, so only ``tries * k`` rows a task are shuffled. It ends when no centroid
     moves (at the latest after ``rounds``); a centroid without stations stays where it is. Equally near: the smaller number;
     equally good starts: the first. Stations without a place have a NULL cluster.
     """
@@ -63,27 +86,32 @@ def spatial_clusters(stations: DataFrame, k: int = 8, seed: int = 123, tries: in
         return stations.withColumn("cluster", F.lit(None).cast("int"))
     centres = {t: _spread(sorted((float(r["_x"]), float(r["_y"])) for r in sorted(first) if r["_try"] == t), k, seed + t) for t in range(tries)}
 
-    def beside(rows: DataFrame, starts: list[list[tuple[float, float]]]) -> DataFrame:
-        """Rows with (``_try``, ``_near``): squared distance and number of the nearest centroid of each start."""
-        held = [[(i, x, y) for i, (x, y) in enumerate(own)] for own in starts]
-        table = rows.sparkSession.createDataFrame([(held,)], "held array<array<struct<i:int,x:double,y:double>>>")
-        # a value and not part of the code, so that no round is compiled anew
-        met = rows.withColumn("_held", table.scalar()).select(*rows.columns, F.posexplode("_held").alias("_try", "_own"))
-        apart = F.transform("_own", lambda c: F.struct((F.pow(F.col("_x") - c["x"], F.lit(2.0)) + F.pow(F.col("_y") - c["y"], F.lit(2.0))).alias("d"), c["i"].alias("i")))
-        return met.withColumn("_near", F.array_min(apart)).drop("_own")
+    def beside(rows: DataFrame, own: list[tuple[float, float]]) -> DataFrame:
+        """Rows with ``_near``: squared distance and number of the nearest centroid."""
+        apart = [F.struct((F.pow(F.col("_x") - x, F.lit(2.0)) + F.pow(F.col("_y") - y, F.lit(2.0))).alias("d"), F.lit(i).alias("i")) for i, (x, y) in enumerate(own)]
+        return rows.withColumn("_near", F.array_min(F.array(*apart)))
 
+    schema = "_try int, i int, n long, x long, y long, d double"
+    sums: dict[int, list] = {}
+    moving = list(range(tries))
     for _ in range(rounds):
-        met = beside(known.select("_x", "_y"), [centres[t] for t in range(tries)])
-        sums = met.groupBy("_try", "_near.i").agg(F.count(F.lit(1)).alias("n"), F.sum("_x").alias("x"), F.sum("_y").alias("y"), F.sum("_near.d").alias("d")).collect()
-        moved = {t: list(own) for t, own in centres.items()}
-        for r in sums:
-            moved[r["_try"]][r["i"]] = (r["x"] / r["n"], r["y"] / r["n"])
-        if moved == centres:
+        # a settled start gives the same sums again
+        starts = [(t, np.array(centres[t])) for t in moving]
+        parts = known.select("_x", "_y").mapInPandas(lambda batches, starts=starts: _sums_of_starts(batches, starts), schema)
+        found = parts.groupBy("_try", "i").agg(*[F.sum(c).alias(c) for c in ("n", "x", "y", "d")]).collect()
+        for t in list(moving):
+            sums[t] = [r for r in found if r["_try"] == t]
+            moved = list(centres[t])
+            for r in sums[t]:
+                moved[r["i"]] = (r["x"] / r["n"], r["y"] / r["n"])
+            if moved == centres[t]:
+                moving.remove(t)
+            centres[t] = moved
+        if not moving:
             break
-        centres = moved
-    costs = [math.fsum(r["d"] for r in sums if r["_try"] == t) for t in range(tries)]
+    costs = [math.fsum(r["d"] for r in sums[t]) for t in range(tries)]
     best = sorted(centres[min(range(tries), key=lambda t: (costs[t], t))])
-    found = beside(placed, [best])
+    found = beside(placed, best)
     return found.withColumn("cluster", F.when(F.col("_x").isNotNull() & F.col("_y").isNotNull(), F.col("_near.i"))).select(*stations.columns, "cluster")
 
 

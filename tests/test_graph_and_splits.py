@@ -151,3 +151,15 @@ def test_clusters(spark):
     df = spark.createDataFrame(pd.DataFrame(rows, columns=["gid", "longitude", "latitude"]))
     got = sampling.spatial_clusters(df, 3, tries=3).toPandas()
     assert (got["gid"] % 10 == got["cluster"]).all()
+
+
+def test_sums_of_starts_are_made_in_the_tasks():
+    import numpy as np
+    import pandas as pd
+
+    batches = [pd.DataFrame({"_x": [0, 4, 10], "_y": [0, 0, 0]}), pd.DataFrame({"_x": [5, 11], "_y": [0, 0]})]
+    starts = [(3, np.array([(0.0, 0.0), (10.0, 0.0), (99.0, 99.0)])), (7, np.array([(5.0, 0.0)]))]
+    (three, seven) = (part.to_numpy().tolist() for part in sampling._sums_of_starts(iter(batches), starts))
+    # 5 is equally near to both: the smaller number; a centroid without stations has no row
+    assert three == [[3, 0, 3, 9, 0, 41], [3, 1, 2, 21, 0, 1]]
+    assert seven == [[7, 0, 5, 30, 0, 25 + 1 + 25 + 36]]
