@@ -9,13 +9,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rainweave.operators.kriging_tiles import SAME_PLACE, TILE, krige_tiled
 from rainweave.operators.spatial import nearest_neighbours
 from rainweave.session import checkpointed
 
-# One solve needs all gauges of its time in memory: n**2 doubles, 128 MB at this bound.
-MAX_GAUGES = 4000
+# One dense solve holds all gauges of its time: n**2 doubles, 32 MB at this bound; beyond it a time is solved in tiles.
+DENSE_GAUGES = 2048
 TARGETS_PER_BLOCK = 4096
-SAME_PLACE = 1e-10
 
 
 def semivariance(d: np.ndarray, model: str, sill: float, span: float, nugget: float) -> np.ndarray:
@@ -95,16 +95,41 @@ def fit_variogram(bins: DataFrame, model: str = "exponential") -> dict:
 
 def krige(points: DataFrame, targets: DataFrame, target_id: str, value: str, variogram: dict, time: str = "time_sgt",
           drift: str | Sequence[str] | None = None, x: str = "longitude", y: str = "latitude",
-          max_gauges: int = MAX_GAUGES) -> DataFrame:
+          max_gauges: int | None = None, dense_gauges: int = DENSE_GAUGES, tile: int = TILE) -> DataFrame:
     """Estimate ``z`` and ``variance`` at each (time, target); columns time, target_id, z, variance.
 
     ``drift``: None (ordinary), ``"linear"`` (trend in the coordinates), or names of columns
     present on both sides (external drift). A time without gauges, or with zeros only, gives no
-    rows. A gauge without drift is left out, a target without drift has a NULL estimate. Every time is one dense solve by definition; targets are split in blocks. More gauges
-    at one time than ``max_gauges`` raise an error instead of exhausting a task.
+    rows. A gauge without drift is left out, a target without drift has a NULL estimate. A time of up to ``dense_gauges`` is one dense
+    solve per block of targets; one with more is solved in tiles (``krige_tiled``), from all its gauges too. More gauges
+    at one time than ``max_gauges``, where given, raise an error.
     """
     names = [] if drift is None or drift == "linear" else [drift] if isinstance(drift, str) else list(drift)
     known = points.where(F.col(value).isNotNull()).dropna(subset=names or None, how="any" if names else "all").select(time, x, y, value, *names)
+    counts = known.groupBy(time).agg(F.count(F.lit(1)).alias("_gauges"), F.max(F.col(value) != 0).alias("_rainy"))
+    crowded = checkpointed(counts.where(F.col("_rainy") & (F.col("_gauges") > dense_gauges)).select(time, "_gauges"))
+    most = crowded.agg(F.max("_gauges")).first()[0]
+    if most is None:
+        return _krige_dense(known, targets, target_id, value, variogram, time, drift, names, x, y, max_gauges)
+    if max_gauges is not None and most > max_gauges:
+        raise ValueError(f"{most} gauges at one time, more than max_gauges={max_gauges}")
+    many, few = ([df.join(crowded.select(time), time, how) for df in (known, targets)] for how in ("left_semi", "left_anti"))
+    dense = _krige_dense(*few, target_id, value, variogram, time, drift, names, x, y, max_gauges)
+    ceiling = variogram["nugget"] + variogram["sill"]
+    if variogram["model"] == "linear":
+        # no sill: twice what the box of the gauges allows keeps the covariances positive definite
+        box = many[0].agg(*[F.max(c) - F.min(c) for c in (x, y)]).first()
+        ceiling = variogram["nugget"] + 2 * variogram["span"] * float(np.hypot(*box))
+    tiled = krige_tiled(*many, target_id, value, lambda d: _gamma(d, variogram), ceiling, time, [x, y] if drift == "linear" else names, x, y, tile)
+    return dense.unionByName(tiled)
+
+
+def _gamma(d: np.ndarray, variogram: dict) -> np.ndarray:
+    return np.where(d <= SAME_PLACE, 0.0, semivariance(d, *[variogram[k] for k in ("model", "sill", "span", "nugget")]))
+
+
+def _krige_dense(known: DataFrame, targets: DataFrame, target_id: str, value: str, variogram: dict, time: str, drift, names: Sequence[str],
+                 x: str, y: str, max_gauges: int | None) -> DataFrame:
     blocks = targets.groupBy(time).agg(F.ceil(F.count(F.lit(1)) / TARGETS_PER_BLOCK).alias("_n"))
     asked = targets.join(blocks, time).select(
         time, F.pmod(F.xxhash64(target_id), F.col("_n")).alias("_block"), target_id, x, y, *names
@@ -121,7 +146,7 @@ def krige(points: DataFrame, targets: DataFrame, target_id: str, value: str, var
         empty = pd.DataFrame({time: [], target_id: [], "z": [], "variance": []})
         if len(target) == 0 or len(gauge) == 0 or not (gauge[value] != 0).any():
             return target[[time, target_id]].iloc[:0].assign(z=0.0, variance=0.0) if len(target) else empty
-        if len(gauge) > max_gauges:
+        if max_gauges is not None and len(gauge) > max_gauges:
             raise ValueError(f"{len(gauge)} gauges at one time, more than max_gauges={max_gauges}")
         gx, gy, z = (gauge[c].to_numpy(float) for c in (x, y, value))
         tx, ty = target[x].to_numpy(float), target[y].to_numpy(float)
@@ -134,16 +159,11 @@ def krige(points: DataFrame, targets: DataFrame, target_id: str, value: str, var
             trend_g.append(gauge[name].to_numpy(float))
             trend_t.append(target[name].to_numpy(float))
         m = len(trend_g)
-        shape = {k: variogram[k] for k in ("model", "sill", "span", "nugget")}
-
-        def gamma(d):
-            return np.where(d <= SAME_PLACE, 0.0, semivariance(d, shape["model"], shape["sill"], shape["span"], shape["nugget"]))
-
         left = np.zeros((n + m, n + m))
-        left[:n, :n] = gamma(np.hypot(gx[:, None] - gx, gy[:, None] - gy))
+        left[:n, :n] = _gamma(np.hypot(gx[:, None] - gx, gy[:, None] - gy), variogram)
         left[:n, n:] = np.array(trend_g).T
         left[n:, :n] = np.array(trend_g)
-        right = np.vstack([gamma(np.hypot(gx[:, None] - tx, gy[:, None] - ty)), np.array(trend_t)])
+        right = np.vstack([_gamma(np.hypot(gx[:, None] - tx, gy[:, None] - ty), variogram), np.array(trend_t)])
         weights = np.linalg.pinv(left) @ right
         return pd.DataFrame({
             time: target[time].to_numpy(), target_id: target[target_id].to_numpy(),

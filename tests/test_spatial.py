@@ -375,3 +375,31 @@ def test_coverage_equals_all_distances(spark, reach):
     assert {r.cell: r.covered for r in got.collect()} == want and any(want.values())
     with pytest.raises(ValueError):
         spatial.link_squares(got, -1.0)
+
+
+@pytest.mark.parametrize("model, drift", [("exponential", None), ("linear", "linear"), ("spherical", "radar")])
+def test_many_gauges_are_solved_in_tiles(spark, model, drift):
+    # gauges of a time beyond one dense solve; two of them at one place, a time of zeros, a small time, targets without drift
+    rng = np.random.default_rng(3)
+    shape = {"model": model, "sill": 0.0 if model == "linear" else 4.0, "span": 0.3, "nugget": 0.2}
+    xy, radar = rng.random((45, 2)), rng.random(45)
+    xy[7], radar[7] = xy[3], radar[3]
+    rows = [(t, i, *map(float, xy[i]), 0.0 if t == "b" else float(3 * xy[i, 0] + rng.random()), float(radar[i])) for t, n in (("a", 45), ("b", 45), ("c", 12)) for i in range(n)]
+    p = spark.createDataFrame(rows, "time_sgt string, gid long, longitude double, latitude double, z double, radar double")
+    places = [*map(tuple, rng.random((16, 2))), tuple(xy[3])]
+    t = spark.createDataFrame([(d, k, float(a), float(b), None if k == 5 else float(k) / 20) for d in "abcd" for k, (a, b) in enumerate(places)],
+                              "time_sgt string, cell long, longitude double, latitude double, radar double")
+
+    def got(**options):
+        return kriging.krige(p, t, "cell", "z", shape, drift=drift, **options).toPandas().sort_values(["time_sgt", "cell"], ignore_index=True)
+
+    whole, tiled = got(), got(dense_gauges=20, tile=16)
+    assert tiled[["time_sgt", "cell"]].equals(whole[["time_sgt", "cell"]]) and set(tiled.time_sgt) == {"a", "c"}
+    assert np.allclose(tiled[["z", "variance"]], whole[["z", "variance"]], atol=1e-8, equal_nan=True)
+    assert tiled.z.isna().sum() == (2 if drift == "radar" else 0)
+
+
+def test_a_flat_variogram_in_tiles_gives_the_mean(spark):
+    got = kriging.krige(*[spark.createDataFrame(PLANE, f"time_sgt string, {c} long, longitude double, latitude double, z double") for c in ("gid", "cell")],
+                        "cell", "z", SHAPE | {"sill": 0.0}, dense_gauges=5, tile=6).toPandas()
+    assert len(got) == 20 and np.allclose(got["z"], np.mean([r[4] for r in PLANE])) and np.allclose(got["variance"], 0)
