@@ -10,13 +10,6 @@ from pyspark.sql import functions as F
 from rainweave.operators.partitioned import row_position
 
 
-def require_unique(df: DataFrame, keys: Sequence[str], checked: Column) -> Column:
-    """``checked`` inside a ``groupBy(keys)``: raises when a group has more than one row."""
-    return F.when(
-        F.count(F.lit(1)) > 1, F.raise_error(F.concat(F.lit("duplicate entries for "), F.lit(", ".join(keys))))
-    ).otherwise(checked)
-
-
 def to_wide(df: DataFrame, index: Sequence[str], columns: str, value: str, names: Sequence, unique: bool = True) -> DataFrame:
     """One column per name in ``names``; a second row for one cell raises when ``unique``, any other name always.
 
@@ -24,12 +17,16 @@ def to_wide(df: DataFrame, index: Sequence[str], columns: str, value: str, names
     inside a plan: the wide form is for hand-over to wide consumers.
     """
     unlisted = F.raise_error(F.concat(F.lit(f"a name in {columns} is not listed: "), F.coalesce(F.col(columns).cast("string"), F.lit("NULL"))))
-    source = df.withColumn(columns, F.when(F.col(columns).isin(list(names)), F.col(columns)).otherwise(unlisted))
-    if unique:
-        source = source.groupBy(*index, columns).agg(
-            require_unique(df, [*index, columns], F.max(value)).alias(value)
-        )
-    return source.groupBy(*index).pivot(columns, list(names)).agg(F.max(value))
+    source = df.withColumn("_name", F.when(F.col(columns).isin(list(names)), F.col(columns)).otherwise(unlisted))
+    repeated = F.raise_error(F.concat(F.lit("duplicate entries for "), F.lit(", ".join([*index, columns]))))
+
+    def cell(name):
+        found = F.col("_name") == F.lit(name)
+        largest = F.max(F.when(found, F.col(value)))
+        return F.when(F.count_if(found) > 1, repeated).otherwise(largest) if unique else largest
+
+    # one aggregation for the check and all columns, so a task holds one hash table and rows are shuffled once
+    return source.groupBy(*index).agg(*[cell(name).alias(str(name)) for name in names])
 
 
 def to_long(df: DataFrame, index: Sequence[str], names: Sequence[str], variable: str, value: str) -> DataFrame:

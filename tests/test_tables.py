@@ -116,3 +116,11 @@ def test_early_stop(spark):
     assert [r.stale for r in rows] == [0, 0, 0, 1, 2, 3, 0]
     row = traininglog.summarise_training(got, ["run"]).first()
     assert (row.epochs, row.best_val_loss, row.best_epoch, row.stop_epoch) == (6, 4.0, 2, 6)
+
+
+def test_wide_form_is_one_shuffle(spark):
+    df = spark.createDataFrame([(1, "a", 2.0), (1, "b", None), (2, "b", 3.0)], "t int, gid string, v double").repartition(3)
+    wide = reshape.to_wide(df, ["t"], "gid", "v", ["a", "b"])
+    assert sorted(map(tuple, wide.collect())) == [(1, 2.0, None), (2, None, 3.0)]
+    plan = wide._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate") == 1
