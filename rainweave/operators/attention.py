@@ -7,15 +7,24 @@ with very many neighbours is pre-aggregated before the shuffle.
 
 from __future__ import annotations
 
+import math
+import sys
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rainweave.functions.activation import activation
 from rainweave.operators.graph import linear
 from rainweave.session import checkpointed
 
+# times of a node that travel as one row of arrays
+TIMES_PER_ROW = 16
+# messages in one task of an attention layer
+MESSAGES_PER_TASK = 1 << 20
+# scores whose exponentials are summed together lie within half of this of their anchor
+SCORE_SPAN = 32.0
+
 
 def _by_relation(relations: Mapping[str, Mapping], value: Callable[[Mapping], Column]) -> Column:
     chosen = F.lit(None).cast("double")
@@ -31,23 +40,33 @@ def _width(relations: Mapping[str, Mapping]) -> int:
     return widths.pop()
 
 
-def _combined(features: DataFrame, received: DataFrame, relations: Mapping[str, Mapping], time: str, combine: str, act: str) -> DataFrame:
-    """Sum or mean over the relations that lead to a kind; a relation without a message gives its bias."""
-    width = _width(relations)
-    outputs = [f"h{i}" for i in range(width)]
-    summed = received.groupBy(time, "kind", "node").agg(*[F.sum(h).alias(h) for h in outputs])
+def _targets(relations: Mapping[str, Mapping]) -> dict[str, list[Mapping]]:
+    """Relations by the kind that they lead to."""
     kinds: dict[str, list[Mapping]] = {}
     for relation in relations.values():
         kinds.setdefault(relation["kinds"][1], []).append(relation)
-    joined = features.where(F.col("kind").isin(list(kinds))).select(time, "kind", "node").join(summed, [time, "kind", "node"], "left")
+    return kinds
+
+
+def _activated(summed: DataFrame, relations: Mapping[str, Mapping], time: str, combine: str, act: str) -> DataFrame:
+    """Outputs from the sums of the relations (NULL: none had a message): biases, mean over relations, activation."""
+    width = _width(relations)
     columns = []
-    for i, h in enumerate(outputs):
+    for i in range(width):
+        h = f"h{i}"
         shift, share = F.lit(None).cast("double"), F.lit(None).cast("double")
-        for kind, own in kinds.items():
+        for kind, own in _targets(relations).items():
             shift = F.when(F.col("kind") == kind, float(sum(r.get("bias", [0.0] * width)[i] for r in own))).otherwise(shift)
             share = F.when(F.col("kind") == kind, float(len(own) if combine == "mean" else 1)).otherwise(share)
         columns.append(activation((F.coalesce(h, F.lit(0.0)) + shift) / share, act).alias(h))
-    return joined.select(time, "kind", "node", *columns)
+    return summed.select(time, "kind", "node", *columns)
+
+
+def _combined(features: DataFrame, received: DataFrame, relations: Mapping[str, Mapping], time: str, combine: str, act: str) -> DataFrame:
+    """Sum or mean over the relations that lead to a kind; a relation without a message gives its bias."""
+    summed = received.groupBy(time, "kind", "node").agg(*[F.sum(f"h{i}").alias(f"h{i}") for i in range(_width(relations))])
+    asked = features.where(F.col("kind").isin(list(_targets(relations)))).select(time, "kind", "node")
+    return _activated(asked.join(summed, [time, "kind", "node"], "left"), relations, time, combine, act)
 
 
 def attention_layer(features: DataFrame, edges: DataFrame, dims: Sequence[str], relations: Mapping[str, Mapping], scoring: str = "joint",
@@ -59,16 +78,39 @@ def attention_layer(features: DataFrame, edges: DataFrame, dims: Sequence[str],
     source and target and ``e`` the weighted distance, the score of an edge is ``attention . leaky(s + t + e)`` when
     ``scoring`` is ``joint``, and ``leaky(attend_source . s + attend_target . t + attend_edge . e)`` when it is ``split``.
     Scores are made shares by a softmax per time, target and relation, without self loops; the output is the sum of the shares times
-    ``s``, plus the bias; relations are combined by ``mean`` or ``sum``. A message needs features of both ends at the time.
+    ``s``, plus the bias; relations are combined by ``mean`` or ``sum``. A message needs features of both ends at the time;
+    features have one row per time and node.
+
+    Messages cross the network once: the times of a node travel in rows of arrays, a chunk of times each, and meet the
+    same chunk of their target, where everything else is summed. Exponentials are summed per anchor, a multiple of
+    ``SCORE_SPAN`` near the score, and the sums of a target are then scaled to its largest anchor, so no score overflows and
+    none is needed twice. Tasks follow the number of messages.
     """
     if scoring not in ("joint", "split"):
         raise ValueError("scoring must be 'joint' or 'split'")
     width = _width(relations)
-    outputs, values = [f"h{i}" for i in range(width)], [F.col(d) for d in dims]
-    sources = features.select(F.col(time), F.col("kind").alias("src_kind"), F.col("node").alias("src"), *dims)
-    targets = features.select(F.col(time), F.col("kind").alias("dst_kind"), F.col("node").alias("dst"), *[F.col(d).alias(f"_t_{d}") for d in dims])
-    known = edges.where(F.col("edge_type").isin(list(relations))).select("edge_type", "src_kind", "src", "dst_kind", "dst", F.col("dist").cast("double").alias("dist"))
-    both = known.join(sources, ["src_kind", "src"]).join(targets, [time, "dst_kind", "dst"])
+    outputs, values = [f"h{i}" for i in range(width)], [F.col(f"_s_{d}") for d in dims]
+    features = checkpointed(features.select(time, "kind", "node", *dims))
+    known = checkpointed(edges.where(F.col("edge_type").isin(list(relations))).select("edge_type", "src_kind", "src", "dst_kind", "dst", F.col("dist").cast("double").alias("dist")))
+    rows, nodes, times = features.agg(F.count(F.lit(1)), F.approx_count_distinct(F.struct("kind", "node")), F.approx_count_distinct(time)).first()
+    tasks = math.ceil((known.count() * rows / max(nodes, 1) + rows) / MESSAGES_PER_TASK) or 1
+    chunk = F.pmod(F.xxhash64(time), F.lit(math.ceil(times / TIMES_PER_ROW) or 1))
+    nested = features.withColumn("_chunk", chunk).repartition("kind", "node").groupBy("kind", "node", "_chunk").agg(F.collect_list(F.struct(time, *dims)).alias("_rows"))
+
+    def packed(end: str, prefix: str) -> DataFrame:
+        return nested.select(F.col("kind").alias(f"{end}_kind"), F.col("node").alias(end), "_chunk", *[F.col(f"_rows.{c}").alias(f"{prefix}{c}") for c in (time, *dims)])
+
+    place = ["dst_kind", "dst", "_chunk"]
+    targets = packed("dst", "_t_").where(F.col("dst_kind").isin(list(_targets(relations))))
+    sent = known.join(packed("src", "_all_"), ["src_kind", "src"]).drop("src_kind", "src")
+    # a target without messages gets one of no relation, so that it has a row
+    sent = sent.unionByName(targets.select(*place), allowMissingColumns=True)
+    both = sent.repartition(tasks, *place).join(targets.repartition(tasks, *place), place)
+    both = both.select(*place, "edge_type", "dist", *[f"_all_{c}" for c in (time, *dims)], F.explode(F.arrays_zip(*[f"_t_{c}" for c in (time, *dims)])).alias("_row"))
+    at = F.array_position(f"_all_{time}", F.col(f"_row._t_{time}")).cast("int") - 1
+    both = both.select(
+        "_chunk", F.col(f"_row._t_{time}").alias(time), F.col("dst_kind").alias("kind"), F.col("dst").alias("node"), "edge_type", "dist",
+        *[F.get(f"_all_{d}", at).alias(f"_s_{d}") for d in dims], *[F.col(f"_row._t_{d}").alias(f"_t_{d}") for d in dims])
 
     def leaky(x: Column) -> Column:
         return F.when(x >= 0, x).otherwise(x * slope)
@@ -83,12 +125,17 @@ def attention_layer(features: DataFrame, edges: DataFrame, dims: Sequence[str],
         return leaky(parts[0] + parts[1] + parts[2])
 
     mapped = {h: _by_relation(relations, lambda r, i=i: linear(values, r["source"], r.get("source_bias"))[i]) for i, h in enumerate(outputs)}
-    scored = both.select(time, "edge_type", F.col("dst_kind").alias("kind"), F.col("dst").alias("node"), _by_relation(relations, score).alias("_score"), *[c.alias(h) for h, c in mapped.items()])
-    segment = [time, "kind", "node", "edge_type"]
-    top = scored.groupBy(*segment).agg(F.max("_score").alias("_top"))
-    share = F.exp(F.col("_score") - F.col("_top"))
-    received = scored.join(top, segment).groupBy(*segment).agg(*[(F.sum(share * F.col(h)) / F.sum(share)).alias(h) for h in outputs])
-    return _combined(features, received, relations, time, combine, act)
+    target = ["_chunk", time, "kind", "node"]
+    scored = both.select(*target, "edge_type", _by_relation(relations, score).alias("_score"), *[c.alias(h) for h, c in mapped.items()])
+    # finite even where a score is minus infinity
+    anchor = F.greatest(F.rint(F.col("_score") / SCORE_SPAN) * SCORE_SPAN, F.lit(-sys.float_info.max))
+    weight = F.exp(F.col("_score") - F.col("_anchor"))
+    sums = scored.withColumn("_anchor", anchor).groupBy(*target, "edge_type", "_anchor").agg(F.sum(weight).alias("_norm"), *[F.sum(weight * F.col(h)).alias(h) for h in outputs])
+    scale = F.exp(F.col("_anchor") - F.max("_anchor").over(Window.partitionBy(*target, "edge_type")))
+    norm = F.sum(F.col("_scale") * F.col("_norm"))
+    norm = F.when(norm == 0, float("nan")).otherwise(norm)
+    received = sums.withColumn("_scale", scale).groupBy(*target, "edge_type").agg(*[(F.sum(F.col("_scale") * F.col(h)) / norm).alias(h) for h in outputs])
+    return _activated(received.groupBy(*target).agg(*[F.sum(h).alias(h) for h in outputs]), relations, time, combine, act)
 
 
 def relation_weights(edges: DataFrame, nodes: DataFrame, relations: Mapping[str, Mapping], weight: Column | None = None) -> DataFrame:

@@ -114,3 +114,28 @@ def test_normalised_relations_equal_loops(spark):
             total = [v + b + sum(w * y for w, y in zip(row, x)) for v, b, row in zip(total, relations[name]["bias"], relations[name]["source"])]
         assert h == pytest.approx([max(0.0, v / len(own)) for v in total])
     assert {k for k in got} == {k for k in features if k[1] in "abc"}
+
+
+@pytest.mark.parametrize("joint", [True, False])
+def test_messages_meet_their_two_ends_once(spark, joint):
+    relations, features, edges = graph(5)
+    f, e = tables(spark, features, edges)
+    got = attention.attention_layer(f, e, ["x", "y"], relations, scoring="joint" if joint else "split")
+    text = got._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("Join ") == 2
+
+
+def test_scores_far_apart_and_many_times(spark):
+    """Twenty neighbours with scores some hundreds apart, at more times than one row of arrays holds."""
+    r = {"kinds": ("a", "b"), "source": [[1.0]], "target": [[0.0]], "edge": [1.0], "attention": [1.0]}
+    times = 3 * attention.TIMES_PER_ROW
+    f = spark.createDataFrame([(t, "a", n, 40.0 * n - 400 + t / 7) for t in range(times) for n in range(20) if (t + n) % 3] + [(t, "b", 0, 1.0) for t in range(times)],
+                              "time_sgt int, kind string, node int, x double")
+    e = spark.createDataFrame([("ab", "a", n, "b", 0, n % 4 * 30.0) for n in range(20)], "edge_type string, src_kind string, src int, dst_kind string, dst int, dist double")
+    rows = attention.attention_layer(f, e, ["x"], {"ab": r}, act="identity", slope=1.0).collect()
+    assert len(rows) == times
+    for row in rows:
+        x = {n: 40.0 * n - 400 + row.time_sgt / 7 for n in range(20) if (row.time_sgt + n) % 3}
+        top = max(v + n % 4 * 30.0 for n, v in x.items())
+        share = {n: math.exp(v + n % 4 * 30.0 - top) for n, v in x.items()}
+        assert row.h0 == pytest.approx(sum(share[n] * x[n] for n in x) / sum(share.values()), rel=1e-12)
