@@ -21,6 +21,8 @@ LEAF_SITES = 32
 SQUARE_ROWS = 512
 # sources in one task: each carries some ten squares and a few hundred pairs at once, about 30 KB
 SOURCES_PER_TASK = 2048
+# squares of a level (or sites, in groups) up to which a level is taken to join without a shuffle
+FEW_SQUARES = 4096
 # 4**12 cells per axis: about 3 cm over a 500 km box
 MAX_DEPTH = 12
 
@@ -144,11 +146,19 @@ def nearest_neighbours(sources: DataFrame, targets: DataFrame, k: int, source_id
     asked = checkpointed(sources.select(*by, *source_id, F.col(x).cast("double").alias("_sx"), F.col(y).cast("double").alias("_sy")).where(
         F.col("_sx").isNotNull() & F.col("_sy").isNotNull()
     ))
-    asked = asked.repartition(math.ceil(asked.count() / SOURCES_PER_TASK) or 1, *by, *source_id)
+    tasks = math.ceil(asked.count() / SOURCES_PER_TASK) or 1
+
+    def dealt(df: DataFrame) -> DataFrame:
+        """Sources over tasks by their number; adaptive execution would merge them by their few bytes after a join by square."""
+        return df.repartition(tasks, *by, *source_id)
+
+    asked = dealt(asked)
     line = Window.partitionBy(*by, *source_id)
     zero = F.lit(0.0)
 
-    def pruned(front: DataFrame) -> DataFrame:
+    def pruned(front: DataFrame, level: int) -> DataFrame:
+        if tasks > 1 and min(n_sites, FEW_SQUARES + 1 if by else 16**level) > FEW_SQUARES:
+            front = dealt(front)
         known = F.sum("_points").over(line.orderBy("_far").rangeBetween(Window.unboundedPreceding, 0))
         within = F.col("_bound").isNull() | (F.col("_near") <= F.col("_bound"))
         # first by the bound of the level above, which spares most rows the sort
@@ -183,7 +193,7 @@ def nearest_neighbours(sources: DataFrame, targets: DataFrame, k: int, source_id
         parts = F.sequence(F.lit(0).cast("long"), F.lit(3).cast("long"))
         opened = asked.withColumn("_i", F.explode(parts)).withColumn("_j", F.explode(parts)).join(squares(1), ["_i", "_j"])
         near, far = edges("")
-        front = pruned(opened.withColumns({"_level": F.lit(1), "_near": near, "_far": far, "_bound": F.lit(None).cast("double")}).select(*state))
+        front = pruned(opened.withColumns({"_level": F.lit(1), "_near": near, "_far": far, "_bound": F.lit(None).cast("double")}).select(*state), 1)
     # an impossible square number for finished rows, spread so that they share no partition
     nowhere = -1 - F.pmod(F.xxhash64(*by, *source_id), F.lit(1 << 20))
     for level in range(start, depth):
@@ -205,7 +215,8 @@ def nearest_neighbours(sources: DataFrame, targets: DataFrame, k: int, source_id
                 F.when(is_child, near).otherwise(F.col("_near")).alias("_near"),
                 F.when(is_child, far).otherwise(F.col("_far")).alias("_far"),
                 F.coalesce("_c_points", "_points").alias("_points"), "_bound",
-            )
+            ),
+            level + 1,
         )
     levelled = placed(sites.withColumn("_level", F.explode(F.sequence(F.lit(0), F.lit(depth)))), F.col("_level"))
     distance = straight_distance(F.col("_sx"), F.col("_sy"), F.col("_x"), F.col("_y"))
@@ -220,6 +231,8 @@ def nearest_neighbours(sources: DataFrame, targets: DataFrame, k: int, source_id
         pairs = pairs.where(F.col(source_id[0]) != F.col(target_id))
     if max_distance is not None:
         pairs = pairs.where(F.col("dist") < max_distance)
+    if tasks > 1:
+        pairs = dealt(pairs)
     rank = F.row_number().over(line.orderBy("dist", target_id))
     return pairs.withColumn("rank", rank).where(F.col("rank") <= k)
 

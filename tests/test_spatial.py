@@ -75,6 +75,27 @@ def test_neighbour_tasks_follow_the_number_of_sources(spark, monkeypatch):
     assert sizes.sum() == len(data) and sizes.max() <= 64
 
 
+@pytest.mark.parametrize("groups", [1, 2])
+def test_neighbour_tasks_stay_dealt_after_a_join_by_square(spark, monkeypatch, groups):
+    # with many squares a level is joined by a shuffle, after which adaptive execution merged the sources by their few bytes
+    for name, value in (("SOURCES_PER_TASK", 16), ("FEW_SQUARES", 16), ("LEAF_SITES", 2)):
+        monkeypatch.setattr(spatial, name, value, raising=False)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        data = crowd(700, 5, groups)
+        by = ["g"] if groups > 1 else []
+        s = spark.createDataFrame(data).withColumnRenamed("id", "src")
+        got = spatial.nearest_neighbours(s, spark.createDataFrame(data).withColumnRenamed("id", "dst"), 3, ["src"], "dst", by)
+        rows = got.withColumn("task", F.spark_partition_id()).toPandas()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    sizes = rows.groupby("task")["src"].nunique()
+    assert sizes.sum() == len(data) and sizes.max() <= 64
+    found = {i: g.sort_values("rank")["dst"].tolist() for i, g in rows.groupby("src")}
+    assert found == brute_knn(data, data, 3, "g" if by else None, False, None)
+
+
 def test_small_leaves_give_the_same(spark, monkeypatch):
     monkeypatch.setattr(spatial, "LEAF_SITES", 2)
     data = crowd(300, 8)
