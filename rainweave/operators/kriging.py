@@ -9,12 +9,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rainweave.operators.kriging_packed import krige_packed
 from rainweave.operators.kriging_tiles import SAME_PLACE, TILE, krige_tiled
 from rainweave.operators.spatial import nearest_neighbours
 from rainweave.session import checkpointed
 
-# One dense solve holds all gauges of its time: n**2 doubles, 32 MB at this bound; beyond it a time is solved in tiles.
+# One dense solve holds all gauges of its time: n**2 doubles, 32 MB at this bound; beyond it a time is a factor of thin matrices in the memory
+# of one task, and beyond the second bound one in tiles that are written.
 DENSE_GAUGES = 2048
+PACKED_GAUGES = 65536
 TARGETS_PER_BLOCK = 4096
 
 
@@ -95,33 +98,67 @@ def fit_variogram(bins: DataFrame, model: str = "exponential") -> dict:
 
 def krige(points: DataFrame, targets: DataFrame, target_id: str, value: str, variogram: dict, time: str = "time_sgt",
           drift: str | Sequence[str] | None = None, x: str = "longitude", y: str = "latitude",
-          max_gauges: int | None = None, dense_gauges: int = DENSE_GAUGES, tile: int = TILE) -> DataFrame:
+          max_gauges: int | None = None, dense_gauges: int = DENSE_GAUGES, tile: int = TILE, packed_gauges: int = PACKED_GAUGES) -> DataFrame:
     """Estimate ``z`` and ``variance`` at each (time, target); columns time, target_id, z, variance.
 
     ``drift``: None (ordinary), ``"linear"`` (trend in the coordinates), or names of columns
     present on both sides (external drift). A time without gauges, or with zeros only, gives no
     rows. A gauge without drift is left out, a target without drift has a NULL estimate. A time of up to ``dense_gauges`` is one dense
-    solve per block of targets; one with more is solved in tiles (``krige_tiled``), from all its gauges too. More gauges
-    at one time than ``max_gauges``, where given, raise an error.
+    solve per block of targets; one of up to ``packed_gauges`` is one factor of thin matrices per block of targets (``krige_packed``), and one with more
+    is solved in tiles (``krige_tiled``), from all its gauges too. More gauges at one time than ``max_gauges``, where given, raise an error.
     """
     names = [] if drift is None or drift == "linear" else [drift] if isinstance(drift, str) else list(drift)
     known = points.where(F.col(value).isNotNull()).dropna(subset=names or None, how="any" if names else "all").select(time, x, y, value, *names)
     counts = known.groupBy(time).agg(F.count(F.lit(1)).alias("_gauges"), F.max(F.col(value) != 0).alias("_rainy"))
     crowded = checkpointed(counts.where(F.col("_rainy") & (F.col("_gauges") > dense_gauges)).select(time, "_gauges"))
-    most = crowded.agg(F.max("_gauges")).first()[0]
+    fewest, most = crowded.agg(F.min("_gauges"), F.max("_gauges")).first()
     if most is None:
         return _krige_dense(known, targets, target_id, value, variogram, time, drift, names, x, y, max_gauges)
     if max_gauges is not None and most > max_gauges:
         raise ValueError(f"{most} gauges at one time, more than max_gauges={max_gauges}")
-    many, few = ([df.join(crowded.select(time), time, how) for df in (known, targets)] for how in ("left_semi", "left_anti"))
-    dense = _krige_dense(*few, target_id, value, variogram, time, drift, names, x, y, max_gauges)
-    ceiling = variogram["nugget"] + variogram["sill"]
-    if variogram["model"] == "linear":
-        # no sill: twice what the box of the gauges allows keeps the covariances positive definite
-        box = many[0].agg(*[F.max(c) - F.min(c) for c in (x, y)]).first()
-        ceiling = variogram["nugget"] + 2 * variogram["span"] * float(np.hypot(*box))
-    tiled = krige_tiled(*many, target_id, value, lambda d: _gamma(d, variogram), ceiling, time, [x, y] if drift == "linear" else names, x, y, tile)
-    return dense.unionByName(tiled)
+
+    def share(times, how="left_semi"):
+        return [df.join(times.select(time), time, how) for df in (known, targets)]
+
+    made = _krige_dense(*share(crowded, "left_anti"), target_id, value, variogram, time, drift, names, x, y, max_gauges)
+    trends = [x, y] if drift == "linear" else names
+    if fewest <= packed_gauges:
+        packed = [checkpointed(df) for df in share(crowded.where(F.col("_gauges") <= packed_gauges))]
+        made = made.unionByName(krige_packed(*packed, target_id, value, lambda gx, gy: _covariances(variogram, np.hypot(np.ptp(gx), np.ptp(gy))), time, trends, x, y))
+    if most > packed_gauges:
+        many = share(crowded.where(F.col("_gauges") > packed_gauges))
+        box = many[0].agg(*[F.max(c) - F.min(c) for c in (x, y)]).first() if variogram["model"] == "linear" else (0.0, 0.0)
+        made = made.unionByName(krige_tiled(
+            *many, target_id, value, lambda d: _gamma(d, variogram), _ceiling(variogram, float(np.hypot(*box))), time, trends, x, y, tile))
+    return made
+
+
+def _ceiling(variogram: dict, reach: float) -> float:
+    """The variance. ``linear`` has no sill: twice what the box of the gauges, ``reach`` from corner to corner, allows keeps the covariances positive definite."""
+    return variogram["nugget"] + (2 * variogram["span"] * reach if variogram["model"] == "linear" else variogram["sill"])
+
+
+def _covariances(variogram: dict, reach: float):
+    """The function from distances to covariances, and the variance: what ``_gamma`` leaves of the variance, without the rounding of a large nugget."""
+    model, sill, span = (variogram[k] for k in ("model", "sill", "span"))
+    ceiling = _ceiling(variogram, reach or 1.0)
+
+    def covariance(d: np.ndarray) -> np.ndarray:
+        if model == "exponential":
+            c = np.exp(d * (-3 / span))
+        elif model == "gaussian":
+            c = np.exp(-((7 * d / (4 * span)) ** 2))
+        elif model == "linear":
+            c = d * -span
+            c += ceiling - variogram["nugget"]
+        else:
+            c = 1 - semivariance(d, model, 1.0, span, 0.0)
+        if model != "linear":
+            c *= sill
+        c[d <= SAME_PLACE] = ceiling
+        return c
+
+    return covariance, ceiling
 
 
 def _gamma(d: np.ndarray, variogram: dict) -> np.ndarray:

@@ -1,10 +1,13 @@
+import os
+
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from rainweave.functions.geo import KM_PER_DEGREE
-from rainweave.operators import gridding, kriging, spatial
+from rainweave.operators import gridding, kriging, kriging_packed, spatial
+from rainweave.session import checkpoint_folder
 
 
 def crowd(n, seed, groups=1):
@@ -424,3 +427,107 @@ def test_a_flat_variogram_in_tiles_gives_the_mean(spark):
     got = kriging.krige(*[spark.createDataFrame(PLANE, f"time_sgt string, {c} long, longitude double, latitude double, z double") for c in ("gid", "cell")],
                         "cell", "z", SHAPE | {"sill": 0.0}, dense_gauges=5, tile=6).toPandas()
     assert len(got) == 20 and np.allclose(got["z"], np.mean([r[4] for r in PLANE])) and np.allclose(got["variance"], 0)
+
+
+def plain_kriging(shape, gauges, targets, trend_g=(), trend_t=()):
+    """One dense solve by numpy; gauges (x, y, z), targets (x, y), all at places of their own."""
+    (gx, gy, z), (tx, ty) = (np.asarray(a, float).T for a in (gauges, targets))
+
+    def gamma(x, y):
+        d = np.hypot(gx[:, None] - x, gy[:, None] - y)
+        return np.where(d <= 1e-10, 0.0, kriging.semivariance(d, *[shape[k] for k in ("model", "sill", "span", "nugget")]))
+
+    f, g = (np.column_stack([np.ones(n), *t]) for n, t in ((len(gx), trend_g), (len(tx), trend_t)))
+    left = np.block([[gamma(gx, gy), f], [f.T, np.zeros((f.shape[1],) * 2)]])
+    right = np.vstack([gamma(tx, ty), g.T])
+    w = np.linalg.solve(left, right)
+    return z @ w[:len(z)], np.sum(w * right, axis=0)
+
+
+@pytest.mark.parametrize("trend", [False, True])
+@pytest.mark.parametrize("model, nugget", [("exponential", 0.0), ("exponential", 900.0), ("spherical", 0.5), ("linear", 0.1), ("gaussian", 0.5)])
+def test_a_packed_factor_equals_a_plain_solve(model, nugget, trend):
+    rng = np.random.default_rng(5)
+    shape = {"model": model, "sill": 0.0 if model == "linear" else 4.0, "span": 0.4, "nugget": nugget}
+    xyz, to = rng.random((350, 3)), np.vstack([rng.random((600, 2)), [[3.0, 2.0]]])
+    xyz[:, 2] += 3 * xyz[:, 0]
+    to[0] = xyz[4, :2]  # at a gauge
+    sides = [(list(a[:, :2].T) if trend else []) for a in (xyz, to)]
+    found = kriging_packed.solve(*xyz.T, np.column_stack([np.ones(350), *sides[0]]), *to.T, np.column_stack([np.ones(601), *sides[1]]),
+                                 *kriging._covariances(shape, 2.0), leaf=24)
+    want = plain_kriging(shape, xyz, to, *sides)
+    assert np.allclose(found[0], want[0], atol=1e-9) and np.allclose(found[1], want[1], atol=1e-9 * (1 + nugget))
+    assert found[0][0] == pytest.approx(xyz[4, 2]) and found[1][0] == pytest.approx(0, abs=1e-9 * (1 + nugget))
+
+
+def written(spark):
+    """Bytes in the folder of tables that are written once."""
+    return sum(os.path.getsize(os.path.join(d, f)) for d, _, names in os.walk(checkpoint_folder(spark).removeprefix("file:")) for f in names)
+
+
+@pytest.mark.parametrize("drift", [None, "linear", "radar"])
+def test_the_factor_of_many_gauges_is_not_written(spark, drift):
+    # 2300 gauges of one time; two more rows at places of others, a time of zeros, a small time, a target without drift
+    rng = np.random.default_rng(11)
+    xy, radar, n = rng.random((2300, 2)), rng.random(2300), 2300
+    z = 3 * xy[:, 0] + rng.random(n)
+    rows = [("a", *map(float, (*xy[i], z[i], radar[i]))) for i in range(n)]
+    rows += [("a", *map(float, (*xy[i], z[i] + 1, radar[i]))) for i in (3, 8)]
+    rows += [("b", *r[1:3], 0.0, r[4]) for r in rows] + [("c", *r[1:]) for r in rows[:12]]
+    p = spark.createDataFrame(rows, "time_sgt string, longitude double, latitude double, z double, radar double")
+    to = [(t, k, float(a), float(b), None if k == 5 else k / 20) for t in "abcd" for k, (a, b) in enumerate(rng.random((30, 2)))]
+    before = written(spark)
+    got = kriging.krige(p, spark.createDataFrame(to, "time_sgt string, cell long, longitude double, latitude double, radar double"),
+                        "cell", "z", SHAPE | {"nugget": 0.2}, drift=drift).toPandas().set_index(["time_sgt", "cell"]).sort_index()
+    assert written(spark) - before < 2_000_000  # as doubles, half of the matrix is 21 MB
+    assert sorted(got.index) == [(t, k) for t in "ac" for k in range(30)]
+    z[[3, 8]] += 0.5
+    whole = [r for r in to if r[0] == "a" and (drift != "radar" or r[1] != 5)]
+    sides = {None: ([], []), "linear": (list(xy.T), list(np.array([r[2:4] for r in whole]).T)), "radar": ([radar], [[r[4] for r in whole]])}[drift]
+    want = plain_kriging(SHAPE | {"nugget": 0.2}, np.column_stack([xy, z]), [r[2:4] for r in whole], *sides)
+    for name, values in zip(("z", "variance"), want):
+        assert np.allclose(got.loc[[r[:2] for r in whole], name], values, atol=1e-8)
+    assert got.z.isna().sum() == got.variance.isna().sum() == (2 if drift == "radar" else 0)
+
+
+def test_times_are_solved_by_their_number_of_gauges(spark):
+    # dense, packed and in tiles side by side
+    rng = np.random.default_rng(6)
+    rows = [(t, i, *map(float, rng.random(3))) for t, n in (("a", 45), ("b", 30), ("c", 12)) for i in range(n)]
+    p = spark.createDataFrame(rows, "time_sgt string, gid long, longitude double, latitude double, z double")
+    t = spark.createDataFrame([(d, k, *map(float, rng.random(2))) for d in "abc" for k in range(9)], "time_sgt string, cell long, longitude double, latitude double")
+    for drift, shape in ((None, SHAPE), ("linear", {"model": "linear", "sill": 0.0, "span": 0.5, "nugget": 0.1})):
+        whole, split = (kriging.krige(p, t, "cell", "z", shape, drift=drift, **options).toPandas().sort_values(["time_sgt", "cell"], ignore_index=True)
+                        for options in ({}, {"dense_gauges": 20, "packed_gauges": 40, "tile": 16}))
+        assert len(whole) == 27 and split[["time_sgt", "cell"]].equals(whole[["time_sgt", "cell"]])
+        assert np.allclose(split[["z", "variance"]], whole[["z", "variance"]], atol=1e-8)
+
+
+def test_gauges_too_near_each_other_raise(spark):
+    rows = [("a", i, 0.1 * (i // 2), 1e-9 * (i % 2), float(i)) for i in range(30)]
+    p, t = (spark.createDataFrame(rows, f"time_sgt string, {c} long, longitude double, latitude double, z double") for c in ("gid", "cell"))
+    with pytest.raises(Exception, match="not positive definite"):
+        kriging.krige(p, t, "cell", "z", SHAPE | {"model": "gaussian"}, dense_gauges=20).collect()
+
+
+def test_the_benchmark_of_many_gauges_writes_no_factor(spark, tmp_path):
+    from datetime import datetime
+
+    from rainweave.plans import spatial as plans
+
+    # a day of 2600 stations, of which the training ones are more than one dense solve takes, and a day of few
+    rng = np.random.default_rng(2)
+    rows = [(u, datetime(2024, 1, d, 5), u, "purchase", float(v), "{}") for d, n in ((1, 2600), (2, 40)) for u, v in enumerate(rng.random(n) * 90)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
+    before = written(spark)
+    got = plans.i9_kriging_benchmark(spark, str(tmp_path)).collect()
+    assert len(got) == 1 and written(spark) - before < 2_000_000
+    train, test = plans._train_test(spark, str(tmp_path), 1440)
+    v, mse, pairs = plans.fitted_variogram(spark, str(tmp_path), train), [], []
+    train, test = train.toPandas(), test.toPandas()
+    assert sorted(train.groupby("time_sgt").size())[1] > kriging.DENSE_GAUGES
+    for day, own in test.groupby("time_sgt"):
+        z = plain_kriging(v, train[train.time_sgt == day][["longitude", "latitude", "z"]], own[["longitude", "latitude"]])[0]
+        mse.append(np.mean((own.truth - z) ** 2))
+        pairs += zip(own.truth, z)
+    assert got[0].rmse_all == pytest.approx(np.mean(np.sqrt(mse))) and got[0].pearson == pytest.approx(np.corrcoef(*zip(*pairs))[0, 1], abs=1e-9)
