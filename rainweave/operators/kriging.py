@@ -117,13 +117,15 @@ def krige(points: DataFrame, targets: DataFrame, target_id: str, value: str, var
     if max_gauges is not None and most > max_gauges:
         raise ValueError(f"{most} gauges at one time, more than max_gauges={max_gauges}")
 
+    known, targets = checkpointed(known), checkpointed(targets)  # read by each kind of solve
+
     def share(times, how="left_semi"):
         return [df.join(times.select(time), time, how) for df in (known, targets)]
 
     made = _krige_dense(*share(crowded, "left_anti"), target_id, value, variogram, time, drift, names, x, y, max_gauges)
     trends = [x, y] if drift == "linear" else names
     if fewest <= packed_gauges:
-        packed = [checkpointed(df) for df in share(crowded.where(F.col("_gauges") <= packed_gauges))]
+        packed = share(crowded.where(F.col("_gauges") <= packed_gauges))
         made = made.unionByName(krige_packed(*packed, target_id, value, lambda gx, gy: _covariances(variogram, np.hypot(np.ptp(gx), np.ptp(gy))), time, trends, x, y))
     if most > packed_gauges:
         many = share(crowded.where(F.col("_gauges") > packed_gauges))

@@ -156,7 +156,7 @@ def krige_packed(known: DataFrame, targets: DataFrame, target_id: str, value: st
     ``covariances`` gives, from the coordinates of the gauges of a time, the function from distances to covariances and the variance.
     ``trends`` are columns of both sides beside the constant. Gauges are put into cells of equal number; the tile of two cells is smooth but near
     their border, so that it is a product of thin matrices up to the rounding of doubles, and so is that of the factor.
-    The factor stays in the memory of its task; nothing is written but the rows of a time. Gauges at one place count once with their mean, which gives the same
+    The factor stays in the memory of its task; nothing is written but the rows of a time and the estimates. Gauges at one place count once with their mean, which gives the same
     estimates. Covariances that are not positive definite in double precision raise.
     """
     extra = [c for c in trends if c not in (x, y)]
@@ -193,5 +193,7 @@ def krige_packed(known: DataFrame, targets: DataFrame, target_id: str, value: st
 
     # a task per row: the rows are few and small, their work is not
     tasks = min(max(rows.count(), 1), MOST_TASKS)
-    return rows.repartitionByRange(tasks, "_time", "_block").mapInPandas(
+    estimates = rows.repartitionByRange(tasks, "_time", "_block").mapInPandas(
         run, f"`{time}` {types[time]}, `{target_id}` {types[target_id]}, z double, variance double")
+    # written, since scores read the estimates more than once
+    return checkpointed(estimates)

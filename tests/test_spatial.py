@@ -531,3 +531,10 @@ def test_the_benchmark_of_many_gauges_writes_no_factor(spark, tmp_path):
         mse.append(np.mean((own.truth - z) ** 2))
         pairs += zip(own.truth, z)
     assert got[0].rmse_all == pytest.approx(np.mean(np.sqrt(mse))) and got[0].pearson == pytest.approx(np.corrcoef(*zip(*pairs))[0, 1], abs=1e-9)
+
+
+def test_packed_estimates_are_solved_once(spark):
+    # scores read them for the errors and for the correlation
+    p, t = (spark.createDataFrame(PLANE, f"time_sgt string, {c} long, longitude double, latitude double, z double") for c in ("gid", "cell"))
+    made = kriging_packed.krige_packed(p, t, "cell", "z", lambda x, y: kriging._covariances(SHAPE, 1.0), "time_sgt", [], "longitude", "latitude", leaf=6)
+    assert "MapInPandas" not in made._jdf.queryExecution().toString() and np.allclose(made.toPandas().sort_values("cell")["z"], [r[4] for r in PLANE])
